@@ -1,0 +1,170 @@
+"""Redaction egress and threat normalisation."""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import hashlib
+import html
+import re
+import unicodedata
+from urllib.parse import unquote
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from auditframe.functions import scalars as S
+from auditframe.session import ship
+
+# Ordered redaction patterns. Order matters: person numbers before organisations' before cards.
+PATTERNS = (
+    ("PRIVATE_KEY", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]+?-----END [A-Z ]*PRIVATE KEY-----"),
+    ("DB_URL", r"\b(?:postgres|postgresql|mysql|mongodb|redis)://[^:\s]+:[^@\s]+@[^)\s'\"`]+"),
+    ("GITHUB_PAT", r"\bgh[pousr]_[A-Za-z0-9_]{30,}\b"),
+    ("AWS_ACCESS_KEY", r"\bAKIA[0-9A-Z]{16}\b"),
+    ("JWT", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b"),
+    ("API_KEY", r"\bsk-[A-Za-z0-9_-]{20,}\b"),
+    ("RRN", r"\b\d{6}[- ]?[1-8]\d{6}\b"),
+    ("CORPORATE_REGISTRATION", r"\b\d{6}[- ]?\d{7}\b"),
+    ("BUSINESS_REGISTRATION", r"\b\d{3}[- ]\d{2}[- ]\d{5}\b"),
+    ("PHONE", r"\b(?:010|011|016|017|018|019|02|0[3-6][1-6]|070|080)[- ]?\d{3,4}[- ]?\d{4}\b"),
+    ("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+    ("CREDIT_CARD", r"\b(?:\d[ -]?){13,19}\b"),
+    ("PASSPORT", r"\b[MSROD][0-9]{8}\b"),
+    ("CUSTOMS", r"\bP\d{12}\b"),
+)
+#: Patterns that only non-ASCII text or labels can meet; they follow the others.
+LABELLED = (
+    ("PERSON", r"(?i)\b(?:name|user_name|customer_name|full_name|이름|성명|고객명|사용자명)[\"'\s:=]+[\"']?[가-힣]{2,4}"),
+    ("ADDRESS", r"(?i)\b(?:address|addr|주소)[\"'\s:=]+[\"']?[가-힣A-Za-z0-9\s\-]+(?:시|도|구|군|동|로|길)[가-힣A-Za-z0-9\s\-]*"),
+)
+_COMPILED = [(label, re.compile(p)) for label, p in (*PATTERNS, *LABELLED)]
+_ZERO_WIDTH = re.compile("[​-‏⁠﻿­]")
+_ENCODED = re.compile(r"\b(?:[A-Za-z0-9+/]{16,}={0,2}|[0-9a-fA-F]{32,})")
+
+
+def redact_ascii(text: Column) -> Column:
+    """F-RED for ASCII text, in built-in functions: a fold of the ordered patterns, each match by the hash of itself."""
+    out = text
+    for label, pattern in PATTERNS:
+        java = f"(?U){pattern}"
+        tokens = F.transform(F.regexp_extract_all(out, F.lit(java), F.lit(0)), lambda m, name=label: S.redaction_token(name, m))
+        pairs = F.zip_with(F.split(out, java, -1), F.concat(tokens, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        out = F.when(out.rlike(java), F.array_join(pairs, "")).otherwise(out)
+    return out
+
+
+def _token(label: str, value: str) -> str:
+    return f"<redacted:{label}:{hashlib.sha256(value.encode('utf-8', 'surrogatepass')).hexdigest()[:12]}>"
+
+
+def _decoded(token: str) -> str | None:
+    try:
+        raw = bytes.fromhex(token) if re.fullmatch("[0-9a-fA-F]{32,}", token) and len(token) % 2 == 0 else base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
+        return raw.decode("utf-8")
+    except (ValueError, binascii.Error):
+        return None
+
+
+def redact(text: str) -> str:
+    """F-RED, F-ENC: zero-width marks out, NFKC, encoded secrets, then the ordered patterns."""
+    text = unicodedata.normalize("NFKC", _ZERO_WIDTH.sub("", text))
+
+    def encoded(m: re.Match) -> str:
+        plain = _decoded(m[0])
+        return _token("ENCODED", m[0]) if plain and any(p.search(plain) for _, p in _COMPILED) else m[0]
+
+    text = _ENCODED.sub(encoded, text)
+    for label, pattern in _COMPILED:
+        text = pattern.sub(lambda m, name=label: _token(name, m[0]), text)
+    return text
+
+
+def redact_column(rows: DataFrame, column: str) -> DataFrame:
+    """F-RED: plain ASCII rows stay in built-in functions; rows with other characters or encoded runs go to Python."""
+    ship(rows.sparkSession)
+
+    @F.pandas_udf("string")
+    def python(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else redact(x))
+
+    text = F.col(column)
+    special = text.rlike("[^\\x00-\\x7F]|[A-Za-z0-9+/]{16,}|[0-9a-fA-F]{32,}")
+    easy = rows.filter(~F.coalesce(special, F.lit(False))).withColumn(column, redact_ascii(text))
+    return easy.unionByName(rows.filter(special).withColumn(column, python(text)))
+
+
+def sanitize(df: DataFrame) -> DataFrame:
+    """F-SAN, SNK7: every text column redacted but digests (columns named *sha256, *hash, *fingerprint)."""
+    out = df
+    for name, kind in df.dtypes:
+        if kind == "string" and not re.search(r"(sha256|hash|fingerprint|_id)$", name):
+            out = out.withColumn(name, redact_ascii(F.col(f"`{name}`")))
+    return out
+
+
+# --- threat normalisation ------------------------------------------------------------------------
+#: Look-alike letters (fixed values) to their Latin ones.
+CONFUSABLES = str.maketrans("аеорсухіѕјԁһӏαορν", "aeopcyxisjdhlaopv")
+LEET = str.maketrans("013457@$", "oleastas")
+THREATS = (
+    ("MCP_PROMPT_OVERRIDE", "critical", r"ignore (?:all |any )?(?:previous|prior|above) instructions|이전 지시.*무시"),
+    ("MCP_HIDDEN_PROMPT", "high", r"system prompt|developer message|숨겨진 지시"),
+    ("MCP_CONCEALMENT", "high", r"do not (?:tell|reveal|mention)"),
+    ("MCP_EXFILTRATION", "critical", r"(?:send|post|upload|exfiltrate)\b.{0,60}\b(?:token|secret|password|cookie|api key)"),
+)
+
+
+def normal_text(text: str) -> str:
+    """F-NORM: NFKC, control and format marks out, separators to blanks, look-alikes to Latin."""
+    if text.isascii():
+        return text
+    kept = []
+    for ch in unicodedata.normalize("NFKC", text):
+        kind = unicodedata.category(ch)
+        if kind in {"Cf", "Cs"} or kind == "Cc" and ch not in "\n\r\t":
+            continue
+        kept.append(" " if kind.startswith("Z") else ch)
+    return "".join(kept).translate(CONFUSABLES)
+
+
+def candidates(text: str) -> list[tuple[str, str]]:
+    """F-CAND: (mode, text): direct, unicode, escaped, collapsed, leet, and at most eight decoded tokens."""
+    out = [("direct", text)]
+
+    def add(mode: str, value: str) -> None:
+        if value and all(value != v for _, v in out):
+            out.append((mode, value))
+
+    plain = normal_text(text)
+    add("unicode", plain)
+    escaped = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), html.unescape(plain))
+    add("escaped", normal_text(unquote(unquote(escaped))))
+    add("collapsed", re.sub(r"(?<=\w)[\s.\-_*]{1,2}(?=\w(?:[\s.\-_*]|$))", "", plain))
+    add("leet", plain.lower().translate(LEET))
+    for token in re.findall(r"[A-Za-z0-9+/]{16,}={0,2}", plain)[:8]:
+        value = _decoded(token)
+        if value:
+            add("base64", value)
+    return out
+
+
+def threats(lines: DataFrame, line: str = "line") -> DataFrame:
+    """D-THR1: rules over the candidates of each line; one row for each (rule, line), the first mode that hits."""
+    ship(lines.sparkSession)
+    compiled = [(rule, severity, re.compile(p, re.I)) for rule, severity, p in THREATS]
+
+    @F.pandas_udf("array<struct<rule_id:string,severity:string,mode:string>>")
+    def scan(s: pd.Series) -> pd.Series:
+        def one(x: str | None) -> list[dict]:
+            found: dict[str, dict] = {}
+            for mode, text in candidates(x or ""):
+                for rule, severity, pattern in compiled:
+                    if rule not in found and pattern.search(text):
+                        found[rule] = {"rule_id": rule, "severity": severity, "mode": mode}
+            return list(found.values())
+
+        return s.map(one)
+
+    return lines.withColumn("t", F.explode(scan(F.col(line)))).select(*[c for c in lines.columns if c != line], "t.*")
