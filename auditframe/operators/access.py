@@ -157,7 +157,7 @@ def sca_findings(packages: DataFrame) -> DataFrame:
     The id is the row's own, else its first CVE or GHSA alias; severity words of other tools are mapped.
     """
     v = packages.select("ecosystem", "name", "version", F.explode("vulns").alias("v"))
-    alias = F.filter("v.aliases", lambda a: a.rlike("^(CVE|GHSA)-"))[0]
+    alias = F.get(F.filter("v.aliases", lambda a: a.rlike("^(CVE|GHSA)-")), 0)
     ident = F.coalesce(F.when(F.col("v.id") != "", F.col("v.id")), alias)
     word = F.lower(F.coalesce("v.severity", F.lit("")))
     severity = F.when(word.isin("critical"), "critical").when(word.isin("high", "important"), "high").when(word.isin("moderate", "medium"), "medium").when(word.isin("low", "minor"), "low").otherwise("medium")

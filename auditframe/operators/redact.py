@@ -46,13 +46,14 @@ _ENCODED = re.compile(r"\b(?:[A-Za-z0-9+/]{16,}={0,2}|[0-9a-fA-F]{32,})")
 
 def redact_ascii(text: Column) -> Column:
     """F-RED for ASCII text, in built-in functions: a fold of the ordered patterns, each match by the hash of itself."""
-    out = text
-    for label, pattern in PATTERNS:
-        java = f"(?U){pattern}"
-        tokens = F.transform(F.regexp_extract_all(out, F.lit(java), F.lit(0)), lambda m, name=label: S.redaction_token(name, m))
-        pairs = F.zip_with(F.split(out, java, -1), F.concat(tokens, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-        out = F.when(out.rlike(java), F.array_join(pairs, "")).otherwise(out)
-    return out
+    steps = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f"(?U){pattern}").alias("pattern")) for label, pattern in PATTERNS])
+
+    def step(out: Column, p: Column) -> Column:
+        tokens = F.transform(F.regexp_extract_all(out, p["pattern"], F.lit(0)), lambda m: S.redaction_token(p["label"], m))
+        pairs = F.zip_with(F.split(out, p["pattern"], -1), F.concat(tokens, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.when(F.rlike(out, p["pattern"]), F.array_join(pairs, "")).otherwise(out)
+
+    return F.aggregate(steps, text, step)
 
 
 def _token(label: str, value: str) -> str:

@@ -37,7 +37,7 @@ def parse_events(raw: DataFrame, value: str = "value") -> DataFrame:
     both = (get("jsonrpc").isNotNull() & get("result").isNotNull() & get("error").isNotNull())
     return raw.select(
         *[c for c in raw.columns if c != value], kind.alias("event_type"), tool.alias("tool"), F.coalesce(content, F.lit("")).alias("content"),
-        F.when(kind.rlike("request|sink|call") | kind.isin("llm", "http"), sink).alias("sink_kind"), keys.alias("correlation_keys"), both.alias("contradictory"), ~is_object.alias("parse_error"),
+        F.when(kind.rlike("request|sink|call") | kind.isin("llm", "http"), sink).alias("sink_kind"), keys.alias("correlation_keys"), both.alias("contradictory"), (~is_object).alias("parse_error"),
     )
 
 
