@@ -96,7 +96,7 @@ class PlaneWriter:
     def close(self) -> None:
         self._flush(True)
         table = np.array(self.docs, dtype="<i8").reshape(-1)
-        docs = [self._chunk(table[a : a + self.block]) for a in range(0, len(table), self.block)]
+        docs = [self._chunk(table[a : a + 2 * self.block]) for a in range(0, len(table), 2 * self.block)]
         index = json.dumps({"mode": self.mode, "n_ids": self.n_ids, "n_docs": len(self.docs), "chunks": self.chunks, "docs": docs}).encode()
         at = self.at
         self._put(index)
