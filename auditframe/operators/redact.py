@@ -144,6 +144,7 @@ def candidates(text: str) -> list[tuple[str, str]]:
     add("escaped", normal_text(unquote(unquote(escaped))))
     add("collapsed", re.sub(r"(?<=\w)[\s.\-_*]{1,2}(?=\w(?:[\s.\-_*]|$))", "", plain))
     add("leet", plain.lower().translate(LEET))
+    add("leet", plain.lower().replace("1", "i").translate(LEET))
     for token in re.findall(r"[A-Za-z0-9+/]{16,}={0,2}", plain)[:8]:
         value = _decoded(token)
         if value:
