@@ -70,8 +70,7 @@ def test_stream_equals_batch(spark, tmp_path):
     df = _log(spark, rows)
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = session.correlate_stream(stream).writeStream.format("memory").queryName("matches").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    q = session.correlate_stream(stream).writeStream.format("memory").queryName("matches").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     key = lambda r: (r.session, r.sink_index, r.sink_kind, r.source_index)
     assert sorted(map(key, spark.table("matches").collect())) == sorted(map(key, session.correlate_batch(df).collect()))
