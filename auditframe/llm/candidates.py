@@ -1,10 +1,14 @@
 """From banding keys to classes: candidate pairs, exact verification, union-find.
 
-Rows that share a band key are a run. A run is read as a sorted stream: every member meets the run's
-first member (its hub) and the few members before it, so a run costs as many pairs as it has members,
-whatever its size, and a short run gives all its pairs. Pairs are verified exactly, first those with
-hubs, then those whose ends are still apart. What a long run leaves apart is settled at the end: its
-members outside the run's largest class meet all members of other classes.
+Rows that share a band key are a run. A run is read as a sorted stream and costs as many pairs as it
+has members, whatever its size: each member meets the run's first member, its hub. Hub pairs are
+verified exactly and united. A member that is still apart from its hub is an outsider of the run; few
+are. Outsiders meet the next hubs of the run, which covers every pair of a short run. What a long run
+still leaves apart is settled by streaming all its members past its outsiders, so no pair of a run
+that could join two classes is left out.
+
+Before texts are fetched for a pair, short sketches of both are compared: a pair whose sketches agree
+in fewer than 36 of 64 places is dropped. At a similarity of 0.8 that happens about once in a million.
 """
 
 from __future__ import annotations
@@ -15,172 +19,245 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from auditframe.llm.common import text_slices
+from auditframe.llm.common import mix64, text_slices
 from auditframe.llm.components import components
 from auditframe.session import materialize, ship
 
-#: Members before it that each member of a run meets; runs up to one more give all pairs.
-NEIGHBOURS = 6
+#: The first members of a run serve as hubs, one after another.
+HUBS = 8
+SKETCH = 64
+SKETCH_LEAST = 36
+#: Texts whose sketches are made at a time.
+SKETCH_ROWS = 4_096
+#: Outsiders of a run that one task holds while the run's members stream past.
+OUTSIDERS = 128
+#: Bytes of members' texts that meet a chunk of outsiders at a time.
+MEMBER_BYTES = 1 << 16
 #: Up to so many ids of wanted texts (8 bytes each) are broadcast to filter the texts where they are
 #: read; beyond, texts and ids meet in a shuffle.
 BROADCAST_IDS = 250_000
 
 
-def _stream(neighbours: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Reads (key, id) sorted by key; gives a, b, kind: 0 hub pair, 1 neighbour pair, 2 member of a long run (b is the key)."""
+def _stream(hubs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Reads (key, id) sorted by both; gives (key, a, b): b is a member whose hub is a, or, with b null, a is a later hub."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = None  # of the open run
-        members: list[int] = []  # its first members; emptied once the run is long
-        recent: list[int] = []
-        hub, count = 0, 0
-        out_a: list[np.ndarray] = []
-        out_b: list[np.ndarray] = []
-        out_k: list[np.ndarray] = []
-
-        def put(a: np.ndarray, b: np.ndarray, kind: int) -> None:
-            if len(a):
-                out_a.append(a)
-                out_b.append(b)
-                out_k.append(np.full(len(a), kind, np.int32))
-
+        key = hub = last = None  # of the open run, with its last id
+        count = 0  # members of it so far
         for batch in batches:
             keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(keys):
-                continue
             fresh = np.ones(len(keys), bool)
             fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+            if len(keys) and key is not None and keys[0] == key and ids[0] == last:
+                fresh[0] = False
             keys, ids = keys[fresh], ids[fresh]
-            if key is not None and keys[0] == key and recent and recent[-1] == ids[0]:
-                keys, ids = keys[1:], ids[1:]
-                if not len(keys):
-                    continue
-            # Join the members carried over, so that pairs across the batch border are seen.
-            carried = len(recent) if key is not None and keys[0] == key else 0
-            if not carried:
-                recent, count = [], 0
-            own_keys = np.concatenate([np.full(carried, keys[0]), keys])
-            own = np.concatenate([np.array(recent[:carried], np.int64), ids])
-            starts = np.flatnonzero(np.concatenate([[True], own_keys[1:] != own_keys[:-1]]))
-            sizes = np.diff(np.append(starts, len(own)))
-            first = np.repeat(starts, sizes)
-            rank = np.arange(len(own)) - first  # within the run, from the carried members on
-            hubs = own[first]
-            if carried and count > carried:
-                hubs = np.where(first == 0, hub, hubs)
-                true_rank = rank + np.where(first == 0, count - carried, 0)
-            else:
-                true_rank = rank
-            new = np.arange(len(own)) >= carried
-            pick = new & (true_rank > 0)
-            put(hubs[pick], own[pick], 0)
-            for back in range(1, neighbours + 1):
-                pick = np.flatnonzero(new & (rank >= back) & (true_rank > back))
-                put(own[pick - back], own[pick], 1)
-            # Members of long runs, the early ones once the run is known to be long.
-            total = np.repeat(sizes, sizes) + np.where(first == 0, count - carried if carried else 0, 0)
-            was_long = carried and count > neighbours + 1
-            long_now = total > neighbours + 1
-            mark = long_now & (new | (first == 0) & (not was_long))
-            if carried and not was_long and long_now[0] and members:
-                early = np.array(members, np.int64)
-                put(early, np.full(len(early), own_keys[0]), 2)
-                mark &= new
-            put(own[mark], own_keys[mark], 2)
-            last = starts[-1]
-            key = int(own_keys[-1])
-            if last == 0 and carried:
-                count = count + len(own) - carried
-            else:
-                count, hub, members = len(own) - last, int(own[last]), []
-            members = (members + own[max(last, carried if last == 0 else last) :].tolist())[: neighbours + 1] if count <= neighbours + 1 else []
-            recent = own[max(last, len(own) - neighbours - 1) :].tolist()
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b, out_k)], ["a", "b", "kind"])
-                out_a.clear(), out_b.clear(), out_k.clear()
+            if not len(keys):
+                continue
+            goes_on = key is not None and keys[0] == key
+            starts = np.flatnonzero(np.concatenate([[not goes_on], keys[1:] != keys[:-1]]))
+            begin = np.zeros(len(keys), np.int64)
+            begin[starts] = starts
+            begin = np.maximum.accumulate(begin)
+            rank = np.arange(len(keys)) - begin
+            own = ids[begin]
+            if goes_on:
+                head = starts[0] if len(starts) else len(keys)
+                rank[:head] += count
+                own[:head] = hub
+            pick = rank > 0
+            later = pick & (rank < hubs)
+            out_key = np.concatenate([keys[pick], keys[later]])
+            if len(out_key):
+                b = pa.array(np.concatenate([ids[pick], ids[later]]), mask=np.concatenate([np.zeros(pick.sum(), bool), np.ones(later.sum(), bool)]))
+                yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(np.concatenate([own[pick], ids[later]])), b], ["key", "a", "b"])
+            key, hub, count, last = keys[-1], own[-1], rank[-1] + 1, ids[-1]
 
     return run
 
 
-def classes(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], neighbours: int = NEIGHBOURS) -> DataFrame:
-    """(id, component) of all ids that a verified pair links, from bands (key long, id long).
+def classes(bands: DataFrame, texts: DataFrame, sets: Sets, similarity: float, hubs: int = HUBS) -> DataFrame:
+    """(id, component) of all ids that a link joins, from bands (key long, id long) and texts (id, text; copies allowed).
 
-    ``verify`` takes pairs (a, b), each once, and returns those that are similar. Repeated band rows
-    are harmless. Members of a run are ordered by a hash of key and id, so each band has hubs of its own.
+    Two texts are linked at a Jaccard similarity of ``similarity`` or more of their ``sets``. Repeated
+    band rows are harmless. Ids are hashes, so their order is a random one. Only texts that share a
+    run are moved, and once.
     """
     spark = bands.sparkSession
     ship(spark)
-    runs = bands.repartition(F.col("key")).sortWithinPartitions("key", F.xxhash64("key", "id"), "id").select("key", "id")
-    found = materialize(runs.mapInArrow(_stream(neighbours), "a long, b long, kind int"), "candidates")
+    runs = bands.select("key", "id").repartition(F.col("key")).sortWithinPartitions("key", "id")
+    found = materialize(runs.mapInArrow(_stream(hubs), "key long, a long, b long"), "runs")
+    members = found.filter("b is not null")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    hub_pairs = found.filter("kind = 0 and a != b").select(*pair).distinct()
-    links = materialize(verify(hub_pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    known = components(links)
+    hub_pairs = materialize(members.select(*pair).distinct(), "hub-pairs")
+    wanted = materialize(hub_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    needed = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    needed = materialize(needed.mapInArrow(_sketches(sets), "id long, text string, sketch binary"), "texts")
 
-    def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-        with_a = pairs.join(known.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-        both = with_a.join(known.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    def of(known: DataFrame, name: str, to: str) -> DataFrame:
+        return known.select(F.col("id").alias(name), F.col("component").alias(to))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(needed.select(F.col("id").alias(side), F.col("sketch").alias(f"s{side}")), side)
+        likely = materialize(pairs.select("a", "b", "sa", "sb").mapInArrow(_likely, "a long, b long"), "likely")
+        with_a = likely.join(needed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        both = with_a.join(needed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_compare(sets, similarity), "u long, v long"), "links")
 
-    more = apart(found.filter("kind = 1 and a != b").select(*pair).distinct().join(hub_pairs, ["a", "b"], "left_anti"), known)
-    extra = materialize(verify(more).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    if not extra.isEmpty():
-        links = links.unionByName(extra)
+    links = linked(hub_pairs)
+    known = components(links)
+    # Outsiders of runs, by (key, member).
+    marked = members.join(of(known, "a", "ca"), "a", "left").join(of(known, "b", "cb"), "b", "left")
+    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")  # a pair is settled by itself
+    outside = materialize(marked.filter(apart).select("key", F.col("b").alias("id")).join(sizes, "key"), "outsiders")
+    if outside.isEmpty():
+        return known
+    later = found.filter("b is null").select("key", F.col("a").alias("other"))
+    met = outside.join(later, "key").select(F.col("id").alias("a"), F.col("other").alias("b")).filter("a != b").select(*pair).distinct()
+    more = linked(met.join(hub_pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        links = links.unionByName(more)
         known = components(links)
+    hub = members.select("key", F.col("a").alias("hub"), F.col("b").alias("id"))
+    still = outside.filter(F.col("n") > hubs).join(hub, ["key", "id"]).join(of(known, "hub", "ch"), "hub", "left").join(of(known, "id", "ci"), "id", "left")
+    still = materialize(still.filter(F.coalesce("ch", "hub") != F.coalesce("ci", "id")).select("key", "id"), "outsiders")
+    if still.isEmpty():
+        return known
+    # Each key's outsiders in chunks; every chunk sees all members of the run, those of its own class aside.
+    numbered = still.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1) / OUTSIDERS))
+    chunks = numbered.select("key", "chunk").distinct()
+    inside = members.select("key", F.col("b").alias("id")).join(chunks, "key").select("key", "chunk", "id", F.lit(1).alias("turn"))
+    rows = numbered.select("key", "chunk", "id", F.lit(0).alias("turn")).unionByName(inside)
+    rows = rows.join(needed.select("id", "text"), "id").join(of(known, "id", "c"), "id", "left").select("key", "chunk", "turn", "id", F.coalesce("c", "id").alias("c"), "text")
+    ordered = rows.repartition(F.col("key"), F.col("chunk")).sortWithinPartitions("key", "chunk", "turn", "id")
+    last = materialize(ordered.mapInArrow(_past_outsiders(sets, similarity), "u long, v long"), "links")
+    return known if last.isEmpty() else components(links.unionByName(last))
 
-    # Long runs: members outside the run's largest class against members of other classes.
-    member = found.filter("kind = 2").select(F.col("b").alias("key"), F.col("a").alias("id")).join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    sizes = member.groupBy("key", "c").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
-    several = materialize(several, "long-runs")
-    if not several.isEmpty():
-        split = member.join(several, "key")
-        outside = split.filter("c != main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-        inside = split.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), (F.col("c") != F.col("main")).alias("out"))
-        rest = outside.join(inside, "key").filter("ca != cb and (not out or a < b)").select(*pair).distinct()
-        rest = rest.join(found.filter("kind < 2").select(*pair).distinct(), ["a", "b"], "left_anti")
-        last = materialize(verify(rest).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        if not last.isEmpty():
-            known = components(links.unionByName(last))
-    return known
 
+#: From texts: (text number, hash of 44 bits, weight) of each distinct element, sorted by number and hash.
+Sets = Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+def bin_signatures(owner: np.ndarray, hashes: np.ndarray, n_sets: int, k: int) -> np.ndarray:
+    """One-permutation MinHash (n_sets x k) of sorted sets of 44-bit hashes: each bin keeps its smallest.
 
-#: From texts: (text number, hash, weight) of each distinct element, sorted by number and hash.
-Sets = Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    An empty bin takes the value of the first filled bin on a hashed path of its own; an empty set has
+    no value but the largest.
+    """
+    bins = ((hashes * np.uint64(k)) >> np.uint64(44)).astype(np.int64)
+    place = owner * k + bins
+    first = np.ones(len(place), bool)
+    first[1:] = place[1:] != place[:-1]  # hashes ascend within a set, so bins do, and the first is the least
+    empty = np.uint64(0xFFFFFFFFFFFFFFFF)
+    signature = np.full((n_sets, k), empty, np.uint64)
+    signature.reshape(-1)[place[first]] = hashes[first]
+    filled = signature != empty
+    row, col = np.nonzero(~filled & filled.any(axis=1)[:, None])
+    for attempt in range(1, 64 * k):
+        if not len(row):
+            break
+        source = (mix64(col.astype(np.uint64) + np.uint64(attempt << 16)) % np.uint64(k)).astype(np.int64)
+        hit = filled[row, source]
+        signature[row[hit], col[hit]] = signature[row[hit], source[hit]]
+        row, col = row[~hit], col[~hit]
+    return signature
+
+
+def _sketches(sets: Sets):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x.slice(a, SKETCH_ROWS) for x in text_slices(batches, "text", 1 << 20) for a in range(0, x.num_rows, SKETCH_ROWS)):
+            owner, hashes, _ = sets(part.column("text").to_pylist())
+            marks = (mix64(bin_signatures(owner, hashes, part.num_rows, SKETCH)) & np.uint64(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), pa.array([r.tobytes() for r in marks], pa.binary())], ["id", "text", "sketch"])
+
+    return run
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sa", "sb")]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((sides[0] == sides[1]).sum(axis=1) >= SKETCH_LEAST))
 
 
 def jaccard_pairs(left: list[str], right: list[str], sets: Sets) -> np.ndarray:
     """Exact (weighted) Jaccard similarity of texts, pair by pair; 0 for two empty sets."""
     owner, elements, weight = sets([t for pair in zip(left, right, strict=True) for t in pair])
     pair = owner // 2
-    order = np.lexsort((owner, elements, pair))
-    pair, elements, weight = pair[order], elements[order], weight[order]
-    at = np.flatnonzero((pair[1:] == pair[:-1]) & (elements[1:] == elements[:-1])) + 1
-    shared = np.bincount(pair[at], weights=np.minimum(weight[at], weight[at - 1]), minlength=len(left))
+    keys = (pair.astype(np.uint64) << np.uint64(44)) | elements
     total = np.bincount(pair, weights=weight, minlength=len(left))
+    if (weight == 1).all():
+        keys.sort()
+        both = (keys[:-1][keys[1:] == keys[:-1]] >> np.uint64(44)).astype(np.int64)
+        shared = np.bincount(both, minlength=len(left)).astype(np.float64)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, weight = keys[order], weight[order]
+        at = np.flatnonzero(keys[1:] == keys[:-1]) + 1
+        shared = np.bincount((keys[at] >> np.uint64(44)).astype(np.int64), weights=np.minimum(weight[at], weight[at - 1]), minlength=len(left))
     return np.where(total > shared, shared / np.maximum(total - shared, 1), 0.0)
 
 
-def pair_verifier(texts: DataFrame, sets: Sets, similarity: float) -> Callable[[DataFrame], DataFrame]:
-    """A check of pairs by their texts (id, text; copies allowed): only texts that some pair names are moved."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(sets: Sets, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "ta", 1 << 20):
             for sub in text_slices([part], "tb", 1 << 20):
                 similar = jaccard_pairs(sub.column("ta").to_pylist(), sub.column("tb").to_pylist(), sets) >= similarity
-                yield pa.RecordBatch.from_arrays([sub.column("a"), sub.column("b")], ["a", "b"]).filter(pa.array(similar))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "pairs")
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-        if wanted.count() <= BROADCAST_IDS:
-            wanted = F.broadcast(wanted)
-        needed = materialize(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
-        with_a = pairs.join(needed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        both = with_a.join(needed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+                yield pa.RecordBatch.from_arrays([sub.column("a"), sub.column("b")], ["u", "v"]).filter(pa.array(similar))
+
+    return run
+
+
+def _past_outsiders(sets: Sets, similarity: float):
+    """Reads (key, chunk, turn, id, c, text) in order: a chunk's outsiders (turn 0), then all members of its run.
+
+    Holds one chunk's sets and one slice of members. Gives the links (outsider, member) of different
+    classes, one for each outsider and class in a slice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, cls, texts, index = None, [], [], [], None
+        for part in text_slices(batches, "text", MEMBER_BYTES):
+            keys = list(zip(part.column("key").to_pylist(), part.column("chunk").to_pylist(), strict=True))
+            turns, own_ids, own_cls, own_texts = (part.column(c).to_pylist() for c in ("turn", "id", "c", "text"))
+            a = 0
+            while a < len(keys):
+                b = a
+                while b < len(keys) and keys[b] == keys[a] and turns[b] == turns[a]:
+                    b += 1
+                if keys[a] != group:
+                    group, ids, cls, texts, index = keys[a], [], [], [], None
+                if turns[a] == 0:
+                    ids, cls, texts = ids + own_ids[a:b], cls + own_cls[a:b], texts + own_texts[a:b]
+                elif ids:
+                    if index is None:
+                        owner, hashes, weight = sets(texts)
+                        order = np.argsort(hashes, kind="stable")
+                        index = (hashes[order], owner[order], weight[order], np.bincount(owner, weights=weight, minlength=len(ids)))
+                    u, v = _links(index, np.array(cls), sets(own_texts[a:b]), np.array(own_cls[a:b]), similarity)
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[u]), pa.array(np.array(own_ids[a:b], np.int64)[v])], ["u", "v"])
+                a = b
+
+    return run
+
 
-    return verify
+def _links(index: tuple, cls: np.ndarray, other: tuple, other_cls: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of similar (outsider, member) pairs of different classes, the first of each outsider and class."""
+    hashes, owner, weight, total = index
+    m_owner, m_hash, m_weight = other
+    m_total = np.bincount(m_owner, weights=m_weight, minlength=len(other_cls))
+    low, high = np.searchsorted(hashes, m_hash, "left"), np.searchsorted(hashes, m_hash, "right")
+    n = high - low
+    at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    place = owner[at] * len(other_cls) + np.repeat(m_owner, n)
+    shared = np.bincount(place, weights=np.minimum(weight[at], np.repeat(m_weight, n)), minlength=len(total) * len(other_cls)).reshape(len(total), -1)
+    union = total[:, None] + m_total[None, :] - shared
+    u, v = np.nonzero((shared >= similarity * union) & (union > 0) & (cls[:, None] != other_cls[None, :]))
+    _, first = np.unique(np.stack([u, other_cls[v]]), axis=1, return_index=True) if len(u) else (None, np.zeros(0, int))
+    return u[first], v[first]

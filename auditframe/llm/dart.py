@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditframe.llm.candidates import classes, pair_verifier
+from auditframe.llm.candidates import classes
 from auditframe.llm.common import mix64, text_slices, unit
 from auditframe.session import materialize, ship
 
@@ -68,7 +69,7 @@ def shingles(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarra
     n = np.fromiter(map(len, lists), np.int64, len(lists))
     total = int(n.sum())
     get = _word_hash.__getitem__
-    flat = np.fromiter((x for ws in lists for x in map(get, ws)), np.uint64, total)
+    flat = np.fromiter(map(get, chain.from_iterable(lists)), np.uint64, total)
     count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
     if not total:
         return np.zeros(0, np.uint64), count
@@ -142,15 +143,11 @@ def dart_signatures(owner: np.ndarray, elements: np.ndarray, weights: np.ndarray
     need[size > 0] = wanted / size[size > 0]
     top = int(np.ceil(np.log2(weights.max()))) if len(weights) else 0
     layers = [(0.0, 1.0), *((2.0**j, 2.0 ** (j + 1)) for j in range(top))]
-    done = np.zeros(n_sets)
     live = size > 0
+    own, el, wt = owner, elements, weights
     c = 0
-    while live.any():
+    while len(own):
         low, high = _cell(c)
-        inside = live[owner]
-        if not inside.any():
-            break
-        own, el, wt = owner[inside], elements[inside], weights[inside]
         got_owner, got_value, got_slot = [], [], []
         for layer, (w0, w1) in enumerate(layers):
             if layer:
@@ -178,21 +175,16 @@ def dart_signatures(owner: np.ndarray, elements: np.ndarray, weights: np.ndarray
                 got_slot.append((mix64(dart, 5) % np.uint64(k)).astype(np.int64))
         if got_owner:
             o, v, s = np.concatenate(got_owner), np.concatenate(got_value), np.concatenate(got_slot)
-            place = o * k + s
-            order = np.lexsort((v, place))
-            place, v = place[order], v[order]
-            first = np.ones(len(place), bool)
-            first[1:] = place[1:] != place[:-1]
-            flat = signature.reshape(-1)
-            flat[place[first]] = np.minimum(flat[place[first]], v[first])
-        done[live] = high
+            np.minimum.at(signature.reshape(-1), o * k + s, v)
         # A set goes on while it is below its rank, or has an empty coordinate.
         c += 1
-        reached = live & (done >= need)
-        if reached.any():
-            at = np.flatnonzero(reached)
-            full = (signature[at] != _EMPTY).all(axis=1)
-            live[at[full]] = False
+        at = np.flatnonzero(live & (need <= high))
+        if len(at):
+            full = at[(signature[at] != _EMPTY).all(axis=1)]
+            if len(full):
+                live[full] = False
+                stay = live[own]
+                own, el, wt = own[stay], el[stay], wt[stay]
     return signature
 
 
@@ -210,8 +202,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _text_bands(params: DartParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", 2 << 20):
-            for a in range(0, part.num_rows, 1 << 14):
-                sub = part.slice(a, 1 << 14)
+            for a in range(0, part.num_rows, 1 << 13):
+                sub = part.slice(a, 1 << 13)
                 owner, elements, count = weighted_sets(sub.column("text").to_pylist(), params.words)
                 weights = count if params.weighted else np.ones(len(count), np.int64)
                 some = np.unique(owner)
@@ -250,7 +242,7 @@ def near_duplicates(docs: DataFrame, params: DartParams | None = None, text: str
         owner, elements, count = weighted_sets(both, params.words)
         return owner, elements, count if params.weighted else np.ones(len(count), np.int64)
 
-    known = classes(bands, pair_verifier(texts, sets, params.similarity))
+    known = classes(bands, texts, sets, params.similarity)
     # Rows join by hash and id only; the texts stay where they are.
     rows = base.select(F.col(f"`{doc_id}`").cast("long").alias("__doc"), F.when(has_words, F.xxhash64(body)).alias("id"))
     nodes = rows.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("__doc").alias("first"))
@@ -268,6 +260,6 @@ def keep_one(docs: DataFrame, params: DartParams | None = None, text: str = "tex
     """
     names = docs.columns
     marked = near_duplicates(docs, params, text, doc_id)
-    kept = marked.filter(F.coalesce(F.col("own") & F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("first")), F.lit(True)))
+    kept = marked.filter(F.col("text_id").isNull() | (F.col("own") & F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("first"))))
     turn = F.row_number().over(Window.partitionBy("text_id").orderBy(F.lit(1)))
     return kept.withColumn("__turn", turn).filter("__turn = 1 or text_id is null").select(*[F.col(f"`{c}`") for c in names])

@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ def ngram_buckets(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np
     if not n.sum():
         return np.zeros(0, np.int64), n
     get = _hashes.__getitem__
-    ids = np.fromiter((x for words in lists for x in map(get, words)), np.uint64, int(n.sum()))
+    ids = np.fromiter(map(get, chain.from_iterable(lists)), np.uint64, int(n.sum()))
     first = np.zeros(len(ids), bool)
     starts = np.cumsum(n) - n
     first[starts[n > 0]] = True

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditframe.llm.candidates import classes, pair_verifier
+from auditframe.llm.candidates import bin_signatures, classes
 from auditframe.llm.common import mix64, text_slices
 from auditframe.llm.dart import band_keys
 from auditframe.session import materialize, ship
@@ -61,33 +61,12 @@ def char_sets(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, n
     return (keys >> _HASH_BITS).astype(np.int64), keys & np.uint64((1 << 44) - 1), np.ones(len(keys), np.int64)
 
 
-def bin_signatures(owner: np.ndarray, hashes: np.ndarray, n_sets: int, k: int) -> np.ndarray:
-    """One-permutation MinHash (n_sets x k); an empty bin takes the value of the first filled bin on a hashed path of its own."""
-    bins = ((hashes * np.uint64(k)) >> _HASH_BITS).astype(np.int64)
-    place = owner * k + bins
-    first = np.ones(len(place), bool)
-    first[1:] = place[1:] != place[:-1]  # hashes ascend within a set, so bins do, and the first is the least
-    empty = np.uint64(0xFFFFFFFFFFFFFFFF)
-    signature = np.full((n_sets, k), empty, np.uint64)
-    signature.reshape(-1)[place[first]] = hashes[first]
-    filled = signature != empty
-    some = filled.any(axis=1)
-    for attempt in range(1, 64 * k):
-        row, col = np.nonzero(~filled & (signature == empty) & some[:, None])
-        if not len(row):
-            break
-        source = (mix64(col.astype(np.uint64) + np.uint64(attempt << 16)) % np.uint64(k)).astype(np.int64)
-        hit = filled[row, source]
-        signature[row[hit], col[hit]] = signature[row[hit], source[hit]]
-    return signature
-
-
 def _line_bands(params: LineParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", 2 << 20):
             fresh = list({x for t in part.column("text").to_pylist() if t for x in t.split("\n") if len(x) >= params.min_chars})
-            for a in range(0, len(fresh), 1 << 15):
-                lines = fresh[a : a + (1 << 15)]
+            for a in range(0, len(fresh), 1 << 13):
+                lines = fresh[a : a + (1 << 13)]
                 owner, hashes, _ = char_sets(lines, params.shingle)
                 keys = band_keys(bin_signatures(owner, hashes, len(lines), params.bands * params.rows), params.bands, params.rows)
                 ids = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines), np.uint64, len(lines)).view(np.int64)
@@ -120,7 +99,7 @@ def kept_lines(docs: DataFrame, params: LineParams | None = None, text: str = "t
     bands = texts.select("text").mapInArrow(_line_bands(params), "key long, id long")
     lines = texts.select("doc_id", _row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(F.length("line") >= params.min_chars)
     named = lines.select(F.xxhash64("line").alias("id"), F.col("line").alias("text"))
-    known = classes(bands, pair_verifier(named, lambda both: char_sets(both, params.shingle), params.similarity))
+    known = classes(bands, named, lambda both: char_sets(both, params.shingle), params.similarity)
     place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key", "pos")
     # The first of equal lines, then the first of each component: both are minima with partial sums.
     first = lines.groupBy(F.xxhash64("line").alias("id")).agg(F.min(place).alias("at"))

@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,7 @@ def word_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     lists = [_WORDS(t.lower()) if t else [] for t in texts]
     n = np.fromiter(map(len, lists), np.int64, len(lists))
     get = _ids.__getitem__
-    return np.fromiter((x for words in lists for x in map(get, words)), np.int32, int(n.sum())), n
+    return np.fromiter(map(get, chain.from_iterable(lists)), np.int32, int(n.sum())), n
 
 
 def _languages() -> tuple[list[str], np.ndarray, np.ndarray]:
