@@ -33,7 +33,7 @@ from auditframe.session import materialize, scratch_path, ship
 
 MAGIC = b"TPLANES1"
 BLOCK = 1 << 16
-LEVEL = 3
+LEVEL = 1
 NULL_ID = -(1 << 63)
 
 
@@ -183,7 +183,7 @@ def write_planes(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], li
         name = f"{root}/part-{part:05d}.planes"
         own = f"{name}.{context.taskAttemptId()}.tmp"
         try:
-            for piece in text_slices(batches):
+            for piece in text_slices(batches, "text", 2 << 20):
                 if writer is None:
                     system.create_dir(root, recursive=True)
                     stream = system.open_output_stream(own)
@@ -289,8 +289,9 @@ class WordTokenizer:
         return found
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not not_plain(t) for t in texts]
-        cut = iter(encode_plain([t.lower() for t, p in zip(texts, plain, strict=True) if p], cut_words, self.lookup, True))
+        low = [t.lower() for t in texts]
+        plain = [not not_plain(t) and not not_plain(x) for t, x in zip(texts, low, strict=True)]  # two capitals have small letters beyond the range
+        cut = iter(encode_plain([x for x, p in zip(low, plain, strict=True) if p], cut_words, self.lookup, True))
         return [np.frombuffer((next(cut) if p else self.whole(t)) + self.end, "<u4") for t, p in zip(texts, plain, strict=True)]
 
 
