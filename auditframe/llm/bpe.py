@@ -22,8 +22,8 @@ from auditframe.llm.pieces import cut_gpt, encode_plain, not_plain
 from auditframe.session import ship
 
 #: Entries that a worker's caches may hold before they are emptied.
-CACHE_ENTRIES = 700_000
-PAIR_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
+PAIR_ENTRIES = 200_000
 #: The pattern that ``pieces.cut_gpt`` knows (a fixed value of the vocabulary).
 GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _INF = 1 << 62
@@ -43,7 +43,7 @@ class PrefixBPE:
         self.token = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self._parents: dict[int, tuple[int, int] | None] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._left: dict[int, list[int]] = {}
         self._right: dict[int, list[int]] = {}
 
@@ -84,7 +84,7 @@ class PrefixBPE:
         tokens then at the border make a token of lower rank than what either side does next
         (at equal ranks the leftmost merge comes first).
         """
-        known = self._pairs.get((a, b))
+        known = self._pairs.get(a << 32 | b)
         if known is not None:
             return known
         left = self._right.get(a) or self._right.setdefault(a, self._spine(a, 1))
@@ -106,7 +106,7 @@ class PrefixBPE:
                 j += 1
         if len(self._pairs) >= PAIR_ENTRIES:
             self._pairs.clear()
-        self._pairs[(a, b)] = ok
+        self._pairs[a << 32 | b] = ok
         return ok
 
 
@@ -127,7 +127,7 @@ class PrefixEncoder:
             if not start:
                 return token
             before = last[start - 1]
-            ok = pairs.get((before, token))
+            ok = pairs.get(before << 32 | token)
             if ok or ok is None and bpe.pair_ok(before, token):
                 return token
         raise ValueError("no token ends here: a byte lacks a rank")
@@ -259,7 +259,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, key, pattern)
-        for part in text_slices(batches, text):
+        for part in text_slices(batches, text, 2 << 20):
             out = codec.encode([t or "" for t in part.column(text).to_pylist()])
             columns = [*part.columns, pa.array(out, pa.binary())]
             if decoded:

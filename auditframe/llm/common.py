@@ -9,11 +9,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one Python step holds at a time; a single longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the texts of each slice hold about ``limit`` bytes at most."""
+    """Cut record batches so that the texts of each slice hold about ``limit`` bytes at most.
+
+    From here on this process frees Arrow memory to the system: a worker shares its executor's limit.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -45,7 +45,7 @@ class DartParams:
         return self.bands * self.rows
 
 
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 class _WordHash(dict):

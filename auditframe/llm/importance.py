@@ -34,7 +34,7 @@ TEMPERATURE = 0.02
 PRIOR_GRAMS = 20
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 _REPEAT = 1
-_CACHE = 300_000
+_CACHE = 150_000
 
 
 class _Hashes(dict):

@@ -32,7 +32,7 @@ MAX_TRAIN = 8_000
 MIN_DOCS = 3
 EPOCHS = 6
 _WORDS = re.compile(r"\w+").findall
-_CACHE = 400_000
+_CACHE = 250_000
 #: Frequent function words (fixed lists) that tell the language of a text.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was with are",
