@@ -31,7 +31,7 @@ class LineParams:
 
     min_chars: int = 20
     shingle: int = 8
-    bands: int = 12
+    bands: int = 14
     rows: int = 4
     similarity: float = 0.8
     seed: int = 1
