@@ -190,6 +190,47 @@ def test_main_text_without_marks():
     assert html.main_text(page) == "Head\n\nA long sentence, with commas, and more words in it.\n\nAnother one, as long as the first, also with commas."
 
 
+LONG = "<p>A long sentence, with commas, and more words in it, as articles have.</p><p>Another one, as long as the first, also with commas, and a last part.</p>"
+WANT = "A long sentence, with commas, and more words in it, as articles have.\n\nAnother one, as long as the first, also with commas, and a last part."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article>{LONG}<div class=x1><a href=a>Other story here</a></div></article>",  # a teaser
+        f"<article>{LONG}<div class=x2>Buy this now</div></article>",  # an advert
+        f"<article>{LONG}<article><p>I like it.</p></article></article>",  # a reader's comment
+        f"<article>{LONG}<div class=card><p>Other story, short.</p></div></article>",
+        f"<article>{LONG}</article><article class=ad><p>Buy this, and that, now, or never.</p></article>",
+        f"<article>{LONG}</article><aside><article><p>Other story, in a card.</p></article><p>More, and more.</p></aside>",
+        f"<article>{LONG}</article><div class=related><article><p>Other story, in a card.</p></article></div>",
+        f"<div class=main-nav><p>Start, and news, and sport.</p></div><div id=main>{LONG}</div>",
+        f"<div id=main-menu><p>Start, and news, and sport.</p></div><div>{LONG}</div>",
+    ],
+)
+def test_furniture_in_and_beside_articles(page):
+    assert html.main_text(f"<body>{page}</body>") == WANT
+
+
+@pytest.mark.parametrize(
+    ("page", "more"),
+    [
+        (f"<article>{LONG}<ul><li>Point one<li>Point two</ul></article>", "\n\nPoint one\n\nPoint two"),
+        (f"<article>{LONG}<table><tr><td>1<td>2</table></article>", "\n\n1\n\n2"),
+        (f"<main><article class=card>{LONG}</article></main>", ""),
+        (f"<article><article>{LONG}</article></article>", ""),
+        (f"<div class=card>{LONG}</div>", ""),
+        (f"<div id=main class=has-sidebar>{LONG}</div>", ""),
+    ],
+)
+def test_text_of_articles_stays(page, more):
+    assert html.main_text(f"<body>{page}</body>") == WANT + more
+
+
+def test_linked_title():
+    assert html.main_text(f"<article><h2><a href=a>Title</a></h2>{LONG}</article>") == "Title\n\n" + WANT
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<<>>", "<p>" * 50, "</div></div>", "<a b='", "<script>", "text only, no tags.", "&#xffffffff; &bogus;"])
 def test_broken_pages(page):
     assert isinstance(html.main_text(page), str)
