@@ -3,7 +3,7 @@
 Lines are sets of character shingles. A one-permutation MinHash signature (each of k bins keeps its
 smallest hash, empty bins borrow from others) is banded for high recall; candidate pairs are verified
 by exact Jaccard similarity, and distributed union-find gives components. The first line of each
-component, in the order of doc_id and line number, stays.
+component, in the order of doc_id and line number, stays. Lines too short for that take part by equality.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ _HASH_BITS = np.uint64(44)
 
 @dataclass(frozen=True)
 class LineParams:
-    """Lines under ``min_chars`` code points take no part. ``shingle`` is a power of two."""
+    """Lines under ``min_chars`` code points take part by equality alone, blank ones not at all. ``shingle`` is a power of two."""
 
     min_chars: int = 20
     shingle: int = 8
@@ -79,10 +79,15 @@ def _row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("null")), text)
 
 
-def _parts(params: LineParams, text: Column) -> Column:
-    """Numbers of the lines that take part, from 0."""
+def _takes_part(params: LineParams, line: Column) -> Column:
+    return (F.length(line) >= params.min_chars) | line.rlike(r"\S")
+
+
+def _parts(params: LineParams, text: Column, short: bool) -> Column:
+    """Numbers of the lines that take part, from 0: those under ``min_chars`` or the others."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    numbers = F.transform(lines, lambda x, i: F.when(F.length(x) >= params.min_chars, i))
+    wanted = lambda x: (F.length(x) < params.min_chars) & x.rlike(r"\S") if short else F.length(x) >= params.min_chars
+    numbers = F.transform(lines, lambda x, i: F.when(wanted(x), i))
     return F.filter(numbers, lambda i: i.isNotNull())
 
 
@@ -97,8 +102,8 @@ def kept_lines(docs: DataFrame, params: LineParams | None = None, text: str = "t
     body = F.col(f"`{text}`")
     texts = docs.filter(body.isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text"))
     bands = texts.select("text").mapInArrow(_line_bands(params), "key long, id long")
-    lines = texts.select("doc_id", _row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(F.length("line") >= params.min_chars)
-    named = lines.select(F.xxhash64("line").alias("id"), F.col("line").alias("text"))
+    lines = texts.select("doc_id", _row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(_takes_part(params, F.col("line")))
+    named = lines.filter(F.length("line") >= params.min_chars).select(F.xxhash64("line").alias("id"), F.col("line").alias("text"))
     known = classes(bands, named, lambda both: char_sets(both, params.shingle), params.similarity)
     place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key", "pos")
     # The first of equal lines, then the first of each component: both are minima with partial sums.
@@ -108,10 +113,11 @@ def kept_lines(docs: DataFrame, params: LineParams | None = None, text: str = "t
 
 
 def line_report(docs: DataFrame, params: LineParams | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (line numbers from 0) of every row.
+    """doc_id, n_lines, n_removed, removed, n_removed_short, removed_short (line numbers from 0) of every row.
 
-    Null and empty texts: a null has no lines, an empty text has one, which stays. Short lines and
-    lines of white space under ``min_chars`` stay. Rows that repeat a doc_id and text share their
+    ``removed`` has lines of ``min_chars`` or more, ``removed_short`` shorter ones that equal an earlier line.
+    Null and empty texts: a null has no lines, an empty text has one, which stays. Lines of white
+    space under ``min_chars`` stay. Rows that repeat a doc_id and text share their
     lines' fate. Extra columns take no part.
     """
     params = params or LineParams()
@@ -121,11 +127,13 @@ def line_report(docs: DataFrame, params: LineParams | None = None, text: str = "
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
         _row_key(F.col(f"`{doc_id}`").cast("long"), body).alias("row_key"),
         F.when(body.isNull(), 0).otherwise(F.size(F.split(body, "\n", -1))).cast("long").alias("n_lines"),
-        _parts(params, body).alias("parts"),
+        _parts(params, body, False).alias("parts"),
+        _parts(params, body, True).alias("short"),
     )
-    removed = F.array_except("parts", F.coalesce("kept", F.array().cast("array<int>")))
-    out = slim.join(kept, "row_key", "left").select("doc_id", "n_lines", removed.alias("removed"))
-    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    gone = lambda parts: F.array_except(parts, F.coalesce("kept", F.array().cast("array<int>")))
+    out = slim.join(kept, "row_key", "left").select("doc_id", "n_lines", gone("parts").alias("removed"), gone("short").alias("removed_short"))
+    count = lambda name: F.size(name).cast("long").alias(f"n_{name}")
+    return out.select("doc_id", "n_lines", count("removed"), "removed", count("removed_short"), "removed_short")
 
 
 def dedup_lines(docs: DataFrame, params: LineParams | None = None, text: str = "text", doc_id: str = "doc_id", n_chars: str | None = "n_chars") -> DataFrame:
@@ -137,7 +145,7 @@ def dedup_lines(docs: DataFrame, params: LineParams | None = None, text: str = "
     kept = kept_lines(docs, params, text, doc_id)
     body = F.col(f"`{text}`")
     joined = docs.withColumn("__key", _row_key(F.col(f"`{doc_id}`").cast("long"), body)).join(kept.select(F.col("row_key").alias("__key"), F.col("kept").alias("__kept")), "__key", "left")
-    stay = F.filter(F.split(body, "\n", -1), lambda x, i: (F.length(x) < params.min_chars) | F.coalesce(F.array_contains("__kept", i), F.lit(False)))
+    stay = F.filter(F.split(body, "\n", -1), lambda x, i: ~_takes_part(params, x) | F.coalesce(F.array_contains("__kept", i), F.lit(False)))
     out = joined.withColumn(text, F.array_join(stay, "\n"))
     if n_chars and n_chars in docs.columns:
         out = out.withColumn(n_chars, F.length(body).cast("long"))

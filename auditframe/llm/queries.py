@@ -74,7 +74,7 @@ def op9_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed."""
+    """doc_id, n_lines, n_removed, removed, n_removed_short, removed_short."""
     return lines.line_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -123,6 +123,25 @@ def test_op10_odd(spark):
     assert lines.line_report(empty_documents(spark)).count() == 0
 
 
+def test_op10_short_lines_by_equality(spark):
+    docs = spark.createDataFrame([(1, "Les.\n\n  \nOther"), (2, "Les.\n\n  \nles."), (3, "Other\nLes.\n" + "x" * 19)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lines.line_report(docs).collect()}
+    assert [(got[i].removed, sorted(got[i].removed_short), got[i].n_removed_short) for i in (1, 2, 3)] == [([], [], 0), ([], [0], 1), ([], [0, 1], 2)]
+    assert {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()} == {1: "Les.\n\n  \nOther", 2: "\n  \nles.", 3: "x" * 19}
+
+
+def test_op10_short_lines_of_a_table(spark, data):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    seen, want = set(), {}
+    for i in sorted(docs):
+        for p, line in enumerate((docs[i] or "").split("\n")):
+            if len(line) < 20 and line.strip():
+                if line in seen:
+                    want.setdefault(i, []).append(p)
+                seen.add(line)
+    assert want and {r.doc_id: sorted(r.removed_short) for r in queries.op10_fuzzy_lines(spark, data).collect() if r.removed_short} == want
+
+
 def test_components(spark):
     rnd = random.Random(6)
     edges = [(rnd.randint(0, 400), rnd.randint(0, 400)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1200)] + [(7, 7)]
