@@ -54,12 +54,12 @@ def line_fault(line: str, words: list[bytes], rules: LineRules) -> str | None:
     """The first rule that a line with words fails, or None."""
     n = len(words)
     symbols = sum(map(line.count, SYMBOLS))
-    if symbols:
+    if not SEPARATORS.isdisjoint(words):
         separators = sum(w in SEPARATORS for w in words)
         if separators >= rules.min_separators and separators >= rules.separator_share * n:
             return "navigation"
-        if sum(any(c in _SYMBOL_BYTES for c in w) for w in words) > rules.symbol_share * n and symbols > 2:
-            return "symbols"
+    if symbols > 2 and sum(any(c in _SYMBOL_BYTES for c in w) for w in words) > rules.symbol_share * n:
+        return "symbols"
     if n >= 4:
         if "!!" in line and sum(w.endswith(b"!!") for w in words) > rules.shout_share * n:
             return "shouting"

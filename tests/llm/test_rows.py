@@ -55,6 +55,16 @@ def test_line_faults(line, want):
 
 
 # --- op4
+@pytest.mark.parametrize("separator", sorted(x.decode() for x in rules.SEPARATORS))
+def test_menus_by_every_separator(separator):
+    menu = f" {separator} ".join(["Home page", "Our news", "All sports", "The weather", "Local radio", "Write us."])
+    assert rules.line_fault(menu, menu.encode().split(), rules.LineRules()) == "navigation"
+    prose = f"The first part of this long sentence {separator} and then the second one {separator} goes on to its end here."
+    assert rules.line_fault(prose, prose.encode().split(), rules.LineRules()) is None
+    text = "\n".join(["A sentence about one thing or another, as they come."] * 5 + [menu] * 5)
+    assert not rules.judge(text, rules.LineRules())[6]
+
+
 def test_mix_equals_sql(spark, data):
     same(queries.op4_water_filling(spark, data), queries.oracle_sql()["op4_water_filling"], data)
 
