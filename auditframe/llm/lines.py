@@ -3,7 +3,9 @@
 Lines are sets of character shingles. A one-permutation MinHash signature (each of k bins keeps its
 smallest hash, empty bins borrow from others) is banded for high recall; candidate pairs are verified
 by exact Jaccard similarity, and distributed union-find gives components. The first line of each
-component, in the order of doc_id and line number, stays. Lines too short for that take part by equality.
+component, in the order of doc_id and line number, stays. A changed character breaks as many shingles
+as they are long, so short lines have shorter shingles; lines about the border have both kinds, as two
+nodes, and meet lines of either side. Lines too short for that take part by equality.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from auditframe.llm.candidates import bin_signatures, classes
 from auditframe.llm.common import mix64, text_slices
+from auditframe.llm.components import components
 from auditframe.llm.dart import band_keys
 from auditframe.session import materialize, ship
 
@@ -27,15 +30,24 @@ _HASH_BITS = np.uint64(44)
 
 @dataclass(frozen=True)
 class LineParams:
-    """Lines under ``min_chars`` code points take part by equality alone, blank ones not at all. ``shingle`` is a power of two."""
+    """Lines under ``min_chars`` code points take part by equality alone, blank ones not at all. ``shingle`` and
+    ``short_shingle`` are powers of two; a pair whose shorter line has under ``short_chars`` is compared by the
+    latter."""
 
     min_chars: int = 20
     shingle: int = 8
+    short_shingle: int = 4
+    short_chars: int = 80
     bands: int = 14
     rows: int = 4
     similarity: float = 0.8
     seed: int = 1
 
+    @property
+    def border(self) -> int:
+        """The first length with which no line under ``short_chars`` can be similar, repeats within lines aside."""
+        return int((self.short_chars - self.short_shingle) / self.similarity) + self.short_shingle
+
 
 def char_sets(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct character shingles of each line as (line number, 44-bit hash, 1), sorted.
@@ -61,13 +73,40 @@ def char_sets(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, n
     return (keys >> _HASH_BITS).astype(np.int64), keys & np.uint64((1 << 44) - 1), np.ones(len(keys), np.int64)
 
 
+#: Before a line's text as the node of its short shingles; no line holds it.
+_TWIN = "\n"
+
+
+def line_sets(nodes: list[str], params: LineParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``char_sets`` of nodes: short shingles for lines under ``short_chars`` and twins, else long ones."""
+    short = np.fromiter((x.startswith(_TWIN) or len(x) < params.short_chars for x in nodes), bool, len(nodes))
+    found = []
+    for kind, size in ((True, params.short_shingle), (False, params.shingle)):
+        at = np.flatnonzero(short == kind)
+        if len(at):
+            owner, hashes, ones = char_sets([nodes[k].removeprefix(_TWIN) for k in at], size)
+            found.append((at[owner], hashes, ones))
+    if len(found) == 1:
+        return found[0]
+    if not found:
+        return char_sets(nodes, params.shingle)
+    owner, hashes, ones = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(owner, kind="stable")
+    return owner[order], hashes[order], ones
+
+
+def _has_twin(params: LineParams, line: Column) -> Column:
+    return F.length(line).between(params.short_chars, params.border)
+
+
 def _line_bands(params: LineParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", 2 << 20):
             fresh = list({x for t in part.column("text").to_pylist() if t for x in t.split("\n") if len(x) >= params.min_chars})
+            fresh += [_TWIN + x for x in fresh if params.short_chars <= len(x) <= params.border]
             for a in range(0, len(fresh), 1 << 13):
                 lines = fresh[a : a + (1 << 13)]
-                owner, hashes, _ = char_sets(lines, params.shingle)
+                owner, hashes, _ = line_sets(lines, params)
                 keys = band_keys(bin_signatures(owner, hashes, len(lines), params.bands * params.rows), params.bands, params.rows)
                 ids = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines), np.uint64, len(lines)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, params.bands))], ["key", "id"])
@@ -103,8 +142,16 @@ def kept_lines(docs: DataFrame, params: LineParams | None = None, text: str = "t
     texts = docs.filter(body.isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text"))
     bands = texts.select("text").mapInArrow(_line_bands(params), "key long, id long")
     lines = texts.select("doc_id", _row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(_takes_part(params, F.col("line")))
-    named = lines.filter(F.length("line") >= params.min_chars).select(F.xxhash64("line").alias("id"), F.col("line").alias("text"))
-    known = classes(bands, named, lambda both: char_sets(both, params.shingle), params.similarity)
+    fuzzy = lines.filter(F.length("line") >= params.min_chars)
+    twin = F.concat(F.lit(_TWIN), "line")
+    nodes = F.explode(F.when(_has_twin(params, F.col("line")), F.array("line", twin)).otherwise(F.array("line")))
+    named = fuzzy.select(nodes.alias("text")).select(F.xxhash64("text").alias("id"), "text")
+    known = classes(bands, named, lambda both: line_sets(both, params), params.similarity)
+    # A twin's class is its line's.
+    twins = fuzzy.filter(_has_twin(params, F.col("line"))).select(F.xxhash64("line").alias("u"), F.xxhash64(twin).alias("id"))
+    same = materialize(twins.join(known, "id").select("u", F.col("component").alias("v")).distinct(), "twins")
+    if not same.isEmpty():
+        known = components(known.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(same))
     place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key", "pos")
     # The first of equal lines, then the first of each component: both are minima with partial sums.
     first = lines.groupBy(F.xxhash64("line").alias("id")).agg(F.min(place).alias("at"))

@@ -142,6 +142,29 @@ def test_op10_short_lines_of_a_table(spark, data):
     assert want and {r.doc_id: sorted(r.removed_short) for r in queries.op10_fuzzy_lines(spark, data).collect() if r.removed_short} == want
 
 
+def test_op10_one_changed_character(spark):
+    rnd = random.Random(12)
+    made, n = [], 0
+    for size in (39, 40, 45, 50, 60, 70, 78, 79, 80, 81, 90, 98, 99, 100, 120):
+        line = "".join(rnd.sample([chr(c) for c in range(0x4E00, 0x5000)], size))
+        half = size // 2
+        for k, other in enumerate((line, line[:half] + "x" + line[half + 1 :], line[:half] + "x" + line[half:])):  # as it is, changed, one more
+            made.append((n + k, other))
+        n += 10
+    got = {r.doc_id: r.removed for r in lines.line_report(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {i: [0] if i % 10 else [] for i, _ in made}
+
+
+def test_line_sets_are_sets_of_each_kind():
+    params = lines.LineParams()
+    mixed = ["a" * 30 + "bcdefgh", "\n" + "xyz" * 30, "xyz" * 30, "q" * 20, "abcdefghijkl" * 20]
+    owner, hashes, ones = lines.line_sets(mixed, params)
+    for k, x in enumerate(mixed):
+        want = lines.char_sets([x.strip()], 4 if k in {0, 1, 3} else 8)[1]
+        assert (hashes[owner == k] == want).all() and len(want) == (owner == k).sum()
+    assert len(ones) == len(owner) and (np.diff(owner) >= 0).all()
+
+
 def test_components(spark):
     rnd = random.Random(6)
     edges = [(rnd.randint(0, 400), rnd.randint(0, 400)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1200)] + [(7, 7)]
