@@ -126,7 +126,8 @@ def classes(bands: DataFrame, texts: DataFrame, sets: Sets, similarity: float, h
         links = links.unionByName(more)
         known = components(links)
     hub = members.select("key", F.col("a").alias("hub"), F.col("b").alias("id"))
-    still = outside.filter(F.col("n") > hubs).join(hub, ["key", "id"]).join(of(known, "hub", "ch"), "hub", "left").join(of(known, "id", "ci"), "id", "left")
+    # n is without the hub, and the later hubs are one fewer than hubs: with n = hubs one member met no other.
+    still = outside.filter(F.col("n") >= hubs).join(hub, ["key", "id"]).join(of(known, "hub", "ch"), "hub", "left").join(of(known, "id", "ci"), "id", "left")
     still = materialize(still.filter(F.coalesce("ch", "hub") != F.coalesce("ci", "id")).select("key", "id"), "outsiders")
     if still.isEmpty():
         return known
@@ -170,10 +171,22 @@ def bin_signatures(owner: np.ndarray, hashes: np.ndarray, n_sets: int, k: int) -
     return signature
 
 
+def _copies(owner: np.ndarray, hashes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets without weights, as similar as the weighted ones: each element as often as it weighs, sorted."""
+    if (weight == 1).all():
+        return owner, hashes
+    weight = weight.astype(np.int64)
+    turn = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    owner, hashes = np.repeat(owner, weight), np.repeat(hashes, weight)
+    hashes = np.where(turn == 0, hashes, mix64(hashes + (turn.astype(np.uint64) << np.uint64(44))) >> np.uint64(20))
+    order = np.lexsort((hashes, owner))
+    return owner[order], hashes[order]
+
+
 def _sketches(sets: Sets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x.slice(a, SKETCH_ROWS) for x in text_slices(batches, "text", 1 << 20) for a in range(0, x.num_rows, SKETCH_ROWS)):
-            owner, hashes, _ = sets(part.column("text").to_pylist())
+            owner, hashes = _copies(*sets(part.column("text").to_pylist()))
             marks = (mix64(bin_signatures(owner, hashes, part.num_rows, SKETCH)) & np.uint64(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), pa.array([r.tobytes() for r in marks], pa.binary())], ["id", "text", "sketch"])
 

@@ -196,6 +196,30 @@ def test_streamed_runs_do_not_depend_on_batches():
     assert read(1000) == sorted((k, hubs[k], i) for k, i in rows if i != hubs[k])
 
 
+def number_sets(texts):
+    """Texts are numbers or number*weight."""
+    rows = sorted((k, int(candidates.mix64(np.array([int(x.split("*")[0])], np.uint64))[0] >> np.uint64(20)), int((x + "*1").split("*")[1])) for k, t in enumerate(texts) for x in t.split())
+    owner, hashes, weight = zip(*rows, strict=True)
+    return np.array(owner, np.int64), np.array(hashes, np.uint64), np.array(weight, np.int64)
+
+
+def test_last_member_of_a_run_of_nine(spark):
+    span = lambda a, b: " ".join(map(str, range(a, b)))
+    texts = [(0, span(0, 40)), (1, span(6, 46)), *((i, span(0, 40)) for i in range(2, 8)), (8, span(3, 43))]  # 1 is like 8 alone, 8 is like the hub
+    bands = spark.createDataFrame([(5, i) for i, _ in texts], "key long, id long")
+    got = candidates.classes(bands, spark.createDataFrame(texts, "id long, text string"), number_sets, 0.8)
+    assert {r.id: r.component for r in got.collect()} == dict.fromkeys(range(9), 0)
+
+
+def test_sketches_hold_weights(spark):
+    # Of weights 90 %, of plain sets a fifth in common.
+    a, b = ("7*90 8*90 9*90 " + " ".join(map(str, range(x, x + 12))) for x in (100, 200))
+    assert candidates.jaccard_pairs([a], [b], number_sets)[0] >= 0.8
+    bands = spark.createDataFrame([(1, 1), (1, 2)], "key long, id long")
+    got = candidates.classes(bands, spark.createDataFrame([(1, a), (2, b)], "id long, text string"), number_sets, 0.8)
+    assert {r.id: r.component for r in got.collect()} == {1: 1, 2: 1}
+
+
 # --- op5
 def test_forest_recall(spark, data):
     rows = spark.read.parquet(f"{data}/embeddings.parquet").collect()
