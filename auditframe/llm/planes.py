@@ -247,14 +247,15 @@ class WordTokenizer:
 
     The library normalises plain text character by character (NFC leaves it, white space parts words,
     lower case), so its words can be cut beforehand. They are encoded by the library in one text, a
-    space between; each ends with a token whose string ends in ``</w>``. Other text goes to it whole.
+    space between; each ends with a token whose string ends in ``</w>``. Other text goes to it whole,
+    and so does text with the string of an added token, which the library gives the token's own id.
     """
 
     def __init__(self, model: str, end_id: int | None) -> None:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_str(model)
-        self.lib.encode_special_tokens = True
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         vocabulary = self.lib.get_vocab(with_added_tokens=False)
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -290,7 +291,7 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         low = [t.lower() for t in texts]
-        plain = [not not_plain(t) and not not_plain(x) for t, x in zip(texts, low, strict=True)]  # two capitals have small letters beyond the range
+        plain = [not not_plain(t) and not not_plain(x) and not any(a in t or a in x for a in self.added) for t, x in zip(texts, low, strict=True)]  # two capitals have small letters beyond the range
         cut = iter(encode_plain([x for x, p in zip(low, plain, strict=True) if p], cut_words, self.lookup, True))
         return [np.frombuffer((next(cut) if p else self.whole(t)) + self.end, "<u4") for t, p in zip(texts, plain, strict=True)]
 

@@ -78,6 +78,15 @@ def test_words_equal_library(library, texts):
         assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_added_tokens_have_their_ids():
+    from tokenizers import Tokenizer
+
+    own, lib = planes.WordTokenizer(open(P.path("word_bpe_49k.json"), encoding="utf-8").read(), 1), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = ["a <|startoftext|> b", "<|endoftext|>", "x<|endoftext|>y<|startoftext|", "A <|STARTOFTEXT|> b", "<| startoftext |>", "é日 <|endoftext|>", "plain words"]
+    got = [ids.tolist() for ids in own(texts)]
+    assert got == [[*lib.encode(t, add_special_tokens=False).ids, 1] for t in texts] and 49406 in got[0] and 49407 in got[1]
+
+
 @pytest.mark.parametrize("mode", ["byte", "bit"])
 @pytest.mark.parametrize("block", [1, 7, 64])
 def test_plane_files_round_trip(mode, block):
