@@ -1,14 +1,14 @@
 """From banding keys to classes: candidate pairs, exact verification, union-find.
 
-Rows that share a band key are a run. A run is read as a sorted stream and costs as many pairs as it
-has members, whatever its size: each member meets the run's first member, its hub. Hub pairs are
+Rows that share a band key are a run. A run costs as many pairs as it has members, whatever its size: each member meets the run's first member, its hub. Hub pairs are
 verified exactly and united. A member that is still apart from its hub is an outsider of the run; few
-are. Outsiders meet the next hubs of the run, which covers every pair of a short run. What a long run
-still leaves apart is settled by streaming all its members past its outsiders, so no pair of a run
-that could join two classes is left out.
+are. Outsiders meet the next hubs of the run, which covers every pair of a short run. What long runs
+still leave apart is settled by streaming their members past their outsiders, once for all runs whose
+hubs are in one class, so no pair of a run that could join two classes is left out.
 
 Before texts are fetched for a pair, short sketches of both are compared: a pair whose sketches agree
-in fewer than 38 of 64 places is dropped. At a similarity of 0.8 that happens about twice in 100,000 times.
+in fewer than 36 of 64 places is dropped. At a similarity of 0.8 that happens about four times in a
+million, far less often than that the bands miss such a pair.
 """
 
 from __future__ import annotations
@@ -17,79 +17,142 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditframe.llm.common import mix64, text_slices
-from auditframe.llm.components import components
+from auditframe.llm.components import components, extended
 from auditframe.session import materialize, ship
 
 #: The first members of a run serve as hubs, one after another.
 HUBS = 8
 SKETCH = 64
-SKETCH_LEAST = 38
+SKETCH_LEAST = 36
 #: Texts whose sketches are made at a time.
 SKETCH_ROWS = 4_096
-#: Outsiders of a run that one task holds while the run's members stream past.
-OUTSIDERS = 128
-#: Bytes of members' texts that meet a chunk of outsiders at a time.
+#: A class's outsiders that one task holds while its members stream past: their number and bytes.
+OUTSIDERS = 1_024
+OUTSIDER_BYTES = 1 << 19
+#: Members that stream past them in one task.
+STREAM_ROWS = 1_024
+STREAM_BYTES = 1 << 26
+#: Members that meet the outsiders at a time: number, bytes and common elements.
+MEMBERS = 256
 MEMBER_BYTES = 1 << 16
-#: Their elements that are looked up at a time.
-ELEMENTS = 4_096
-#: Up to so many ids of wanted texts (8 bytes each) are broadcast to filter the texts where they are
+MATCHES = 1 << 20
+#: One text in so many tells which keys are hot: those found ``HOT_SAMPLED`` times, ``HOT_KEYS`` at most.
+SAMPLE = 64
+HOT_SAMPLED = 24
+HOT_KEYS = 2_000
+#: Parts of a hot run.
+SALTS = 64
+#: Band rows of one partition (16 bytes each), by the sample's estimate.
+RUN_ROWS = 2_000_000
+#: Up to so many ids of wanted texts (8 bytes each, 8 MB in all) are broadcast to filter the texts where they are
 #: read; beyond, texts and ids meet in a shuffle.
-BROADCAST_IDS = 250_000
+BROADCAST_IDS = 1_000_000
 
 
-def _stream(hubs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Reads (key, id) sorted by both; gives (key, a, b): b is a member whose hub is a, or, with b null, a is a later hub."""
+def _stream(hubs: int, whole: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Reads the (key, id) rows of a partition; gives (key, a, b): b is a member whose hub is a, or, with b null, a is a later hub.
+
+    A partition holds about ``RUN_ROWS`` rows of 16 bytes. Runs whose keys are in ``whole`` (sorted) also
+    give their hub among the later ones, so that a lone member shows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hub = last = None  # of the open run, with its last id
-        count = 0  # members of it so far
-        for batch in batches:
-            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            fresh = np.ones(len(keys), bool)
-            fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-            if len(keys) and key is not None and keys[0] == key and ids[0] == last:
-                fresh[0] = False
-            keys, ids = keys[fresh], ids[fresh]
-            if not len(keys):
-                continue
-            goes_on = key is not None and keys[0] == key
-            starts = np.flatnonzero(np.concatenate([[not goes_on], keys[1:] != keys[:-1]]))
-            begin = np.zeros(len(keys), np.int64)
-            begin[starts] = starts
-            begin = np.maximum.accumulate(begin)
-            rank = np.arange(len(keys)) - begin
-            own = ids[begin]
-            if goes_on:
-                head = starts[0] if len(starts) else len(keys)
-                rank[:head] += count
-                own[:head] = hub
-            pick = rank > 0
-            later = pick & (rank < hubs)
-            out_key = np.concatenate([keys[pick], keys[later]])
-            if len(out_key):
-                b = pa.array(np.concatenate([ids[pick], ids[later]]), mask=np.concatenate([np.zeros(pick.sum(), bool), np.ones(later.sum(), bool)]))
-                yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(np.concatenate([own[pick], ids[later]])), b], ["key", "a", "b"])
-            key, hub, count, last = keys[-1], own[-1], rank[-1] + 1, ids[-1]
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        same = keys[1:] == keys[:-1]
+        shared = np.zeros(len(keys), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        if whole is not None and len(whole):
+            shared |= whole[np.searchsorted(whole, keys).clip(max=len(whole) - 1)] == keys
+        keys, ids = keys[shared], ids[shared]  # few rows share their key
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        keys, ids = keys[fresh], ids[fresh]
+        if not len(keys):
+            return
+        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        begin = np.repeat(begin, np.diff(np.append(begin, len(keys))))
+        rank = np.arange(len(keys)) - begin
+        pick = rank > 0
+        later = pick & (rank < hubs)
+        if whole is not None and len(whole):
+            later |= (rank == 0) & (whole[np.searchsorted(whole, keys).clip(max=len(whole) - 1)] == keys)
+        for mask, a, b in ((pick, ids[begin], ids), (later, ids, None)):
+            at = np.flatnonzero(mask)
+            for k in range(0, len(at), 1 << 16):
+                part = at[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(a[part]), pa.array(b[part]) if b is not None else pa.nulls(len(part), pa.int64())], ["key", "a", "b"])
 
     return run
 
 
-def classes(bands: DataFrame, texts: DataFrame, sets: Sets, similarity: float, hubs: int = HUBS) -> DataFrame:
+def sampled(rows: DataFrame, text: Column) -> DataFrame:
+    """About one row in ``SAMPLE``, by a hash of the text."""
+    return rows.filter(F.pmod(F.xxhash64(text, F.lit(SAMPLE)), F.lit(SAMPLE)) == 0)
+
+
+def _runs(bands: DataFrame, sample: DataFrame | None, hubs: int) -> DataFrame:
+    """(key, a, b) as ``_stream`` gives it for whole runs; hot runs are read in ``SALTS`` parts.
+
+    The sample only says which runs are hot. Its table has ``HOT_KEYS`` rows at most, so it may be
+    broadcast: a key that is not among the most frequent ones has less than a share of 1 / HOT_KEYS.
+    """
+    spark = bands.sparkSession
+    setting = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = materialize((bands if sample is None else sample).groupBy("key").agg(F.count("*").alias("n")), "band-sample")
+    seen = (counts.agg(F.sum("n")).first()[0] or 0) * (1 if sample is None else SAMPLE)
+    hot = [] if sample is None else [r.key for r in counts.filter(F.col("n") >= HOT_SAMPLED).orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()]
+
+    def streamed(rows: DataFrame, whole: np.ndarray | None = None) -> DataFrame:
+        dealt = rows.select("key", "id").repartition(max(setting, -(-seen // RUN_ROWS)), "key")
+        return materialize(dealt.mapInArrow(_stream(hubs, whole), "key long, a long, b long"), "runs")
+
+    if not hot:
+        return streamed(bands)
+    part = lambda salt: F.xxhash64("key", salt)
+    keys = spark.createDataFrame([(k,) for k in hot], "key long")
+    parts = materialize(keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).select("key", part(F.col("salt")).alias("part")), "hot-runs")
+    whole = np.sort(np.array([r.part for r in parts.select("part").collect()], np.int64))
+    salted = bands.join(F.broadcast(keys.withColumn("hot", F.lit(True))), "key", "left")
+    salted = salted.select(F.when(F.col("hot"), part(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SALTS)).cast("int"))).otherwise(F.col("key")).alias("key"), "id")
+    found = streamed(salted, whole)
+    of_parts = F.broadcast(parts.select(F.col("key").alias("run"), F.col("part").alias("key")))
+    cold = found.join(of_parts, "key", "left_anti")
+    warm = found.join(of_parts, "key").select(F.col("run").alias("key"), "a", "b")
+    every = warm.filter("b is null").select("key", F.col("a").alias("id")).unionByName(warm.filter("b is not null").select("key", F.col("b").alias("id"))).distinct()
+    ranked = warm.filter("b is null").select("key", "a").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("a"))).filter(F.col("rank") <= hubs)
+    ranked = materialize(ranked, "hot-hubs")
+    joined = every.join(F.broadcast(ranked.filter("rank = 1").select("key", "a")), "key").filter("a != id").select("key", "a", F.col("id").alias("b"))
+    later = ranked.filter("rank > 1").select("key", "a", F.lit(None).cast("long").alias("b"))
+    return cold.unionByName(materialize(joined.unionByName(later), "hot-members"))
+
+
+def classes(bands: DataFrame, texts: DataFrame, sets: Sets, similarity: float, hubs: int = HUBS, sample: DataFrame | None = None, twin_of: Column | None = None) -> DataFrame:
     """(id, component) of all ids that a link joins, from bands (key long, id long) and texts (id, text; copies allowed).
 
+    ``sample`` holds the bands of ``sampled`` texts; with it, very frequent keys are dealt over many tasks.
+    ``twin_of``, an expression over text, is the id that a node is only another form of, or null: both are united.
+
     Two texts are linked at a Jaccard similarity of ``similarity`` or more of their ``sets``. Repeated
     band rows are harmless. Ids are hashes, so their order is a random one. Only texts that share a
     run are moved, and once.
     """
     spark = bands.sparkSession
     ship(spark)
-    runs = bands.select("key", "id").repartition(F.col("key")).sortWithinPartitions("key", "id")
-    found = materialize(runs.mapInArrow(_stream(hubs), "key long, a long, b long"), "runs")
+    found = _runs(bands, sample, hubs)
     members = found.filter("b is not null")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     hub_pairs = materialize(members.select(*pair).distinct(), "hub-pairs")
@@ -111,6 +174,8 @@ def classes(bands: DataFrame, texts: DataFrame, sets: Sets, similarity: float, h
         return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_compare(sets, similarity), "u long, v long"), "links")
 
     links = linked(hub_pairs)
+    if twin_of is not None:
+        links = links.unionByName(needed.select(F.col("id").alias("u"), twin_of.alias("v")).filter("v is not null"))
     known = components(links)
     # Outsiders of runs, by (key, member).
     marked = members.join(of(known, "a", "ca"), "a", "left").join(of(known, "b", "cb"), "b", "left")
@@ -123,23 +188,36 @@ def classes(bands: DataFrame, texts: DataFrame, sets: Sets, similarity: float, h
     met = outside.join(later, "key").select(F.col("id").alias("a"), F.col("other").alias("b")).filter("a != b").select(*pair).distinct()
     more = linked(met.join(hub_pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        links = links.unionByName(more)
-        known = components(links)
+        known = extended(known, more)
     hub = members.select("key", F.col("a").alias("hub"), F.col("b").alias("id"))
     # n is without the hub, and the later hubs are one fewer than hubs: with n = hubs one member met no other.
     still = outside.filter(F.col("n") >= hubs).join(hub, ["key", "id"]).join(of(known, "hub", "ch"), "hub", "left").join(of(known, "id", "ci"), "id", "left")
-    still = materialize(still.filter(F.coalesce("ch", "hub") != F.coalesce("ci", "id")).select("key", "id"), "outsiders")
+    still = materialize(still.filter(F.coalesce("ch", "hub") != F.coalesce("ci", "id")).select("key", "id", F.coalesce("ch", "hub").alias("c")), "outsiders")
     if still.isEmpty():
         return known
-    # Each key's outsiders in chunks; every chunk sees all members of the run, those of its own class aside.
-    numbered = still.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1) / OUTSIDERS))
-    chunks = numbered.select("key", "chunk").distinct()
-    inside = members.select("key", F.col("b").alias("id")).join(chunks, "key").select("key", "chunk", "id", F.lit(1).alias("turn"))
-    rows = numbered.select("key", "chunk", "id", F.lit(0).alias("turn")).unionByName(inside)
-    rows = rows.join(needed.select("id", "text"), "id").join(of(known, "id", "c"), "id", "left").select("key", "chunk", "turn", "id", F.coalesce("c", "id").alias("c"), "text")
-    ordered = rows.repartition(F.col("key"), F.col("chunk")).sortWithinPartitions("key", "chunk", "turn", "id")
+    # An open run belongs to its hub's class. Runs of one class are settled together, so that neither its
+    # outsiders nor its members are read again for each band: all its members pass each chunk of its outsiders.
+    open_runs = still.select("key", F.col("c")).distinct()
+    inside = members.select("key", F.col("b").alias("id")).join(open_runs, "key").select("c", "id").distinct()
+    apart_ids = still.select("c", "id").distinct()
+    weights = needed.select("id", F.octet_length("text").alias("size"))
+
+    def dealt(rows: DataFrame, size: int, most: int, name: str) -> DataFrame:
+        """(c, name): into how many parts a class's rows are dealt, by their bytes and number."""
+        parts = F.greatest(F.ceil(F.sum("size") / size), F.ceil(F.count("*") / most)).cast("int")
+        return rows.join(weights, "id").groupBy("c").agg(parts.alias(name))
+
+    shape = dealt(apart_ids, OUTSIDER_BYTES, OUTSIDERS, "chunks").join(dealt(inside, STREAM_BYTES, STREAM_ROWS, "shares"), "c")
+    shape = materialize(shape, "shape")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n)).cast("int").alias(n)
+    first = apart_ids.join(shape, "c").select("c", mine("chunks"), every("shares").alias("shares"), "id", F.lit(0).alias("turn"))
+    then = inside.join(shape, "c").select("c", every("chunks").alias("chunks"), mine("shares"), "id", F.lit(1).alias("turn"))
+    rows = first.unionByName(then).join(needed.select("id", "text"), "id").join(of(known, "id", "own"), "id", "left")
+    rows = rows.select("c", "chunks", "shares", "turn", "id", F.coalesce("own", "id").alias("own"), "text")
+    ordered = rows.repartition("c", "chunks", "shares").sortWithinPartitions("c", "chunks", "shares", "turn", "id")
     last = materialize(ordered.mapInArrow(_past_outsiders(sets, similarity), "u long, v long"), "links")
-    return known if last.isEmpty() else components(links.unionByName(last))
+    return known if last.isEmpty() else extended(known, last)
 
 
 #: From texts: (text number, hash of 44 bits, weight) of each distinct element, sorted by number and hash.
@@ -147,24 +225,21 @@ Sets = Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def bin_signatures(owner: np.ndarray, hashes: np.ndarray, n_sets: int, k: int) -> np.ndarray:
-    """One-permutation MinHash (n_sets x k) of sorted sets of 44-bit hashes: each bin keeps its smallest.
+    """One-permutation MinHash (n_sets x k) of sets of 44-bit hashes, repeats allowed: each bin keeps its smallest.
 
     An empty bin takes the value of the first filled bin on a hashed path of its own; an empty set has
     no value but the largest.
     """
-    bins = ((hashes * np.uint64(k)) >> np.uint64(44)).astype(np.int64)
-    place = owner * k + bins
-    first = np.ones(len(place), bool)
-    first[1:] = place[1:] != place[:-1]  # hashes ascend within a set, so bins do, and the first is the least
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     signature = np.full((n_sets, k), empty, np.uint64)
-    signature.reshape(-1)[place[first]] = hashes[first]
+    np.minimum.at(signature.reshape(-1), owner * k + ((hashes * np.uint64(k)) >> np.uint64(44)).astype(np.int64), hashes)
     filled = signature != empty
     row, col = np.nonzero(~filled & filled.any(axis=1)[:, None])
+    every = np.arange(k, dtype=np.uint64)
     for attempt in range(1, 64 * k):
         if not len(row):
             break
-        source = (mix64(col.astype(np.uint64) + np.uint64(attempt << 16)) % np.uint64(k)).astype(np.int64)
+        source = (mix64(every + np.uint64(attempt << 16)) % np.uint64(k)).astype(np.int64)[col]
         hit = filled[row, source]
         signature[row[hit], col[hit]] = signature[row[hit], source[hit]]
         row, col = row[~hit], col[~hit]
@@ -229,7 +304,7 @@ def _compare(sets: Sets, similarity: float):
 
 
 def _past_outsiders(sets: Sets, similarity: float):
-    """Reads (key, chunk, turn, id, c, text) in order: a chunk's outsiders (turn 0), then all members of its run.
+    """Reads (c, chunks, shares, turn, id, own, text) in order: a chunk of outsiders (turn 0), then members (turn 1).
 
     Holds one chunk's sets and one slice of members. Gives the links (outsider, member) of different
     classes, one for each outsider and class in a slice.
@@ -237,9 +312,9 @@ def _past_outsiders(sets: Sets, similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, cls, texts, index = None, [], [], [], None
-        for part in text_slices(batches, "text", MEMBER_BYTES):
-            keys = list(zip(part.column("key").to_pylist(), part.column("chunk").to_pylist(), strict=True))
-            turns, own_ids, own_cls, own_texts = (part.column(c).to_pylist() for c in ("turn", "id", "c", "text"))
+        for part in (x.slice(k, MEMBERS) for x in text_slices(batches, "text", MEMBER_BYTES) for k in range(0, x.num_rows, MEMBERS)):
+            keys = list(zip(*(part.column(c).to_pylist() for c in ("c", "chunks", "shares")), strict=True))
+            turns, own_ids, own_cls, own_texts = (part.column(c).to_pylist() for c in ("turn", "id", "own", "text"))
             a = 0
             while a < len(keys):
                 b = a
@@ -254,6 +329,7 @@ def _past_outsiders(sets: Sets, similarity: float):
                         owner, hashes, weight = sets(texts)
                         order = np.argsort(hashes, kind="stable")
                         index = (hashes[order], owner[order], weight[order], np.bincount(owner, weights=weight, minlength=len(ids)))
+                        texts = []
                     u, v = _links(index, np.array(cls), sets(own_texts[a:b]), np.array(own_cls[a:b]), similarity)
                     if len(u):
                         yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[u]), pa.array(np.array(own_ids[a:b], np.int64)[v])], ["u", "v"])
@@ -268,10 +344,10 @@ def _links(index: tuple, cls: np.ndarray, other: tuple, other_cls: np.ndarray, s
     m_owner, m_hash, m_weight = other
     m_total = np.bincount(m_owner, weights=m_weight, minlength=len(other_cls))
     shared = np.zeros(len(total) * len(other_cls))
-    for start in range(0, len(m_hash), ELEMENTS):  # an element may match every outsider
-        part = slice(start, start + ELEMENTS)
-        low, high = np.searchsorted(hashes, m_hash[part], "left"), np.searchsorted(hashes, m_hash[part], "right")
-        n = high - low
+    lows, highs = np.searchsorted(hashes, m_hash, "left"), np.searchsorted(hashes, m_hash, "right")
+    cuts = np.searchsorted(np.cumsum(highs - lows), np.arange(0, int((highs - lows).sum()) + 1, MATCHES)[1:])
+    for part in map(slice, [0, *cuts.tolist()], [*cuts.tolist(), len(m_hash)]):
+        low, n = lows[part], highs[part] - lows[part]
         at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         place = owner[at] * len(other_cls) + np.repeat(m_owner[part], n)
         shared += np.bincount(place, weights=np.minimum(weight[at], np.repeat(m_weight[part], n)), minlength=len(shared))

@@ -80,8 +80,25 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(mapped.filter("u != v").mapInArrow(_unite, "u long, v long").distinct(), "edges")
     if not levels:
         return empty
-    found = levels[0].select(F.col("u").alias("id"), F.col("p").alias("component"))
-    for level in levels[1:]:
-        found = found.join(level.select(F.col("u").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component"))
+    # From the last, smallest level down, so that the nodes themselves are joined once.
+    upper = None
+    for level in reversed(levels):
+        named = level.select(F.col("u").alias("id"), F.col("p").alias("component"))
+        if upper is not None:
+            above = upper.select(F.col("id").alias("component"), F.col("component").alias("top"))
+            named = named.join(above, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+        upper = named
     # Names are the smallest node already: hooks only go down, and the last round left no edge.
-    return materialize(found, "components")
+    return materialize(upper, "components")
+
+
+def extended(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """``components`` of the edges behind ``known`` and further ``edges`` (u, v): only the classes that those join are looked at."""
+    for side in ("u", "v"):
+        edges = edges.join(known.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+    upper = components(edges.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
+    above = upper.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    old = known.join(above, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    # A class is named by a node of its own, so other ids are nodes that had no edge so far.
+    new = upper.join(known.select(F.col("component").alias("id")).distinct(), "id", "left_anti")
+    return materialize(old.unionByName(new), "components")

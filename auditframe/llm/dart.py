@@ -17,11 +17,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditframe.llm.candidates import classes
+from auditframe.llm.candidates import classes, sampled
 from auditframe.llm.common import mix64, text_slices, unit
 from auditframe.session import materialize, ship
 
@@ -199,11 +199,25 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+#: Ids that a task remembers, so that a copy it has seen gives no more band rows.
+SEEN = 1 << 18
+
+
 def _text_bands(params: DartParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in text_slices(batches, "text", 2 << 20):
             for a in range(0, part.num_rows, 1 << 13):
                 sub = part.slice(a, 1 << 13)
+                fresh = []
+                for k, i in enumerate(sub.column("id").to_pylist()):
+                    if i not in seen:
+                        seen.add(i)
+                        fresh.append(k)
+                if len(seen) > SEEN:
+                    seen.clear()
+                if len(fresh) < sub.num_rows:
+                    sub = sub.take(pa.array(fresh, pa.int64()))
                 owner, elements, count = weighted_sets(sub.column("text").to_pylist(), params.words)
                 weights = count if params.weighted else np.ones(len(count), np.int64)
                 some = np.unique(owner)
@@ -216,6 +230,23 @@ def _text_bands(params: DartParams):
     return run
 
 
+_WORD = "[^\\x20\\x09-\\x0D]"
+#: Stands for a null doc_id in a key.
+_NO_ID = -(1 << 63)
+
+
+def _linked(docs: DataFrame, params: DartParams, body: Column) -> DataFrame:
+    """(id, component) of the texts with words that have near duplicates."""
+    texts = docs.select(F.xxhash64(body).alias("id"), body.alias("text"))
+
+    def sets(both: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        owner, elements, count = weighted_sets(both, params.words)
+        return owner, elements, count if params.weighted else np.ones(len(count), np.int64)
+
+    bands = lambda rows: rows.mapInArrow(_text_bands(params), "key long, id long")
+    return classes(bands(texts), texts, sets, params.similarity, sample=bands(sampled(texts, F.col("text"))))
+
+
 def near_duplicates(docs: DataFrame, params: DartParams | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Add text_id (a hash of the text), class_id, own and first to every row.
 
@@ -234,32 +265,39 @@ def near_duplicates(docs: DataFrame, params: DartParams | None = None, text: str
     names = [c for c in docs.columns if c not in made]
     base = docs.select(*[docs[f"`{c}`"] for c in names])
     body = F.col(f"`{text}`")
-    has_words = F.coalesce(body.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    texts = base.filter(has_words).select(F.xxhash64(body).alias("id"), body.alias("text"))
-    bands = texts.mapInArrow(_text_bands(params), "key long, id long")
-
-    def sets(both: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        owner, elements, count = weighted_sets(both, params.words)
-        return owner, elements, count if params.weighted else np.ones(len(count), np.int64)
-
-    known = classes(bands, texts, sets, params.similarity)
-    # Rows join by hash and id only; the texts stay where they are.
-    rows = base.select(F.col(f"`{doc_id}`").cast("long").alias("__doc"), F.when(has_words, F.xxhash64(body)).alias("id"))
-    nodes = rows.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("__doc").alias("first"))
+    has_words = F.coalesce(body.rlike(_WORD), F.lit(False))
+    by_text = _by_text(base, has_words, _linked(base.filter(has_words), params, body), body, doc_id)
+    own_id = F.col(f"`{doc_id}`").cast("long")
+    # Rows without words meet nothing; each goes by its doc_id, so that they do not gather in one task.
+    keyed = base.withColumn("text_id", F.when(has_words, F.xxhash64(body)))
+    named = by_text.withColumnRenamed("text_id", "__id")
+    on = (F.coalesce("text_id", F.xxhash64(own_id)) == F.col("__id")) & F.col("text_id").isNotNull()
+    return keyed.join(named, on, "left").select(*[F.col(f"`{c}`") for c in names], "text_id", F.when(F.col("text_id").isNull(), own_id).otherwise(F.col("class_id")).alias("class_id"), "own", "first")
+
+
+def _by_text(base: DataFrame, has_words: Column, known: DataFrame, body: Column, doc_id: str) -> DataFrame:
+    """(text_id, class_id, own, first): a row for each text with words; only hashes and ids move."""
+    rows = base.filter(has_words).select(F.col(f"`{doc_id}`").cast("long").alias("__doc"), F.xxhash64(body).alias("id"))
+    nodes = rows.groupBy("id").agg(F.min("__doc").alias("first"))
     named = nodes.join(known, "id", "left").select("id", "first", F.coalesce("component", "id").alias("c"))
     smallest = named.groupBy("c").agg(F.min("first").alias("class_id"), F.min_by("id", F.struct(F.col("first").isNull(), F.col("first"), F.col("id"))).alias("keep_id"))
-    by_text = materialize(named.join(smallest, "c").select(F.col("id").alias("text_id"), "class_id", (F.col("id") == F.col("keep_id")).alias("own"), F.col("first")), "classes")
-    out = base.withColumn("text_id", F.when(has_words, F.xxhash64(body))).join(by_text, "text_id", "left")
-    return out.select(*[F.col(f"`{c}`") for c in names], "text_id", F.when(F.col("text_id").isNull(), F.col(f"`{doc_id}`").cast("long")).otherwise(F.col("class_id")).alias("class_id"), "own", "first")
+    return materialize(named.join(smallest, "c").select(F.col("id").alias("text_id"), "class_id", (F.col("id") == F.col("keep_id")).alias("own"), F.col("first")), "classes")
 
 
 def keep_one(docs: DataFrame, params: DartParams | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` with one of each class; rows without words all stay.
 
-    Rows that repeat the keeper's doc_id and text are reduced to one.
+    Rows that repeat the keeper's doc_id and text are reduced to one. Rows meet their class by text and
+    doc_id together, so many copies of one text are dealt over many tasks.
     """
-    names = docs.columns
-    marked = near_duplicates(docs, params, text, doc_id)
-    kept = marked.filter(F.col("text_id").isNull() | (F.col("own") & F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("first"))))
-    turn = F.row_number().over(Window.partitionBy("text_id").orderBy(F.lit(1)))
-    return kept.withColumn("__turn", turn).filter("__turn = 1 or text_id is null").select(*[F.col(f"`{c}`") for c in names])
+    spark = docs.sparkSession
+    ship(spark)
+    params = params or DartParams()
+    body, own_id = F.col(f"`{text}`"), F.col(f"`{doc_id}`").cast("long")
+    has_words = F.coalesce(body.rlike(_WORD), F.lit(False))
+    by_text = _by_text(docs, has_words, _linked(docs.filter(has_words), params, body), body, doc_id)
+    keepers = by_text.filter("own").select(F.col("text_id").alias("__text"), F.coalesce("first", F.lit(_NO_ID)).alias("__doc"))
+    keyed = docs.filter(has_words).withColumns({"__text": F.xxhash64(body), "__doc": F.coalesce(own_id, F.lit(_NO_ID))})
+    turn = F.row_number().over(Window.partitionBy("__text", "__doc").orderBy(F.lit(1)))
+    kept = keyed.join(keepers, ["__text", "__doc"], "left_semi").withColumn("__turn", turn).filter("__turn = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter(~has_words))

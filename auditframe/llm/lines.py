@@ -19,11 +19,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditframe.llm.candidates import bin_signatures, classes
+from auditframe.llm.candidates import bin_signatures, classes, sampled
 from auditframe.llm.common import mix64, text_slices
-from auditframe.llm.components import components
 from auditframe.llm.dart import band_keys
-from auditframe.session import materialize, ship
+from auditframe.session import ship
 
 _HASH_BITS = np.uint64(44)
 
@@ -49,14 +48,14 @@ class LineParams:
         return int((self.short_chars - self.short_shingle) / self.similarity) + self.short_shingle
 
 
-def char_sets(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct character shingles of each line as (line number, 44-bit hash, 1), sorted.
+def char_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Character shingles of each line as (line number, 44-bit hash), in the order of the text.
 
     A line shorter than a shingle is padded by one shingle of its own characters and the border.
     """
     joined = "\n".join(lines) + "\n" * shingle
     h = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    n = np.fromiter(map(len, lists := lines), np.int64, len(lists))
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
     starts = np.cumsum(n + 1) - (n + 1)
     step, factor = 1, 0x9E3779B97F4A7C15
     while step < shingle:
@@ -64,9 +63,15 @@ def char_sets(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, n
         step *= 2
         factor = (factor * 0xD6E8FEB86659FD93 + 2) & 0xFFFFFFFFFFFFFFFF | 1
     count = np.maximum(n - shingle + 1, np.minimum(n, 1))
-    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), count)
+    owner = np.repeat(np.arange(len(lines)), count)
     at = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(count) - count), count)
-    keys = np.sort((owner << _HASH_BITS) | (mix64(h[at]) >> np.uint64(20)))
+    return owner, mix64(h[at]) >> np.uint64(20)
+
+
+def char_sets(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct character shingles of each line as (line number, 44-bit hash, 1), sorted."""
+    owner, hashes = char_hashes(lines, shingle)
+    keys = np.sort((owner.astype(np.uint64) << _HASH_BITS) | hashes)
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
     keys = keys[first]
@@ -99,17 +104,28 @@ def _has_twin(params: LineParams, line: Column) -> Column:
     return F.length(line).between(params.short_chars, params.border)
 
 
+#: Lines that a task remembers, by a hash of 64 bits that serves only in the task.
+SEEN = 1 << 18
+
+
 def _line_bands(params: LineParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in text_slices(batches, "text", 2 << 20):
-            fresh = list({x for t in part.column("text").to_pylist() if t for x in t.split("\n") if len(x) >= params.min_chars})
-            fresh += [_TWIN + x for x in fresh if params.short_chars <= len(x) <= params.border]
-            for a in range(0, len(fresh), 1 << 13):
-                lines = fresh[a : a + (1 << 13)]
-                owner, hashes, _ = line_sets(lines, params)
-                keys = band_keys(bin_signatures(owner, hashes, len(lines), params.bands * params.rows), params.bands, params.rows)
-                ids = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines), np.uint64, len(lines)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, params.bands))], ["key", "id"])
+            fresh = {x for t in part.column("text").to_pylist() if t for x in t.split("\n") if len(x) >= params.min_chars}
+            # Lines that this task has met give no more band rows.
+            fresh = [x for x, h in zip(fresh, map(hash, fresh), strict=True) if not (h in seen or seen.add(h))] if seen else list(fresh)
+            if len(seen) > SEEN or not seen:
+                seen = set(map(hash, fresh))
+            short = [x for x in fresh if len(x) < params.short_chars] + [_TWIN + x for x in fresh if params.short_chars <= len(x) <= params.border]
+            long = [x for x in fresh if len(x) >= params.short_chars]
+            for nodes, size in ((short, params.short_shingle), (long, params.shingle)):
+                for a in range(0, len(nodes), 1 << 13):
+                    some = nodes[a : a + (1 << 13)]
+                    signature = bin_signatures(*char_hashes([x.removeprefix(_TWIN) for x in some], size), len(some), params.bands * params.rows)
+                    keys = band_keys(signature, params.bands, params.rows)
+                    ids = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in some), np.uint64, len(some)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, params.bands))], ["key", "id"])
 
     return run
 
@@ -119,15 +135,17 @@ def _row_key(doc_id: Column, text: Column) -> Column:
 
 
 def _takes_part(params: LineParams, line: Column) -> Column:
-    return (F.length(line) >= params.min_chars) | line.rlike(r"\S")
+    return (F.length(line) >= params.min_chars) | (F.length(F.btrim(line, F.lit(_BLANKS))) > 0)
+
+
+#: What a line of white space is made of.
+_BLANKS = " \t\n\x0b\f\r"
 
 
-def _parts(params: LineParams, text: Column, short: bool) -> Column:
-    """Numbers of the lines that take part, from 0: those under ``min_chars`` or the others."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    wanted = lambda x: (F.length(x) < params.min_chars) & x.rlike(r"\S") if short else F.length(x) >= params.min_chars
-    numbers = F.transform(lines, lambda x, i: F.when(wanted(x), i))
-    return F.filter(numbers, lambda i: i.isNotNull())
+def _parts(params: LineParams, text: Column) -> Column:
+    """Numbers of the lines that take part: from 0, those of lines under ``min_chars`` as -1, -2, ... instead."""
+    number = lambda x, i: F.when(F.length(x) >= params.min_chars, i).when(F.length(F.btrim(x, F.lit(_BLANKS))) > 0, -1 - i)
+    return F.array_compact(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), number))
 
 
 def kept_lines(docs: DataFrame, params: LineParams | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -140,18 +158,14 @@ def kept_lines(docs: DataFrame, params: LineParams | None = None, text: str = "t
     params = params or LineParams()
     body = F.col(f"`{text}`")
     texts = docs.filter(body.isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text"))
-    bands = texts.select("text").mapInArrow(_line_bands(params), "key long, id long")
+    bands = lambda rows: rows.select("text").mapInArrow(_line_bands(params), "key long, id long")
     lines = texts.select("doc_id", _row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(_takes_part(params, F.col("line")))
     fuzzy = lines.filter(F.length("line") >= params.min_chars)
     twin = F.concat(F.lit(_TWIN), "line")
     nodes = F.explode(F.when(_has_twin(params, F.col("line")), F.array("line", twin)).otherwise(F.array("line")))
     named = fuzzy.select(nodes.alias("text")).select(F.xxhash64("text").alias("id"), "text")
-    known = classes(bands, named, lambda both: line_sets(both, params), params.similarity)
-    # A twin's class is its line's.
-    twins = fuzzy.filter(_has_twin(params, F.col("line"))).select(F.xxhash64("line").alias("u"), F.xxhash64(twin).alias("id"))
-    same = materialize(twins.join(known, "id").select("u", F.col("component").alias("v")).distinct(), "twins")
-    if not same.isEmpty():
-        known = components(known.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(same))
+    line_of = F.when(F.startswith("text", F.lit(_TWIN)), F.xxhash64(F.substring("text", 2, 1 << 30)))
+    known = classes(bands(texts), named, lambda both: line_sets(both, params), params.similarity, sample=bands(sampled(texts, F.col("text"))), twin_of=line_of)
     place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key", "pos")
     # The first of equal lines, then the first of each component: both are minima with partial sums.
     first = lines.groupBy(F.xxhash64("line").alias("id")).agg(F.min(place).alias("at"))
@@ -174,11 +188,12 @@ def line_report(docs: DataFrame, params: LineParams | None = None, text: str = "
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
         _row_key(F.col(f"`{doc_id}`").cast("long"), body).alias("row_key"),
         F.when(body.isNull(), 0).otherwise(F.size(F.split(body, "\n", -1))).cast("long").alias("n_lines"),
-        _parts(params, body, False).alias("parts"),
-        _parts(params, body, True).alias("short"),
+        _parts(params, body).alias("parts"),
     )
-    gone = lambda parts: F.array_except(parts, F.coalesce("kept", F.array().cast("array<int>")))
-    out = slim.join(kept, "row_key", "left").select("doc_id", "n_lines", gone("parts").alias("removed"), gone("short").alias("removed_short"))
+    kept_parts = F.coalesce("kept", F.array().cast("array<int>"))
+    long = F.array_except(F.filter("parts", lambda x: x >= 0), kept_parts)
+    short = F.array_except(F.transform(F.filter("parts", lambda x: x < 0), lambda x: -1 - x), kept_parts)
+    out = slim.join(kept, "row_key", "left").select("doc_id", "n_lines", long.alias("removed"), short.alias("removed_short"))
     count = lambda name: F.size(name).cast("long").alias(f"n_{name}")
     return out.select("doc_id", "n_lines", count("removed"), "removed", count("removed_short"), "removed_short")
 

@@ -65,6 +65,55 @@ def test_op1_large_group(spark):
     assert got == want
 
 
+def test_op1_hot_runs_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "SAMPLE", 2)
+    monkeypatch.setattr(candidates, "HOT_SAMPLED", 10)
+    monkeypatch.setattr(candidates, "SALTS", 7)
+    monkeypatch.setattr(candidates, "OUTSIDERS", 5)
+    monkeypatch.setattr(candidates, "STREAM_ROWS", 40)
+    rows = near_copies(200, 5)
+    want = parts([i for i, _ in rows], {i: shingle_set(t) for i, t in rows})
+    got = {r.doc_id: r.class_id for r in dart.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_runs_in_parts_are_the_same_runs(spark, monkeypatch):
+    rnd = random.Random(2)
+    rows = sorted({(rnd.choice([1, 1, 1, 2, 3, 4]), rnd.randint(0, 80)) for _ in range(200)})
+    bands = spark.createDataFrame(rows, "key long, id long")
+    monkeypatch.setattr(candidates, "HOT_SAMPLED", 30)
+    monkeypatch.setattr(candidates, "SALTS", 5)
+    read = lambda sample: sorted(((r.key, r.a, -1 if r.b is None else r.b) for r in candidates._runs(bands, sample, 8).collect()))
+    assert read(bands) == read(None)
+
+
+def test_op1_weighted_by_brute_force(spark):
+    rnd = random.Random(15)
+    rows = []
+    for g in range(12):
+        unit = [[f"g{g}w{k}v{j}" for j in range(6)] for k in range(6)]
+        for c in range(6):
+            picks = [rnd.choice(unit) for _ in range(4)] * rnd.choice((3, 4)) + [rnd.choice(unit) for _ in range(rnd.choice((0, 1)))]
+            rows.append((len(rows), " ".join(w for u in (picks if c % 2 else unit * 4) for w in u)))
+    sets = {i: collections.Counter(tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)) for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = 0
+    for i, _ in rows:
+        for j in range(i):
+            if (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total():
+                linked += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r.doc_id: r.class_id for r in dart.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), dart.DartParams(weighted=True)).collect()}
+    assert linked > 12 and got == {i: find(i) for i, _ in rows}
+
+
 def test_op1_odd(spark):
     odd = odd_documents(spark)
     rows = dart.near_duplicates(odd).collect()
@@ -182,6 +231,10 @@ def test_components(spark):
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[x] == find(x) for x in got) and {x for e in edges for x in e if e[0] != e[1]} <= set(got)
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    table = lambda rows: spark.createDataFrame(rows, "u long, v long")
+    whole = lambda df: sorted((r.id, r.component) for r in df.collect())
+    for cut in (0, 40, len(edges)):
+        assert whole(components.extended(components.components(table(edges[:cut])), table(edges[cut:]))) == whole(components.components(table(edges)))
 
 
 def test_streamed_runs_do_not_depend_on_batches():
@@ -236,18 +289,30 @@ def test_forest_recall(spark, data):
     assert hits / (20 * len(got)) >= 0.9
 
 
-def test_forest_recall_in_a_large_block():
+def test_forest_recall_over_blocks(spark):
     rng = np.random.default_rng(9)
-    x = rng.standard_normal((4000, 64))
+    x = rng.standard_normal((6000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    f = forest.PrefixForest(x)
-    ids = np.arange(4000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in forest.search(df, block_rows=1500, query_rows=200).collect():
+        got[r.query_id].append(r.vec_id)
     hits = 0
-    for q, found, _ in forest.nearest(f, ids, ids[:60], x[:60], 20, forest.SHARE):
+    for q in range(0, 6000, 20):
         s = x @ x[q]
         s[q] = -9
-        hits += len(set(np.argsort(-s)[:20]) & set(found))
-    assert hits / 1200 >= 0.9
+        hits += len(set(np.argsort(-s)[:20]) & set(got[q]))
+    assert len(got) == 300 and hits / 6000 >= 0.9
+
+
+def test_forest_reads_a_share():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((4000, 64))
+    f = forest.PrefixForest(x, trees=32)
+    for rows in f.candidates(x[:20], 400):
+        assert 400 <= len(rows) < 1600
+    for q, rows in zip(x[:5], f.candidates(x[:5], 1), strict=True):
+        assert any((x[r] == q).all() for r in rows)
 
 
 def test_forest_odd(spark):
@@ -257,5 +322,7 @@ def test_forest_odd(spark):
     got = {}
     for r in forest.search(df).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert got == {0: [(1, 1, 1.0), (2, 2, 1.0), (3, 9, 0.5), (4, 40, 0.0)], 40: [(1, 9, 1.0), (2, 0, 0.0), (3, 1, 0.0), (4, 2, 0.0)]}
+    assert got == {0: [(1, 1, 1.0), (2, 2, 1.0), (3, 2, 1.0), (4, 9, 0.5), (5, 40, 0.0)], 40: [(1, 9, 1.0), (2, 0, 0.0), (3, 1, 0.0), (4, 2, 0.0), (5, 2, 0.0)]}
     assert forest.search(df.limit(0)).count() == 0
+    many = spark.createDataFrame([(0, [1.0, 0.0]), *[(3, [1.0, 0.0])] * 30], "vec_id long, embedding array<float>")
+    assert [(r.rank, r.vec_id) for r in forest.search(many).collect()] == [(k, 3) for k in range(1, 21)]
