@@ -34,6 +34,8 @@ from auditframe.session import materialize, scratch_path, ship
 MAGIC = b"TPLANES1"
 BLOCK = 1 << 16
 LEVEL = 1
+#: Bytes of text behind one file.
+FILE_BYTES = 1 << 28
 NULL_ID = -(1 << 63)
 
 
@@ -164,15 +166,18 @@ def write_planes(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], li
 
     ``encoder()`` is called in the worker and gives a function from texts to id arrays. Each task of
     a range partitioning writes one file under a name of its own attempt, then renames it to
-    ``part-NNNNN.planes``: a task run again writes the same bytes. Rows that repeat a doc_id keep
-    their place by the text. File table: part, file, n_docs, n_ids; ascending part is ascending doc_id.
+    ``part-NNNNN.planes``: a task run again writes the same bytes. There are as many files as shuffle
+    partitions, or more, so that a file holds about ``FILE_BYTES`` of text. Rows that repeat a doc_id
+    (or have none) are in the order of a hash of the text, then the text, and may be dealt over several
+    files. File table: part, file, n_docs, n_ids; ascending part is ascending doc_id.
     The table is written, so reading it again does not write the files again. An empty table gives no file.
     """
     spark = docs.sparkSession
     ship(spark)
     columns = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = columns.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(columns.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
+    place = ["doc_id", F.xxhash64("text")]
+    ordered = columns.repartitionByRange(n, *place).sortWithinPartitions(*place, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -212,7 +217,7 @@ def read_planes(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame
     """
     ship(spark)
     based = files.withColumn("base", F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    based = based.select("file", F.coalesce("base", F.lit(0)).cast("long").alias("base")).repartition(F.col("file"))
+    based = based.select("part", "file", F.coalesce("base", F.lit(0)).cast("long").alias("base")).repartitionByRange(max(files.count(), 1), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _filesystem(folder)

@@ -30,7 +30,6 @@ def library():
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
     return lib
 
 
