@@ -2,8 +2,8 @@
 
 Two bags of hashed n-grams are fitted: one to the target (labelled good texts), one to all raw texts.
 The log importance weight of a text is the mean of log(p_target / p_raw) over its n-grams (a sum
-would let noise grow with length). With a
-Gumbel variable added, the k largest are a sample without replacement by importance (Gumbel top-k).
+would let noise grow with length; see the README). With a scaled Gumbel variable added, the k largest
+are a sample without replacement by importance (Gumbel top-k).
 """
 
 from __future__ import annotations
@@ -102,17 +102,17 @@ def gumbel(doc_ids: list[int | None], seed: int) -> np.ndarray:
 
 
 def labelled_sample(labels: DataFrame, label: str, limit: int = MAX_LABELLED) -> dict[int, int]:
-    """At most ``limit`` labelled documents, by a hash of their id: doc_id to label."""
-    rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    return {r.doc_id: r.y for r in rows.orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "y").limit(limit).collect()}
+    """At most ``limit`` labelled documents, by a hash of their id: doc_id to label, the larger of several."""
+    rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    return {r.doc_id: r.y for r in rows.orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(limit).collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", buckets: int = BUCKETS, seed: int = 1, temperature: float = TEMPERATURE) -> ImportanceModel:
     """Count raw and target n-grams over all documents in one pass, then choose the threshold.
 
     Counts leave each task as at most ``buckets`` rows. The threshold is the log weight that best
-    parts the labelled sample, in the middle of the widest gap that does so; k of the Gumbel top-k
-    is the number of documents above it. Without labels of both kinds every text is kept.
+    parts the labelled sample, in the middle of the widest gap that does so; the default k of the Gumbel
+    top-k is the number of rows above it. Without labels of both kinds that is every row.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -146,10 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
             if mine:
                 y = [known.value[ids[k]] for k in mine]
                 w = held_out_weights(part.column("text").take(pa.array(mine)).to_pylist(), y, *shared.value)
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(y, pa.int32())], ["w", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in mine], pa.int64()), pa.array(w), pa.array(y, pa.int32())], ["doc_id", "w", "y"])
 
-    # The labelled sample is bounded, so its scores are.
-    scored = columns.mapInArrow(score, "w double, y int").limit(2 * MAX_LABELLED).toPandas().sort_values(["w", "y"], kind="stable")
+    # A row for each labelled document, so no more than the sample; of rows that repeat a doc_id the least weight counts.
+    scored = columns.mapInArrow(score, "doc_id long, w double, y int").groupBy("doc_id", "y").agg(F.min("w").alias("w")).toPandas().sort_values(["w", "y"], kind="stable")
     model.threshold = best_cut(scored["w"].to_numpy(), scored["y"].to_numpy())
     return model
 
@@ -186,41 +186,37 @@ def best_cut(w: np.ndarray, y: np.ndarray) -> float:
     return float(edges[best[np.argmax(width[best])]])
 
 
-def importance_sample(docs: DataFrame, model: ImportanceModel, k: int | None = None, text: str = "text", keep_all: bool = False) -> DataFrame:
+def importance_sample(docs: DataFrame, model: ImportanceModel, k: int | None = None, text: str = "text", keep_all: bool = False, columns: list[str] | None = None) -> DataFrame:
     """Add log_weight, perturbed (with the Gumbel variable) and kept; by default only kept rows remain.
 
-    Without ``k`` the threshold of the model decides row by row. With ``k``, the k largest perturbed
-    weights are kept: the k-th is found by counting the scores in ever finer cells, not by a global
-    sort; rows equal to it are all kept. Null and empty texts have log weight 0. Columns named like
-    an output are replaced, repeated rows stay repeated and share their fate.
+    The k rows of largest perturbed weight are kept. Without ``k`` it is the number of rows whose log
+    weight is the model's threshold or more. The k-th largest is found by counting the scores in ever
+    finer cells, not by a global sort; rows equal to it are all kept. ``columns`` of ``docs`` stay (all
+    by default); they are written once with their scores, so that each text is scored once. Null and
+    empty texts have log weight 0. Columns named like an output are replaced, repeated rows stay
+    repeated and share their fate. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     ship(spark)
-    made = ["log_weight", "perturbed", "kept"]
-    base = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in made])
-    schema = StructType(list(base.schema.fields)).add("log_weight", "double").add("perturbed", "double").add("kept", "boolean")
+    made = ["log_weight", "perturbed"]
+    names = [c for c in (docs.columns if columns is None else columns) if c not in {*made, "kept"}]
+    base = docs.select(docs[f"`{text}`"].alias("__text"), docs["doc_id"].cast("long").alias("__id"), *[docs[f"`{c}`"] for c in names])
+    schema = StructType(list(base.schema.fields[2:])).add("log_weight", "double").add("perturbed", "double")
     shared = spark.sparkContext.broadcast(model)
 
-    def scored(cut: float) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            for part in text_slices(batches, text):
-                w = m.log_weights(part.column(text).to_pylist())
-                g = w + m.temperature * gumbel(part.column("doc_id").to_pylist(), m.seed)
-                kept = g >= cut
-                out = pa.RecordBatch.from_arrays([*part.columns, pa.array(w), pa.array(g), pa.array(kept)], [*part.schema.names, *made])
-                yield out if keep_all else out.filter(pa.array(kept))
-
-        return base.mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for part in text_slices(batches, "__text"):
+            w = m.log_weights(part.column("__text").to_pylist())
+            g = w + m.temperature * gumbel(part.column("__id").to_pylist(), m.seed)
+            yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(w), pa.array(g)], [*names, *made])
 
+    scored = materialize(base.mapInArrow(run, schema), "importance-scores")
     if k is None:
-        return scored(model.threshold)
-    if k <= 0:
-        return scored(np.inf)
-    keep_all, asked = True, keep_all
-    values = materialize(scored(np.inf).select("perturbed"), "importance-scores")
-    keep_all = asked
-    return scored(kth_largest(values, "perturbed", k))
+        k = scored.filter(F.col("log_weight") >= model.threshold).count()
+    cut = kth_largest(scored.select("perturbed"), "perturbed", k) if k > 0 else float("inf")
+    out = scored.withColumn("kept", F.col("perturbed") >= F.lit(cut))
+    return out if keep_all else out.filter("kept")
 
 
 def kth_largest(values: DataFrame, column: str, k: int, cells: int = 1024) -> float:

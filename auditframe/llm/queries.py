@@ -23,7 +23,7 @@ def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, log_weight, perturbed, kept."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = importance.fit(docs, _table(spark, sf_dir, "labels"))
-    return importance.importance_sample(docs, model, keep_all=True).drop("text")
+    return importance.importance_sample(docs, model, keep_all=True, columns=["doc_id"])
 
 
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
