@@ -37,12 +37,21 @@ class LineRules:
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = {b"|", b">", b"\xc2\xbb", b"\xe2\x80\xba", b"\xc2\xb7", b"\xe2\x80\xa2", b"/", b"-"}
-#: Fixed phrases of page furniture, in lower case.
+#: Fixed phrases of page furniture in English, French, German and Spanish, in lower case.
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy",
     "we use cookies", "accept cookies", "enable javascript", "sign up for", "subscribe to our",
     "click here", "read more", "share this", "follow us", "back to top", "skip to content",
     "log in to", "powered by", "copyright ©", "(c) copyright",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "conditions d'utilisation",
+    "nous utilisons des cookies", "accepter les cookies", "activer javascript", "abonnez-vous à", "cliquez ici",
+    "lire la suite", "partager cet article", "suivez-nous", "retour en haut", "aller au contenu",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "wir verwenden cookies",
+    "cookies akzeptieren", "javascript aktivieren", "abonnieren sie", "hier klicken", "weiterlesen",
+    "artikel teilen", "folgen sie uns", "zum inhalt springen",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "términos de uso",
+    "utilizamos cookies", "aceptar cookies", "activar javascript", "suscríbete a", "haz clic aquí", "haga clic aquí",
+    "compartir este artículo", "síguenos", "volver arriba", "saltar al contenido",
 )
 _BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _ENDS = tuple(".!?…:;\"'”’»)]。！？")

@@ -1,4 +1,6 @@
 import collections
+import math
+import random
 import re
 import zlib
 
@@ -55,6 +57,11 @@ def test_line_faults(line, want):
 
 
 # --- op4
+def test_phrases_of_four_languages():
+    for line in ("Tous droits réservés 2024 la société et ses amis.", "Alle Rechte vorbehalten, der Verlag und alle anderen.", "Todos los derechos reservados por la empresa y sus socios.", "All rights reserved by the company and all its friends."):
+        assert rules.line_fault(line, line.encode().split(), rules.LineRules()) == "boilerplate"
+
+
 @pytest.mark.parametrize("separator", sorted(x.decode() for x in rules.SEPARATORS))
 def test_menus_by_every_separator(separator):
     menu = f" {separator} ".join(["Home page", "Our news", "All sports", "The weather", "Local radio", "Write us."])
@@ -119,7 +126,46 @@ def test_importance_keeps_the_good(spark, data):
     good = [r.kept for r in rows if labels.get(r.doc_id) == 1]
     bad = [r.kept for r in rows if labels.get(r.doc_id) == 0]
     assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.2 and len(rows) == 200
-    assert rows == queries.op2_importance(spark, data).collect()
+    assert sorted(rows) == sorted(queries.op2_importance(spark, data).collect())
+
+
+def test_importance_by_brute_force(spark, data):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+
+    def grams(text):
+        tokens = re.findall(r"\w+|[^\w\s]+", (text or "").lower())
+        marked = [None if k and t == tokens[k - 1] else t for k, t in enumerate(tokens)]
+        return [g for k, t in enumerate(marked) for g in ((t,), (t,) if not k else (marked[k - 1], t))]
+
+    of = {i: grams(t) for i, t in docs}
+    bucket = {}
+    for i, t in docs:  # a gram's bucket, read off the operator for this text alone
+        bucket.update(zip(of[i], importance.ngram_buckets([t], importance.BUCKETS)[0].tolist(), strict=True))
+    raw, target = {}, {}
+    for i, _ in docs:
+        for g in of[i]:
+            raw[bucket[g]] = raw.get(bucket[g], 0) + 1
+            if labels.get(i) == 1:
+                target[bucket[g]] = target.get(bucket[g], 0) + 1
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {b: math.log((target.get(b, 0) + 10 * share) / (share * (n + 10))) for b, n in raw.items()}
+    weight = {i: sum(ratio[bucket[g]] for g in of[i]) / (len(of[i]) + 20) for i, _ in docs}
+    noise = {i: -math.log(-math.log((zlib.crc32(f"1:{i}".encode()) + 0.5) / 2**32)) for i, _ in docs}
+    rows = {r.doc_id: r for r in queries.op2_importance(spark, data).collect()}
+    model = importance.fit(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
+    k = sum(w >= model.threshold for w in weight.values())
+    best = sorted(weight, key=lambda i: -(weight[i] + 0.02 * noise[i]))[:k]
+    assert all(abs(rows[i].log_weight - weight[i]) < 1e-9 and abs(rows[i].perturbed - weight[i] - 0.02 * noise[i]) < 1e-9 for i in weight)
+    assert 0 < k < len(docs) and {i for i in rows if rows[i].kept} == set(best)
+
+
+def test_conflicting_labels(spark):
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (2, 0, 0), (2, None, None), (None, 1, 1)], "doc_id int, quality int, toxic int")
+    assert importance.labelled_sample(labels, "quality") == {1: 1, 2: 0}
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (2, "d")], "doc_id long, text string")
+    words, y = toxicity.training_rows(docs, labels)
+    assert len(words) == len(y) <= 2 and set(y.tolist()) <= {0, 1}
 
 
 def test_importance_top_k(spark):
@@ -173,6 +219,29 @@ def test_toxicity_query(spark, data):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1
 
 
+def test_toxicity_on_held_out_rows(spark):
+    rnd = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    rows, labels = [], []
+    for i in range(1500):
+        text, bad = [rnd.choice(words) for _ in range(rnd.randint(20, 60))], i % 4 == 0
+        if bad:
+            text[rnd.randrange(len(text))] = rnd.choice(["vile", "rotten", "filthy"])
+        rows.append((i, " ".join(text + [rnd.choice(["the of and", "le la et", "der die und"])])))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
+    held = [(got[i], y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(held) > 200 and np.mean([p == y for p, y in held]) >= 0.97
+
+
+def test_toxicity_query_on_held_out_rows(spark):
+    data = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    rows = [(r.predicted, labels[r.doc_id]) for r in queries.op7_text_cnn(spark, data).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    assert len(rows) > 50 and np.mean([p == y for p, y in rows]) >= 0.95 and np.mean([p for p, y in rows if y == 0]) <= 0.03
+
+
 def test_toxicity_odd(spark):
     odd = odd_documents(spark)
     labels = spark.createDataFrame([(5, 1), (11, 0), (8, 0), (None, 1)], "doc_id long, toxic int")
@@ -263,3 +332,11 @@ def test_pages_odd(spark):
     rows = spark.createDataFrame([(1, None, None), (2, "u", ""), (2, "u", PAGE), (None, "u", "<p>x")], "page_id long, url string, html string")
     assert [r.n_chars for r in html.extract_main_text(rows).collect()][:2] == [0, 0]
     assert html.extract_main_text(rows.limit(0)).count() == 0
+
+
+def test_pages_with_clashing_names(spark):
+    rows = [(1, "u", "<article><p>One two three, four five six. Seven eight nine ten.</p></article>", "old", 5, 0.5), (1, "u", None, None, None, None), (None, None, "", "x", 1, 1.0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long, score double")
+    out = html.extract_main_text(df)
+    got = out.collect()
+    assert len(got) == 3 and sorted(r.n_chars for r in got)[:2] == [0, 0] and all(r.n_chars == len(r.text) for r in got) and "score" in out.columns
