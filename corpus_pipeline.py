@@ -1,4 +1,12 @@
-"""A training corpus from ``documents``: each stage works on all that the one before it kept."""
+"""A training corpus from ``documents``: each stage works on all that the one before it kept.
+
+Every stage takes empty tables, nulls in any column, empty and very long texts, repeated rows and further
+columns, whatever their names. Null and empty texts have a log weight of 0 in ``quality`` and stay where
+the threshold is below that, have no lines to lose, are never near duplicates, have size 0 in the mixture (they are
+taken as often as their source) and give no token ids. Rows that repeat a doc_id are judged each by its own text; rows
+that repeat doc_id and text share their fate in the first two stages, and ``near_dedup`` leaves one. A null
+source is a source of its own. Further columns pass through to the mixture; ``encode`` returns its own.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +18,7 @@ from auditframe.session import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling keeps."""
+    """Documents that importance resampling keeps; without labels of both kinds all of them."""
     model = importance.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return importance.importance_sample(docs, model).select(*docs.columns)
 
@@ -21,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, that of the smallest doc_id; documents without words stay."""
     return dart.keep_one(docs)
 
 
@@ -31,7 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and whether they decode to it."""
+    """doc_id, source, lang, n_tokens, ids_sha256 of every row, and whether its ids decode to its text."""
     import public_tokenizers
 
     both = bpe.bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded")
