@@ -188,3 +188,50 @@ def finding_fingerprint(*fields: Column, key: str = DEFAULT_KEY) -> Column:
 def severity_bucket(score: Column) -> Column:
     """P5: bucket of a score from 0 to 10."""
     return F.when(score.isNull(), "info").when(score >= 9.0, "critical").when(score >= 7.0, "high").when(score >= 4.0, "medium").when(score > 0.0, "low").otherwise("info")
+
+
+# Bounds and names of P6 and P7.
+RANK_BUCKETS = ((1_000, "top_1k"), (10_000, "top_10k"), (100_000, "top_100k"), (500_000, "mid_500k"))
+ERROR_WORDS = (
+    ("error_timeout", ("timed out", "timeout")), ("error_tls", ("certificate", "ssl", "tls")),
+    ("error_dns", ("name or service not known", "getaddrinfo", "nodename")), ("error_connection", ("refused", "reset", "connection")),
+)
+CANONICAL_SCOPES = ("same_host_redirect", "same_site_canonical_redirect", "relative_redirect")
+# End of the fixed values.
+
+
+def rank_bucket(rank_text: Column) -> Column:
+    """Bucket of a popularity rank; anything but a whole number is ``unknown``."""
+    n = F.trim(rank_text.cast("string")).try_cast("long")
+    out = F.when(n.isNull(), "unknown")
+    for bound, name in RANK_BUCKETS:
+        out = out.when(n <= bound, name)
+    return out.otherwise("long_tail")
+
+
+def hygiene_tier(role: Column, status: Column, code: Column, severe: Column, rules: Column, observed: Column, boundary: Column) -> Column:
+    """The first tier that fits a measured page; ``severe`` counts critical and high findings, rules are arrays of ids."""
+    has = lambda name, where=rules: F.array_contains(where, name)
+    return (
+        F.when(role == "probable_infrastructure", "not_homepage_candidate").when(status != "measured", "unmeasured")
+        .when(has("DYN_DEBUG_ERROR_LEAK") | (severe > 0), "messy_or_risky_signal").when(has("DYN_DIRECTORY_LISTING"), "messy_directory_listing")
+        .when(code >= 500, "messy_server_error").when(code >= 400, "blocked_or_missing_page").when(has("DYN_SECURITY_HEADERS_MISSING"), "hardening_gap")
+        .when(has("DYN_CANONICAL_REDIRECT", observed), "canonical_redirect").when(boundary | has("DYN_REDIRECT_TO_DISALLOWED_HOST", observed), "boundary_redirect")
+        .when(code.between(200, 299) & (F.size(rules) == 0), "well_managed_quiet").otherwise("measured_other")
+    )
+
+
+def outcome_bucket(role: Column, status: Column, code: Column, error: Column, boundary: Column, redirect: Column) -> Column:
+    """What came of a measurement."""
+    low = F.lower(F.coalesce(error, F.lit("")))
+    failed = F.lit("error_other")
+    for name, words in reversed(ERROR_WORDS):
+        hit = F.lit(False)
+        for word in words:
+            hit = hit | F.contains(low, F.lit(word))
+        failed = F.when(hit, name).otherwise(failed)
+    return (
+        F.when(role == "probable_infrastructure", "skipped_probable_infrastructure").when(status == "skipped", "skipped").when(status != "measured", failed)
+        .when(boundary, "http_3xx_boundary_redirect").when(redirect.isin(*CANONICAL_SCOPES), "http_3xx_canonical_redirect").when(code.isNull(), "error_unknown")
+        .when(code.between(200, 299), "http_2xx").when(code.between(300, 399), "http_3xx_allowed_redirect").when(code.between(400, 499), "http_4xx").when(code >= 500, "http_5xx").otherwise("http_other")
+    )

@@ -128,12 +128,57 @@ def uncovered_manifests(manifests: DataFrame, locks: DataFrame) -> DataFrame:
 
 
 def field_controls(declarations: DataFrame, controls: DataFrame) -> DataFrame:
-    """Declarations (file, line, field) with the control lines (file, line, text) that name the field, or a decorator within two lines above."""
-    d = declarations.select("file", F.col("line").alias("decl_line"), "field")
-    both = d.join(controls.select("file", F.col("line").alias("control_line"), "text"), "file", "left")
-    words = F.transform(F.split(F.lower("text"), "[^A-Za-z0-9_]+"), lambda x: x)
-    near = F.col("text").startswith("@") & (F.col("decl_line") - F.col("control_line")).between(0, 2)
-    return both.groupBy("file", "decl_line", "field").agg(F.coalesce(F.bool_or(F.array_contains(words, F.lower("field")) | near), F.lit(False)).alias("controlled"))
+    """Declarations (file, line, field) and whether a control line (file, line, text) of the file names the field, or a decorator stands within two lines above.
+
+    Control lines are spread over their words, decorators over the lines that they cover: both joins are equalities.
+    """
+    d = declarations.select("file", F.col("line").alias("decl_line"), "field").distinct()
+    words = controls.select("file", F.explode(F.array_distinct(F.split(F.lower("text"), "[^A-Za-z0-9_]+"))).alias("word")).distinct()
+    above = controls.filter(F.startswith("text", F.lit("@"))).select("file", F.explode(F.sequence(F.col("line"), F.col("line") + 2)).alias("decl_line")).distinct()
+    named = d.join(words.withColumn("named", F.lit(True)), (d["file"] == words["file"]) & (F.lower("field") == F.col("word")), "left").select(d["file"], "decl_line", "field", "named")
+    out = named.join(above.withColumn("near", F.lit(True)), ["file", "decl_line"], "left")
+    return out.select("file", "decl_line", "field", (F.coalesce("named", F.lit(False)) | F.coalesce("near", F.lit(False))).alias("controlled"))
+
+
+def grant_calls(calls: DataFrame, grants: DataFrame) -> DataFrame:
+    """ST9: decision on each call (call_id, grant_id, nonce, tool, at) under time-bound grants (grant_id, tools, not_before, expires_at, max_calls).
+
+    Codes in order: unknown_grant, not_yet_valid, expired, tool_not_granted, replayed (a nonce that an earlier
+    call of the grant has used), calls_exhausted (earlier accepted calls reach max_calls). Calls count in the
+    order of time and id; one grant's calls are one group, bound by its life time.
+    """
+    both = calls.join(grants, "grant_id", "left")
+    first = F.row_number().over(Window.partitionBy("grant_id", "nonce").orderBy("at", "call_id")) == 1
+    code = (
+        F.when(F.col("max_calls").isNull(), "unknown_grant").when(F.col("at") < F.col("not_before"), "not_yet_valid").when(F.col("at") >= F.col("expires_at"), "expired")
+        .when(~F.array_contains("tools", F.col("tool")), "tool_not_granted").when(~F.col("first"), "replayed")
+    )
+    judged = both.withColumn("first", first).withColumn("code", code)
+    # A call that passes so far is accepted if fewer than max_calls such calls came before it.
+    turn = F.sum(F.col("code").isNull().cast("int")).over(Window.partitionBy("grant_id").orderBy("at", "call_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    final = F.when(F.col("code").isNull() & (F.col("turn") > F.col("max_calls")), "calls_exhausted").otherwise(F.col("code"))
+    return judged.withColumn("turn", turn).select("call_id", "grant_id", F.when(final.isNull(), "allow").otherwise("deny").alias("decision"), F.coalesce(final, F.lit("")).alias("deny_code"))
+
+
+def budget_faults(rows: DataFrame, key: str, columns: list[str], max_rows: int, max_bytes: int, max_cell: int) -> DataFrame:
+    """P10: per result (``key``) its rows, bytes and largest cell, and the first budget that it breaks, or an empty code.
+
+    Cells count by the UTF-8 bytes of their text, nulls as 4 (their printed form). Counts are sums, so no result
+    is gathered; a caller that must fail closed takes only results without a code.
+    """
+    sizes = [F.octet_length(F.coalesce(F.col(c).cast("string"), F.lit("None"))) for c in columns]
+    total = sizes[0].cast("long")
+    for s in sizes[1:]:
+        total = total + s
+    out = rows.groupBy(key).agg(F.count("*").alias("rows"), F.sum(total).alias("bytes"), F.max(F.greatest(*sizes) if len(sizes) > 1 else sizes[0]).alias("largest_cell"))
+    code = F.when(F.col("largest_cell") > max_cell, "cell_budget_exceeded").when(F.col("bytes") > max_bytes, "result_budget_exceeded").when(F.col("rows") > max_rows, "row_budget_exceeded").otherwise("")
+    return out.withColumn("deny_code", code)
+
+
+def line_context(lines: DataFrame, keys: list[str], above: int = 4, below: int = 2) -> DataFrame:
+    """Each line with the text of the lines from ``above`` before it to ``below`` after it, as ``context``."""
+    w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(-above, below)
+    return lines.withColumn("context", F.array_join(F.collect_list("line").over(w), "\n"))
 
 
 def marker_gaps(lines: DataFrame, scope: str, signal: str, markers: dict[str, str]) -> DataFrame:

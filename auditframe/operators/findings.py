@@ -11,21 +11,30 @@ from pyspark.sql.window import Window
 from auditframe.functions import scalars as S
 
 # --- J1 composite rules -----------------------------------------------------------------------
-#: Label sets, severity, confidence.
+# Rule ids, label sets, severity, confidence.
 COMPOSITES = (
-    *[("PERSON+" + x, ("PERSON", x), "high", "high") for x in ("PHONE", "EMAIL", "ADDRESS", "BIRTHDATE")],
-    *[("PERSON+" + x, ("PERSON", x), "critical", "high") for x in ("RRN", "CI", "DI", "BANK_ACCOUNT", "CREDIT_CARD", "HEALTH_INSURANCE_ID")],
-    ("PERSON+ACCOUNT_ID", ("PERSON", "ACCOUNT_ID"), "high", "medium"),
-    ("PERSON+PATIENT_ID", ("PERSON", "PATIENT_ID"), "high", "high"),
-    ("PHONE+ADDRESS", ("PHONE", "ADDRESS"), "high", "medium"),
-    ("EMAIL+ORDER_ID", ("EMAIL", "ORDER_ID"), "medium", "medium"),
-    ("IP_ADDRESS+ACCOUNT_ID+TIMESTAMP", ("IP_ADDRESS", "ACCOUNT_ID", "TIMESTAMP"), "high", "medium"),
-    ("VEHICLE_NUMBER+LOCATION+TIMESTAMP", ("VEHICLE_NUMBER", "LOCATION", "TIMESTAMP"), "high", "medium"),
-    ("MEDICAL_INFO+PERSON", ("MEDICAL_INFO", "PERSON"), "critical", "high"),
-    ("MEDICAL_INFO+PATIENT_ID", ("MEDICAL_INFO", "PATIENT_ID"), "critical", "high"),
-    ("SENSITIVE_INFO+PERSON", ("SENSITIVE_INFO", "PERSON"), "critical", "high"),
-    ("SENSITIVE_INFO+ACCOUNT_ID", ("SENSITIVE_INFO", "ACCOUNT_ID"), "high", "medium"),
-)
+    ("KR_COMBO_PERSON_PHONE", ("PERSON", "PHONE"), "high", "high"),
+    ("KR_COMBO_PERSON_EMAIL", ("PERSON", "EMAIL"), "high", "high"),
+    ("KR_COMBO_PERSON_ADDRESS", ("PERSON", "ADDRESS"), "high", "high"),
+    ("KR_COMBO_PERSON_BIRTHDATE", ("PERSON", "BIRTHDATE"), "high", "high"),
+    ("KR_COMBO_PERSON_RRN", ("PERSON", "RRN"), "critical", "high"),
+    ("KR_COMBO_PERSON_CI", ("PERSON", "CI"), "critical", "high"),
+    ("KR_COMBO_PERSON_DI", ("PERSON", "DI"), "critical", "high"),
+    ("KR_COMBO_PERSON_BANK_ACCOUNT", ("PERSON", "BANK_ACCOUNT"), "critical", "high"),
+    ("KR_COMBO_PERSON_CREDIT_CARD", ("PERSON", "CREDIT_CARD"), "critical", "high"),
+    ("KR_COMBO_PERSON_HEALTH_INSURANCE", ("PERSON", "HEALTH_INSURANCE_ID"), "critical", "high"),
+    ("KR_COMBO_PERSON_ACCOUNT_ID", ("PERSON", "ACCOUNT_ID"), "high", "medium"),
+    ("KR_COMBO_PERSON_PATIENT_ID", ("PERSON", "PATIENT_ID"), "high", "high"),
+    ("KR_COMBO_PHONE_ADDRESS", ("PHONE", "ADDRESS"), "high", "medium"),
+    ("KR_COMBO_EMAIL_ORDER", ("EMAIL", "ORDER_ID"), "medium", "medium"),
+    ("KR_COMBO_IP_ACCOUNT_TIME", ("IP_ADDRESS", "ACCOUNT_ID", "TIMESTAMP"), "high", "medium"),
+    ("KR_COMBO_VEHICLE_LOCATION_TIME", ("VEHICLE_NUMBER", "LOCATION", "TIMESTAMP"), "high", "medium"),
+    ("KR_COMBO_MEDICAL_DIRECT_IDENTIFIER", ("MEDICAL_INFO", "PERSON"), "critical", "high"),
+    ("KR_COMBO_MEDICAL_PATIENT_ID", ("MEDICAL_INFO", "PATIENT_ID"), "critical", "high"),
+    ("KR_COMBO_SENSITIVE_DIRECT_IDENTIFIER", ("SENSITIVE_INFO", "PERSON"), "critical", "high"),
+    ("KR_COMBO_SENSITIVE_ACCOUNT_ID", ("SENSITIVE_INFO", "ACCOUNT_ID"), "high", "medium"),
+)
+# End of the fixed values.
 
 
 def composites(entities: DataFrame, keys: list[str], rules: tuple = COMPOSITES) -> DataFrame:
@@ -38,14 +47,17 @@ def composites(entities: DataFrame, keys: list[str], rules: tuple = COMPOSITES)
     structured = F.col("context").rlike("^(csv_row:|jsonish_block:)")
     scope = F.when(structured, F.col("context")).otherwise(F.concat(F.lit("same_line:"), F.col("line_no").cast("string")))
     label = F.when(F.col("label") == "RRN_VALID", "RRN").otherwise(F.col("label"))
-    item = F.struct("line_no", "seq", label.alias("label"), "evidence")
-    grouped = entities.withColumn("scope", scope).groupBy(*keys, "scope").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    place = F.struct("line_no", "seq")
+    item = F.struct("line_no", "seq", "label", "evidence")
+    # The first entity of each label, with partial minima: a group has no more rows than there are labels.
+    firsts = entities.withColumns({"scope": scope, "label": label}).groupBy(*keys, "scope", "label").agg(F.min_by(item, place).alias("item"))
+    grouped = firsts.groupBy(*keys, "scope").agg(F.array_sort(F.collect_list("item")).alias("items"))
     table = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, ls)).alias("labels"), F.lit(s).alias("severity"), F.lit(c).alias("confidence")) for n, ls, s, c in rules])
     have = F.transform("items", lambda x: x["label"])
     hits = grouped.withColumn("have", have).withColumn("rule", F.explode(F.filter(table, lambda r: F.size(F.array_except(r["labels"], F.col("have"))) == 0)))
     parts = F.transform(F.col("rule.labels"), lambda name: F.filter(F.col("items"), lambda x: x["label"] == name)[0])
     confidence = F.when(F.col("scope").startswith("same_line:") & (F.col("rule.confidence") == "high"), "medium").otherwise(F.col("rule.confidence"))
-    return hits.select(*keys, "scope", F.concat(F.lit("KR_COMBO_"), F.replace(F.col("rule.name"), F.lit("+"), F.lit("_"))).alias("rule_id"), F.col("rule.severity").alias("severity"), confidence.alias("confidence"), parts.alias("components"))
+    return hits.select(*keys, "scope", F.col("rule.name").alias("rule_id"), F.col("rule.severity").alias("severity"), confidence.alias("confidence"), parts.alias("components"))
 
 
 # --- J2 cross-plane ---------------------------------------------------------------------------
@@ -108,21 +120,23 @@ def dedupe_findings(findings: DataFrame) -> DataFrame:
     own = F.coalesce(F.col("components").cast(kind), F.array().cast(kind)) if "components" in findings.columns else F.array().cast(kind)
     line = F.coalesce(F.regexp_extract(evidence, r"\bsource_line=(\d+)\b", 1).try_cast("int"), F.col("line_start").cast("int"))
     trace = F.struct(F.concat(F.lit("source_trace:"), F.col("source")).alias("label"), evidence.alias("evidence"), line.alias("line"))
-    rows = findings.withColumn("__key", key).withColumn("__action", action).withColumn("__own", own).withColumn("__trace", trace).withColumn("__pair", F.struct("source", "evidence"))
+    rows = findings.withColumn("__key", key).withColumn("__action", action).withColumn("__pair", F.to_json(F.struct("source", "evidence")))
     merged = rows.groupBy("__key").agg(
         F.min_by(F.struct(*[c for c in findings.columns if c not in {"severity", "confidence", "audit_depth", "components"}]), order).alias("first"),
         F.min(S.rank(F.col("severity"))).alias("sev"), F.min(S.rank(F.col("confidence"), S.CONFIDENCES)).alias("conf"),
         *([F.max("audit_depth").alias("audit_depth")] if "audit_depth" in findings.columns else []),
-        F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("__own").alias("own"), F.col("__trace").alias("trace")))).alias("all"),
-        (F.first("__action") & (F.count_distinct("__pair") > 1)).alias("traced"), F.count("*").alias("merged_count"),
+        (F.first("__action") & (F.min("__pair") != F.max("__pair"))).alias("traced"), F.count("*").alias("merged_count"),
     )
-    owned = F.flatten(F.transform("all", lambda x: x["own"]))
-    traces = F.transform("all", lambda x: x["trace"])
+    # Components: the first of equal ones, so that what one key gathers is its distinct components, not its rows.
+    parts = F.concat(F.transform(own, lambda c: F.struct(c.alias("c"), F.lit(0).alias("kind"))), F.when(F.col("__action"), F.array(F.struct(trace.cast("struct<label:string,evidence:string,line:int>").alias("c"), F.lit(1).alias("kind")))).otherwise(F.array().cast("array<struct<c:struct<label:string,evidence:string,line:int>,kind:int>>")))
+    spread = rows.select("__key", order.alias("o"), F.posexplode(parts).alias("at", "p")).groupBy("__key", F.col("p.c").alias("c"), F.col("p.kind").alias("kind")).agg(F.min(F.struct(F.col("p.kind").alias("kind"), "o", "at")).alias("place"))
+    components = spread.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("place", "c"))).alias("all"))
     names = lambda values, k: F.element_at(F.array(*map(F.lit, values)), k + 1)
-    return merged.select(
+    every = F.coalesce("all", F.array().cast(components.schema["all"].dataType))
+    kept = F.transform(F.filter(every, lambda x: F.col("traced") | (x["place"]["kind"] == 0)), lambda x: x["c"])
+    return merged.join(components, "__key", "left").select(
         "first.*", names(S.SEVERITIES, F.col("sev")).alias("severity"), names(S.CONFIDENCES, F.col("conf")).alias("confidence"),
-        *([F.col("audit_depth")] if "audit_depth" in findings.columns else []),
-        F.array_distinct(F.when(F.col("traced"), F.concat(owned, traces)).otherwise(owned)).alias("components"), "merged_count",
+        *([F.col("audit_depth")] if "audit_depth" in findings.columns else []), F.array_distinct(kept).alias("components"), "merged_count",
     )
 
 
@@ -146,7 +160,7 @@ INTEGRITY = (
 REPOSITORY_WIDE = "^(CONNECTOR_SECRET_AT_REST|KR_PII_|PII_|SECRET_)"
 MANUAL = "^(KR_|PII_|SECRET_)"
 
-#: Path parts by scope, in the order of the cascade.
+# Path parts by scope, in the order of the cascade, and lock files.
 PATH_PARTS = (
     ("test_fixture", ("test", "tests", "fixture", "fixtures", "__tests__", "spec", "specs")),
     ("benchmark", ("benchmark", "benchmarks")),
@@ -205,10 +219,15 @@ def triage(findings: DataFrame, limit: int = 50) -> DataFrame:
     scope = F.coalesce("artifact_scope", F.lit("workspace_evidence"))
     place = S.hmac16(F.concat(F.coalesce("file", F.lit("")), F.lit(":"), F.coalesce("line_start", F.lit(0)).cast("string")))
     rows = findings.withColumn("artifact_scope", scope).withColumn("lane", release_lane()).withColumn("place", place)
-    grouped = rows.groupBy("rule_id", "severity", "artifact_scope").agg(
-        F.min_by("lane", F.struct("detector_ord", "seq", "file")).alias("priority_lane"), F.count("*").alias("finding_count"), F.count_distinct(F.when(F.col("file") != "", F.col("file"))).alias("affected_file_count"),
-        F.slice(F.array_sort(F.collect_set("place")), 1, 5).alias("location_refs"), F.bool_or(F.col("lane") != "supporting_review").alias("blocking"),
+    group = ["rule_id", "severity", "artifact_scope"]
+    places = rows.groupBy(*group, "place").agg(F.count("*").alias("n"))  # distinct, with partial sums
+    five = places.withColumn("k", F.row_number().over(Window.partitionBy(*group).orderBy("place"))).filter("k <= 5")
+    refs = five.groupBy(*group).agg(F.array_sort(F.collect_list("place")).alias("location_refs"))
+    counted = rows.groupBy(*group).agg(
+        F.min_by("lane", F.struct("detector_ord", "seq", "file")).alias("priority_lane"), F.count("*").alias("finding_count"),
+        F.count_distinct(F.when(F.col("file") != "", F.col("file"))).alias("affected_file_count"), F.bool_or(F.col("lane") != "supporting_review").alias("blocking"),
     )
+    grouped = counted.join(refs, group).select(*group, "priority_lane", "finding_count", "affected_file_count", "location_refs", "blocking")
     return grouped.orderBy(F.desc("blocking"), S.rank(F.col("severity")), F.desc("finding_count"), "rule_id", "artifact_scope").limit(limit)
 
 

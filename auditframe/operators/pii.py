@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,6 +31,7 @@ class EntityRule:
     group: int = 0
     confidence: str = "medium"
     context: str | None = None
+    hint: str | None = None  # a cheap pattern that every match holds
 
 
 # Patterns of entity labels, in Java syntax with Unicode classes.
@@ -36,25 +39,25 @@ _U, _UI = "(?U)", "(?Uiu)"
 _FIELD = "[\"'\\s:=]+[\"']?"
 _TAG = "[\"'\\s:=#-]+"
 RULES = (
-    EntityRule("EMAIL", _U + r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0, "high"),
-    EntityRule("PHONE", _U + r"\b(?:010|011|016|017|018|019|02|0[3-6][1-6]|070|080)[- ]?\d{3,4}[- ]?\d{4}\b", 0, "high"),
-    EntityRule("PASSPORT", _U + r"\b[MSROD][0-9]{8}\b"),
-    EntityRule("DRIVER_LICENSE", _U + r"\b\d{2}[- ]?\d{2}[- ]?\d{6}[- ]?\d{2}\b", context=_UI + r"(driver(?:[_\s-]?license)?|운전\s*면허|면허번호)"),
-    EntityRule("PERSONAL_CUSTOMS_CODE", _U + r"\bP\d{12}\b"),
-    EntityRule("CI", _UI + r"(?:\bci\b|connecting[_ -]?info(?:rmation)?|연계정보)" + _FIELD + "([A-Za-z0-9+/=_-]{20,})", 1),
-    EntityRule("DI", _UI + r"(?:\bdi\b|duplication[_ -]?info(?:rmation)?|중복가입확인정보)" + _FIELD + "([A-Za-z0-9+/=_-]{20,})", 1),
-    EntityRule("HEALTH_INSURANCE_ID", _UI + r"(?:health[_ -]?insurance[_ -]?(?:id|no|number)|건강보험(?:증)?번호|보험증번호)" + _TAG + "([A-Za-z0-9_.-]{6,})", 1),
-    EntityRule("PATIENT_ID", _UI + r"(?:patient[_ -]?(?:id|no|number)|medical[_ -]?record[_ -]?(?:id|no|number)|환자번호|차트번호|진료번호|의무기록번호|병록번호)" + _TAG + "([A-Za-z0-9_.-]{4,})", 1),
-    EntityRule("ACCOUNT_ID", _UI + r"(?:student[_ -]?id|employee[_ -]?id|member[_ -]?(?:id|no|number)|customer[_ -]?(?:no|number)|학번|사번|회원번호|회원ID|고객번호|수험번호)" + _TAG + "([A-Za-z0-9_.-]{4,})", 1),
-    EntityRule("DEVICE_ID", _UI + r"(?:device[_ -]?id|deviceId|idfa|gaid|adid|advertising[_ -]?id|firebase[_ -]?installation[_ -]?id|installation[_ -]?id|기기ID|기기식별자)[\"'\s:=]+([A-Za-z0-9_.:-]{12,})", 1, "low"),
-    EntityRule("VEHICLE_NUMBER", _U + r"\b\d{2,3}[가-힣]\s?\d{4}\b"),
-    EntityRule("BIRTHDATE", _U + r"\b(?:19|20)\d{2}[-./]?(?:0[1-9]|1[0-2])[-./]?(?:0[1-9]|[12]\d|3[01])\b", context=_UI + r"(?:\bbirth(?:date|day)?\b|\bdate[_ -]?of[_ -]?birth\b|\bdob\b|생년월일|생일)"),
-    EntityRule("TIMESTAMP", _U + r"\b(?:19|20)\d{2}[-./]\d{2}[-./]\d{2}[ T]\d{2}:\d{2}(?::\d{2})?\b"),
-    EntityRule("PERSON", _UI + r"(?:name|user_name|customer_name|full_name|이름|성명|고객명|사용자명)" + _FIELD + "([가-힣]{2,4})", 1, "high"),
-    EntityRule("ADDRESS", _UI + r"(?:address|addr|주소)" + _FIELD + r"([가-힣A-Za-z0-9\s\-]+(?:시|도|구|군|동|로|길)[가-힣A-Za-z0-9\s\-]*)", 1),
-    EntityRule("LOCATION", _UI + r"(?:location|loc|place|위치|장소)" + _FIELD + r"([가-힣A-Za-z0-9\s\-]+(?:시|도|구|군|동|로|길|역|점)[가-힣A-Za-z0-9\s\-]*)", 1),
-    EntityRule("ORDER_ID", _UI + r"\b(?:order|주문|reservation|예약|tracking|송장)[_-]?(?:id|no|번호)?" + _TAG + "([A-Za-z0-9-]{6,})", 1),
-    EntityRule("ACCOUNT_ID", _UI + r"\b(?:account|user|customer)[_-]?id[\"'\s:=]+([A-Za-z0-9_.-]{4,})", 1),
+    EntityRule("EMAIL", _U + r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0, "high", hint="@"),
+    EntityRule("PHONE", _U + r"\b(?:010|011|016|017|018|019|02|0[3-6][1-6]|070|080)[- ]?\d{3,4}[- ]?\d{4}\b", 0, "high", hint=r"\p{Nd}{4}"),
+    EntityRule("PASSPORT", _U + r"\b[MSROD][0-9]{8}\b", hint="[MSROD][0-9]{8}"),
+    EntityRule("DRIVER_LICENSE", _U + r"\b\d{2}[- ]?\d{2}[- ]?\d{6}[- ]?\d{2}\b", context=_UI + r"(driver(?:[_\s-]?license)?|운전\s*면허|면허번호)", hint=r"\p{Nd}{6}"),
+    EntityRule("PERSONAL_CUSTOMS_CODE", _U + r"\bP\d{12}\b", hint=r"P\p{Nd}{12}"),
+    EntityRule("CI", _UI + r"(?:\bci\b|connecting[_ -]?info(?:rmation)?|연계정보)" + _FIELD + "([A-Za-z0-9+/=_-]{20,})", 1, hint="[A-Za-z0-9+/=_-]{20}"),
+    EntityRule("DI", _UI + r"(?:\bdi\b|duplication[_ -]?info(?:rmation)?|중복가입확인정보)" + _FIELD + "([A-Za-z0-9+/=_-]{20,})", 1, hint="[A-Za-z0-9+/=_-]{20}"),
+    EntityRule("HEALTH_INSURANCE_ID", _UI + r"(?:health[_ -]?insurance[_ -]?(?:id|no|number)|건강보험(?:증)?번호|보험증번호)" + _TAG + "([A-Za-z0-9_.-]{6,})", 1, hint="(?i)insurance|보험"),
+    EntityRule("PATIENT_ID", _UI + r"(?:patient[_ -]?(?:id|no|number)|medical[_ -]?record[_ -]?(?:id|no|number)|환자번호|차트번호|진료번호|의무기록번호|병록번호)" + _TAG + "([A-Za-z0-9_.-]{4,})", 1, hint="(?i)patient|record|번호"),
+    EntityRule("ACCOUNT_ID", _UI + r"(?:student[_ -]?id|employee[_ -]?id|member[_ -]?(?:id|no|number)|customer[_ -]?(?:no|number)|학번|사번|회원번호|회원ID|고객번호|수험번호)" + _TAG + "([A-Za-z0-9_.-]{4,})", 1, hint="(?i)student|employee|member|customer|학번|사번|회원|고객|수험"),
+    EntityRule("DEVICE_ID", _UI + r"(?:device[_ -]?id|deviceId|idfa|gaid|adid|advertising[_ -]?id|firebase[_ -]?installation[_ -]?id|installation[_ -]?id|기기ID|기기식별자)[\"'\s:=]+([A-Za-z0-9_.:-]{12,})", 1, "low", hint="(?i)device|idfa|gaid|adid|advertis|installation|기기"),
+    EntityRule("VEHICLE_NUMBER", _U + r"\b\d{2,3}[가-힣]\s?\d{4}\b", hint="[가-힣]"),
+    EntityRule("BIRTHDATE", _U + r"\b(?:19|20)\d{2}[-./]?(?:0[1-9]|1[0-2])[-./]?(?:0[1-9]|[12]\d|3[01])\b", context=_UI + r"(?:\bbirth(?:date|day)?\b|\bdate[_ -]?of[_ -]?birth\b|\bdob\b|생년월일|생일)", hint=r"(?:19|20)\p{Nd}"),
+    EntityRule("TIMESTAMP", _U + r"\b(?:19|20)\d{2}[-./]\d{2}[-./]\d{2}[ T]\d{2}:\d{2}(?::\d{2})?\b", hint=r"(?:19|20)\p{Nd}.*:"),
+    EntityRule("PERSON", _UI + r"(?:name|user_name|customer_name|full_name|이름|성명|고객명|사용자명)" + _FIELD + "([가-힣]{2,4})", 1, "high", hint="[가-힣]{2}"),
+    EntityRule("ADDRESS", _UI + r"(?:address|addr|주소)" + _FIELD + r"([가-힣A-Za-z0-9\s\-]+(?:시|도|구|군|동|로|길)[가-힣A-Za-z0-9\s\-]*)", 1, hint="[시도구군동로길]"),
+    EntityRule("LOCATION", _UI + r"(?:location|loc|place|위치|장소)" + _FIELD + r"([가-힣A-Za-z0-9\s\-]+(?:시|도|구|군|동|로|길|역|점)[가-힣A-Za-z0-9\s\-]*)", 1, hint="[시도구군동로길역점]"),
+    EntityRule("ORDER_ID", _UI + r"\b(?:order|주문|reservation|예약|tracking|송장)[_-]?(?:id|no|번호)?" + _TAG + "([A-Za-z0-9-]{6,})", 1, hint="(?i)order|reservation|tracking|주문|예약|송장"),
+    EntityRule("ACCOUNT_ID", _UI + r"\b(?:account|user|customer)[_-]?id[\"'\s:=]+([A-Za-z0-9_.-]{4,})", 1, hint="(?i)account|user|customer"),
 )
 PERSON_NUMBER = _U + r"\b\d{6}[- ]?[1-8]\d{6}\b"
 RRN_CONTEXT = _UI + r"(?:\brrn\b|resident[_ -]?(?:registration|id)|주민(?:등록)?번호|주민등록)"
@@ -75,17 +78,17 @@ CONCEPTS = (
     (_UI + "disability(?:_type|_status|_grade|_code)", None),
     (_UI + "sexual[_ -]?(?:orientation|life)", None),
 )
-HINT = _UI + r"[@\d가-힣]|\b(?:ci|di|connecting|duplication|health|insurance|patient|medical|record|student|employee|member|customer|device|idfa|gaid|adid|firebase|installation|driver|license|name|full_name|user_name|address|addr|location|loc|place|order|reservation|tracking|account|user_id|customer_id|diagnosis|prescription|genetic[_ -]?data|criminal[_ -]?record|disability(?:_type|_status|_grade|_code)?|religion|political[_ -]?opinion|union[_ -]?membership|labor\s+union|trade\s+union|sexual[_ -]?(?:orientation|life)|corporate(?:_?registration)?|medical[_ -]?(?:record|info)|biometric(?:_data)?|health_condition|biz|brn|crn)\b"
+HINT = r"(?i)[@\p{Nd}가-힣]|\b(?:ci|di|connecting|duplication|health|insurance|patient|medical|record|student|employee|member|customer|device|idfa|gaid|adid|firebase|installation|driver|license|name|full_name|user_name|address|addr|location|loc|place|order|reservation|tracking|account|user_id|customer_id|diagnosis|prescription|genetic[_ -]?data|criminal[_ -]?record|disability(?:_type|_status|_grade|_code)?|religion|political[_ -]?opinion|union[_ -]?membership|labor\s+union|trade\s+union|sexual[_ -]?(?:orientation|life)|corporate(?:_?registration)?|medical[_ -]?(?:record|info)|biometric(?:_data)?|health_condition|biz|brn|crn)\b"
 #: Secrets, reconstructed from the public shapes of the credentials.
 SECRETS = (
-    EntityRule("PRIVATE_KEY", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, "high"),
-    EntityRule("DB_URL", r"\b(?:postgres|postgresql|mysql|mongodb|redis)://[^:\s]+:[^@\s]+@[^)\s'\"`]+", 0, "high"),
-    EntityRule("GITHUB_PAT", r"\bgh[pousr]_[A-Za-z0-9_]{30,}\b", 0, "high"),
-    EntityRule("AWS_ACCESS_KEY", r"\bAKIA[0-9A-Z]{16}\b", 0, "high"),
-    EntityRule("JWT", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", 0, "high"),
-    EntityRule("OPENAI_STYLE_KEY", r"\bsk-[A-Za-z0-9_-]{20,}\b", 0, "high"),
-    EntityRule("WEBHOOK_URL", r"https://hooks\.[A-Za-z0-9.-]+/[A-Za-z0-9/_-]{16,}", 0, "high"),
-    EntityRule("API_KEY", "(?i)\\b(?:api[_-]?key|secret|token|password)\\b[\"']?\\s*[:=]\\s*[\"']?([A-Za-z0-9_\\-]{8,})", 1, "medium"),
+    EntityRule("PRIVATE_KEY", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, "high", hint="-----BEGIN"),
+    EntityRule("DB_URL", r"\b(?:postgres|postgresql|mysql|mongodb|redis)://[^:\s]+:[^@\s]+@[^)\s'\"`]+", 0, "high", hint="://"),
+    EntityRule("GITHUB_PAT", r"\bgh[pousr]_[A-Za-z0-9_]{30,}\b", 0, "high", hint="gh[pousr]_"),
+    EntityRule("AWS_ACCESS_KEY", r"\bAKIA[0-9A-Z]{16}\b", 0, "high", hint="AKIA"),
+    EntityRule("JWT", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", 0, "high", hint="eyJ"),
+    EntityRule("OPENAI_STYLE_KEY", r"\bsk-[A-Za-z0-9_-]{20,}\b", 0, "high", hint="sk-"),
+    EntityRule("WEBHOOK_URL", r"https://hooks\.[A-Za-z0-9.-]+/[A-Za-z0-9/_-]{16,}", 0, "high", hint="https://hooks"),
+    EntityRule("API_KEY", "(?i)\\b(?:api[_-]?key|secret|token|password)\\b[\"']?\\s*[:=]\\s*[\"']?([A-Za-z0-9_\\-]{8,})", 1, "medium", hint="(?i)key|secret|token|password"),
 )
 
 #: Severity of a lone entity by label; RRN and FRN also depend on confidence.
@@ -95,19 +98,52 @@ SEVERITY = {
     "medium": ("PHONE", "EMAIL", "ADDRESS", "VEHICLE_NUMBER", "MEDICAL_INFO", "PATIENT_ID", "SENSITIVE_INFO", "BUSINESS_REGISTRATION", "CORPORATE_REGISTRATION"),
 }
 SECRET_SEVERITY = {"critical": ("PRIVATE_KEY", "DB_URL", "AWS_ACCESS_KEY", "GITHUB_PAT"), "high": ("JWT", "OPENAI_STYLE_KEY", "API_KEY", "WEBHOOK_URL")}
-#: D-PII9: label, privacy class, legal basis.
+# Fixed values, D-PII9: label, privacy class, axes.
 TAXONOMY = (
-    ("RRN", "unique_identifier", "PIPA 24"), ("RRN_VALID", "unique_identifier", "PIPA 24"),
-    ("FRN", "unique_identifier", "PIPA 24"), ("FRN_VALID", "unique_identifier", "PIPA 24"),
-    ("PASSPORT", "unique_identifier", "PIPA 24"), ("DRIVER_LICENSE", "unique_identifier", "PIPA 24"),
-    ("MEDICAL_INFO", "sensitive", "PIPA 23"), ("SENSITIVE_INFO", "sensitive", "PIPA 23"),
-    ("CREDIT_CARD", "financial", "PIPA 29"), ("BANK_ACCOUNT", "financial", "PIPA 29"),
-    ("EMAIL", "contact", "PIPA 15"), ("PHONE", "contact", "PIPA 15"), ("ADDRESS", "contact", "PIPA 15"),
-    ("PERSON", "identity", "PIPA 15"), ("BIRTHDATE", "identity", "PIPA 15"),
-    ("CI", "linkable", "PIPA 15"), ("DI", "linkable", "PIPA 15"), ("DEVICE_ID", "linkable", "PIPA 15"),
-    ("IP_ADDRESS", "linkable", "PIPA 15"), ("ACCOUNT_ID", "linkable", "PIPA 15"),
-    ("BUSINESS_REGISTRATION", "organization", "none"), ("CORPORATE_REGISTRATION", "organization", "none"),
-)
+    ("RRN_VALID", "고유식별정보/직접식별자", ("direct_identifier", "unique_identifier", "high_impact")),
+    ("RRN", "고유식별정보/직접식별자 후보", ("direct_identifier", "unique_identifier", "high_impact")),
+    ("FRN", "고유식별정보/외국인 식별자 후보", ("direct_identifier", "unique_identifier", "high_impact")),
+    ("FRN_VALID", "고유식별정보/외국인 식별자", ("direct_identifier", "unique_identifier", "high_impact")),
+    ("PASSPORT", "여권번호/고유식별정보 후보", ("direct_identifier", "unique_identifier", "high_impact")),
+    ("DRIVER_LICENSE", "운전면허번호/고유식별정보 후보", ("direct_identifier", "unique_identifier", "high_impact")),
+    ("PERSONAL_CUSTOMS_CODE", "개인통관고유부호/직접식별자 후보", ("direct_identifier", "service_identifier")),
+    ("CI", "본인확인 연계정보/서비스 식별자", ("service_identifier", "linkable_identifier", "high_impact")),
+    ("DI", "중복가입확인정보/서비스 식별자", ("service_identifier", "linkable_identifier", "high_impact")),
+    ("CREDIT_CARD", "금융 식별정보", ("financial_identifier", "high_impact")),
+    ("BANK_ACCOUNT", "계좌번호/금융 식별정보", ("financial_identifier", "high_impact")),
+    ("HEALTH_INSURANCE_ID", "건강보험 식별자", ("health_identifier", "sensitive_context", "high_impact")),
+    ("PATIENT_ID", "환자/진료 식별자", ("health_identifier", "sensitive_context")),
+    ("MEDICAL_INFO", "건강/의료 민감정보 후보", ("sensitive_category", "health_context")),
+    ("SENSITIVE_INFO", "민감정보 후보", ("sensitive_category", "high_impact")),
+    ("PERSON", "성명/직접식별자", ("direct_identifier",)),
+    ("PHONE", "연락처/직접식별자", ("direct_identifier", "contact")),
+    ("EMAIL", "이메일/연락처 식별자", ("contact", "linkable_identifier")),
+    ("ADDRESS", "주소/위치 식별자", ("contact", "location", "linkable_identifier")),
+    ("BIRTHDATE", "생년월일/준식별자", ("quasi_identifier",)),
+    ("ACCOUNT_ID", "회원/고객/학생/직원 식별자", ("service_identifier", "linkable_identifier")),
+    ("ORDER_ID", "주문/예약 식별자", ("service_identifier", "activity_context")),
+    ("DEVICE_ID", "기기/광고 식별자", ("device_identifier", "behavioral_context")),
+    ("IP_ADDRESS", "접속기록/IP 식별자 후보", ("technical_identifier", "access_log")),
+    ("TIMESTAMP", "시각 정보/행위 문맥", ("activity_context", "quasi_identifier")),
+    ("VEHICLE_NUMBER", "차량번호/이동 식별자", ("location", "direct_identifier")),
+    ("LOCATION", "위치정보 후보", ("location", "sensitive_context")),
+    ("BUSINESS_REGISTRATION", "조직 식별정보/사업자등록번호", ("organization_identifier",)),
+    ("CORPORATE_REGISTRATION", "조직 식별정보/법인등록번호", ("organization_identifier",)),
+)
+# End of the fixed values.
+
+
+def privacy_class(label: Column) -> tuple[Column, Column]:
+    """D-PII9: class and axes of a label; null and no axes outside the taxonomy."""
+    pairs = [x for name, cls, axes in TAXONOMY for x in (F.lit(name), F.struct(F.lit(cls).alias("c"), F.array(*map(F.lit, axes)).alias("a")))]
+    found = F.element_at(F.create_map(*pairs), label)
+    return found["c"], F.coalesce(found["a"], F.array().cast("array<string>"))
+
+
+def combined_class(labels: Column) -> Column:
+    """D-PII9: the first four distinct classes of an array of labels, as one text."""
+    classes = F.array_distinct(F.array_compact(F.transform(labels, lambda x: privacy_class(x)[0])))
+    return F.array_join(F.slice(classes, 1, 4), " + ")
 
 
 def _digits(value: Column) -> Column:
@@ -120,11 +156,16 @@ def _matches(label: str, confidence: str, values: Column) -> Column:
 
 def _rule(rule: EntityRule, line: Column) -> Column:
     found = F.regexp_extract_all(line, F.lit(rule.pattern), F.lit(rule.group))
-    if rule.context:
-        found = F.when(line.rlike(rule.context), found).otherwise(F.array().cast("array<string>"))
+    tests = [line.rlike(p) for p in (rule.hint, rule.context) if p]
+    if tests:
+        found = F.when(reduce(and_, tests), found).otherwise(F.array().cast("array<string>"))
     return _matches(rule.label, rule.confidence, found)
 
 
+def _hinted(line: Column, hint: str, found: Column) -> Column:
+    return F.when(line.rlike(hint), found).otherwise(F.array().cast("array<struct<label:string,value:string,confidence:string>>"))
+
+
 def _person_numbers(line: Column) -> Column:
     found = F.filter(F.regexp_extract_all(line, F.lit(PERSON_NUMBER), F.lit(0)), lambda v: S.plausible_birthdate(_digits(v)))
 
@@ -136,7 +177,7 @@ def _person_numbers(line: Column) -> Column:
         label = F.concat(F.when(foreign, "FRN").otherwise("RRN"), F.when(valid, "_VALID").otherwise(""))
         return F.struct(label.alias("label"), v.alias("value"), F.when(valid | context, "high").otherwise("low").alias("confidence"))
 
-    return F.transform(found, one)
+    return _hinted(line, r"\p{Nd}{6}[- ]?\p{Nd}{7}", F.transform(found, one))
 
 
 def _cards(line: Column) -> Column:
@@ -144,7 +185,7 @@ def _cards(line: Column) -> Column:
         d = _digits(v)
         return F.length(d).between(13, 19) & F.substring(d, 1, 1).isin("2", "3", "4", "5", "6") & S.luhn(d) & (F.trim(v).rlike("[ -]") | line.rlike(CARD_CONTEXT))
 
-    return _matches("CREDIT_CARD", "high", F.filter(F.regexp_extract_all(line, F.lit(CARD), F.lit(0)), gate))
+    return _hinted(line, r"(?:\p{Nd}[ -]?){13}", _matches("CREDIT_CARD", "high", F.filter(F.regexp_extract_all(line, F.lit(CARD), F.lit(0)), gate)))
 
 
 def _banks(line: Column) -> Column:
@@ -159,7 +200,7 @@ def _banks(line: Column) -> Column:
 
     loose = F.filter(F.regexp_extract_all(line, F.lit(BANK), F.lit(0)), gate)
     named = F.filter(F.regexp_extract_all(line, F.lit(BANK_FIELD), F.lit(1)), field)
-    return F.concat(_matches("BANK_ACCOUNT", "low", loose), _matches("BANK_ACCOUNT", "medium", named))
+    return _hinted(line, r"\p{Nd}{2}[- ]?\p{Nd}{2}", F.concat(_matches("BANK_ACCOUNT", "low", loose), _matches("BANK_ACCOUNT", "medium", named)))
 
 
 def _keywords(line: Column, line_no: Column) -> Column:
@@ -178,7 +219,7 @@ def _keywords(line: Column, line_no: Column) -> Column:
 _BIZ_LABEL = r"(?:사업자[^\S\r\n]*등록[^\S\r\n]*번호|사업자[^\S\r\n]*번호|사업자번호|biz[_ -]?(?:reg(?:istration)?|no|number)|\bbrn\b|business[_ -]?registration(?:[_ -]?(?:no|num(?:ber)?))?)"
 _CORP_LABEL = r"(?:법인[^\S\r\n]*등록[^\S\r\n]*번호|법인[^\S\r\n]*번호|법인번호|corporate(?:[_ -]?registration)?(?:[_ -]?(?:no|num(?:ber)?))?|corp[_ -]?(?:reg(?:istration)?|no|num(?:ber)?)|\bcrn\b)"
 _BETWEEN = r"[^\S\r\n]*[\"'\t :=#-]*[\"']?"
-_ORG_HINT = r"(?<!\d)(?:\d{3}[- ]\d{2}[- ]\d{5}|\d{10}|\d{6}[- ]?\d{7})(?!\d)"
+_ORG_HINT = r"(?U)(?<!\d)(?:\d{3}[- ]\d{2}[- ]\d{5}|\d{10}|\d{6}[- ]?\d{7})(?!\d)"
 _ORG_STEPS = (
     ("BUSINESS_REGISTRATION", re.compile(_BIZ_LABEL + _BETWEEN + r"(?P<v>(?<!\d)(?:\d{3}[- ]\d{2}[- ]\d{5}|\d{10})(?!\d))", re.I), True),
     ("BUSINESS_REGISTRATION", re.compile(r"(?P<v>(?<!\d)\d{3}[- ]\d{2}[- ]\d{5}(?!\d))"), False),
@@ -201,35 +242,49 @@ def _is_person(digits: str) -> bool:
     return digits[6] in "12345678"
 
 
-def organisation_numbers(line: str) -> tuple[list[tuple[str, str, str]], list[str]]:
-    """D-PII3: (label, value, confidence) on one line, and all claimed values.
+def organisation_numbers(line: str, kind: str | None = None) -> tuple[list[tuple[str, str, str]], str]:
+    """D-PII3: (label, value, confidence) on one line, and the line with all claimed spans masked by ``x``.
 
-    Labelled business, bare business, labelled corporate, bare corporate, in this order; a value
-    claimed by an earlier step is not looked at again, whether or not it passed its check digit. A
-    plausible person number is never an organisation's.
+    ``kind`` is the label that a key alone on the line before gives to the first value of this one (W2).
+    Then labelled business, bare business, labelled corporate and bare corporate numbers; a span that an
+    earlier step has claimed is not looked at again. Bound numbers are claimed by their shape, bare ones
+    only with a right check digit. A plausible person number is never an organisation's.
     """
-    found, spans, claimed = [], [], []
-    for label, pattern, labelled in _ORG_STEPS:
-        for m in pattern.finditer(line):
+    found, spans = [], []
+    steps = [(label, pattern, labelled) for label, pattern, labelled in _ORG_STEPS]
+    if kind:
+        first = re.compile("(?P<v>" + (BUSINESS_SHAPE if kind == "BUSINESS_REGISTRATION" else CORPORATE_SHAPE) + ")").search(line)
+        steps.insert(0, (kind, first, True))
+    for label, pattern, labelled in steps:
+        for m in ([pattern] if isinstance(pattern, re.Match) else pattern.finditer(line) if pattern else ()):
             a, b = m.span("v")
             if any(a < y and x < b for x, y in spans):
                 continue
             digits = re.sub(r"\D", "", m["v"])
-            if label.startswith("BUSINESS"):
-                ok = _mod_check(digits, (1, 3, 7, 1, 3, 7, 1, 3, 5), int(digits[8]) * 5 // 10)
-                spans.append((a, b))
-                claimed.append(m["v"])
-                if ok:
-                    found.append((label, m["v"], "high"))
-                continue
-            if _is_person(digits):
+            business = label == "BUSINESS_REGISTRATION"
+            if not business and _is_person(digits):
                 continue
-            ok = _mod_check(digits, (1, 2) * 6)
+            ok = _mod_check(digits, (1, 3, 7, 1, 3, 7, 1, 3, 5), int(digits[8]) * 5 // 10) if business else _mod_check(digits, (1, 2) * 6)
             if ok or labelled:
                 spans.append((a, b))
-                claimed.append(m["v"])
+            if ok or labelled and not business:
                 found.append((label, m["v"], "high" if ok else "medium"))
-    return found, claimed
+    for a, b in spans:
+        line = line[:a] + "x" * (b - a) + line[b:]
+    return found, line
+
+
+BUSINESS_SHAPE = r"(?<!\d)(?:\d{3}[- ]\d{2}[- ]\d{5}|\d{10})(?!\d)"
+CORPORATE_SHAPE = r"(?<!\d)(?:\d{6}[- ]?\d{7}|\d{13})(?!\d)"
+_KEY_LINE = "^\\s*[\\[{,]?\\s*[\"']([^\"']+)[\"']\\s*:\\s*[\"']?[\\s,]*$"
+
+
+def key_kind(line: Column) -> Column:
+    """The organisation label that a line names which is only the key of the value below, else null."""
+    name = F.lower(F.regexp_replace(F.regexp_extract(line, _KEY_LINE, 1), "[\\s_-]+", ""))
+    return F.when(name.isin("법인등록번호", "법인번호", "crn", "corpreg", "corporateregistration", "corporateregistrationnumber", "corporateregistrationno"), "CORPORATE_REGISTRATION").when(
+        name.isin("사업자등록번호", "사업자번호", "bizno", "biznumber", "brn", "businessregistration", "businessregistrationnumber", "businessregistrationno"), "BUSINESS_REGISTRATION"
+    )
 
 
 def detect_entities(artifacts: DataFrame, secrets: bool = True) -> DataFrame:
@@ -237,30 +292,35 @@ def detect_entities(artifacts: DataFrame, secrets: bool = True) -> DataFrame:
 
     Adds line_no, label, value, confidence, evidence, context, scope, seq. Lines without a hint are
     dropped before any rule runs (secrets have a hint of their own). ``context`` names the
-    bracketed block that a line stands in, if any; equal entities of a line are kept once.
+    bracketed block that a line stands in, if any; equal entities of a line are kept once. Depth
+    changes only where a bracket stands, so its windows see hinted lines and lines with brackets alone.
     """
     ship(artifacts.sparkSession)
     keys = [c for c in artifacts.columns if c != "text"]
     secret_hint = "(?i)-----BEGIN|://|gh[pousr]_|AKIA|eyJ|sk-|api[_-]?key|secret|token|password"
-    numbered = lines(artifacts)
-    blocks = clamped_depth(numbered, F.length(F.regexp_replace("line", "[^\\[{]", "")), F.length(F.regexp_replace("line", "[^\\]}]", "")), keys, ["line_no"])
-    hinted = blocks.filter(F.col("line").rlike(HINT) | (F.col("line").rlike(secret_hint) if secrets else F.lit(False)))
     line, empty = F.col("line"), F.array().cast("array<struct<label:string,value:string,confidence:string>>")
-    groups = [F.concat(*[_rule(r, line) for r in RULES[:10]]), F.concat(*[_rule(r, line) for r in RULES[10:]]), F.concat(_person_numbers(line), _cards(line), _banks(line), _keywords(line, F.col("line_no")))]
-    ips = _matches("IP_ADDRESS", "medium", F.filter(F.regexp_extract_all(line, F.lit(IPV4), F.lit(0)), S.valid_ipv4))
+    hint = line.rlike(HINT) | (line.rlike(secret_hint) if secrets else F.lit(False))
+    numbered = lines(artifacts).withColumn("__hint", hint).filter(F.col("__hint") | line.rlike("[\\[\\]{}]"))
+    by_line = Window.partitionBy(*keys).orderBy("line_no")
+    kind = F.when(F.lag("line_no").over(by_line) == F.col("line_no") - 1, F.lag(key_kind(line)).over(by_line))
+    count = lambda chars: F.length(line) - F.length(F.regexp_replace(line, f"[{chars}]", ""))
+    blocks = clamped_depth(numbered.withColumn("__kind", kind), count("\\[{"), count("\\]}"), keys, ["line_no"])
+    hinted = blocks.filter("__hint")
+
+    @F.pandas_udf("struct<found:array<struct<label:string,value:string,confidence:string>>,masked:string>")
+    def organisations(s: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+        rows = [organisation_numbers(x, k) if x is not None else ([], None) for x, k in zip(s, kinds, strict=True)]
+        return pd.DataFrame({"found": [[dict(zip(("label", "value", "confidence"), f, strict=True)) for f in r[0]] for r in rows], "masked": [r[1] for r in rows]})
+
+    # Lines without the shape of an organisation number are null to Python.
+    shaped = line.rlike(_ORG_HINT)
+    both = hinted.withColumn("org", organisations(F.when(shaped, line), F.when(shaped, F.col("__kind"))))
+    # Claimed spans are no person, card or account numbers.
+    free = F.coalesce(F.col("org.masked"), line)
+    groups = [F.concat(*[_rule(r, line) for r in RULES[:10]]), F.concat(*[_rule(r, line) for r in RULES[10:]]), F.concat(_person_numbers(free), _cards(free), _banks(free), _keywords(line, F.col("line_no")))]
+    ips = _hinted(line, r"\p{Nd}\.\p{Nd}", _matches("IP_ADDRESS", "medium", F.filter(F.regexp_extract_all(line, F.lit(IPV4), F.lit(0)), S.valid_ipv4)))
     groups.append(F.concat(ips, *[_rule(r, line) for r in SECRETS]) if secrets else ips)
-
-    @F.pandas_udf("struct<found:array<struct<label:string,value:string,confidence:string>>,claimed:array<string>>")
-    def organisations(s: pd.Series) -> pd.DataFrame:
-        rows = [organisation_numbers(x) for x in s]
-        return pd.DataFrame({"found": [[dict(zip(("label", "value", "confidence"), f, strict=True)) for f in r[0]] for r in rows], "claimed": [r[1] for r in rows]})
-
-    with_org = hinted.filter(line.rlike(_ORG_HINT)).withColumn("org", organisations(line))
-    without = hinted.filter(~line.rlike(_ORG_HINT)).withColumn("org", F.struct(empty.alias("found"), F.array().cast("array<string>").alias("claimed")))
-    both = with_org.unionByName(without)
-    # Claimed spans are no person, card or account numbers; a value is claimed if it overlaps by its digits.
-    free = F.filter(F.concat(*groups), lambda e: ~(e["label"].isin("RRN", "RRN_VALID", "FRN", "FRN_VALID", "CREDIT_CARD", "BANK_ACCOUNT") & F.exists(F.col("org.claimed"), lambda c: F.contains(e["value"], c) | F.contains(c, e["value"]))))
-    entities = both.withColumn("e", F.concat(free, F.col("org.found"))).select(*keys, "line_no", "block", F.posexplode("e").alias("pos", "e"))
+    entities = both.withColumn("e", F.concat(*groups, F.coalesce("org.found", empty))).select(*keys, "line_no", "block", F.posexplode("e").alias("pos", "e"))
     context = F.when(F.col("block").isNotNull(), F.concat(F.lit("jsonish_block:"), F.col("block").cast("string"))).otherwise(F.lit("line"))
     out = entities.select(
         *keys, "line_no", F.col("e.label").alias("label"), F.col("e.value").alias("value"), F.col("e.confidence").alias("confidence"),

@@ -1,20 +1,29 @@
-"""Redaction egress and threat normalisation."""
+"""Redaction egress and threat normalisation.
+
+Texts that compatibility normalisation leaves alone are redacted by built-in functions; the rest goes
+to Python in Arrow batches. Both follow the same list of steps.
+"""
 
 from __future__ import annotations
 
 import base64
 import binascii
+import datetime
 import hashlib
 import html
 import re
 import unicodedata
+from functools import partial
 from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
+from pyspark.sql.window import Window
 
 from auditframe.functions import scalars as S
+from auditframe.functions.text import rolling_segments
 from auditframe.session import ship
 
 # Ordered redaction patterns. Order matters: person numbers before organisations' before cards.
@@ -25,6 +34,7 @@ PATTERNS = (
     ("AWS_ACCESS_KEY", r"\bAKIA[0-9A-Z]{16}\b"),
     ("JWT", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b"),
     ("API_KEY", r"\bsk-[A-Za-z0-9_-]{20,}\b"),
+    ("API_KEY_SPLIT", r"\bsk-[A-Za-z0-9_\-\s]{20,}\b"),
     ("RRN", r"\b\d{6}[- ]?[1-8]\d{6}\b"),
     ("CORPORATE_REGISTRATION", r"\b\d{6}[- ]?\d{7}\b"),
     ("BUSINESS_REGISTRATION", r"\b\d{3}[- ]\d{2}[- ]\d{5}\b"),
@@ -33,27 +43,114 @@ PATTERNS = (
     ("CREDIT_CARD", r"\b(?:\d[ -]?){13,19}\b"),
     ("PASSPORT", r"\b[MSROD][0-9]{8}\b"),
     ("CUSTOMS", r"\bP\d{12}\b"),
-)
-#: Patterns that only non-ASCII text or labels can meet; they follow the others.
-LABELLED = (
+    ("CI", r"(?i)(?:\bci\b|connecting[_ -]?info(?:rmation)?|연계정보)[\"'\s:=]+[\"']?[A-Za-z0-9+/=_-]{20,}"),
+    ("DI", r"(?i)(?:\bdi\b|duplication[_ -]?info(?:rmation)?|중복가입확인정보)[\"'\s:=]+[\"']?[A-Za-z0-9+/=_-]{20,}"),
+    ("HEALTH_INSURANCE_ID", r"(?i)(?:health[_ -]?insurance[_ -]?(?:id|no|number)|건강보험(?:증)?번호|보험증번호)[\"'\s:=#-]+[A-Za-z0-9_.-]{6,}"),
+    ("PATIENT_ID", r"(?i)(?:patient[_ -]?(?:id|no|number)|medical[_ -]?record[_ -]?(?:id|no|number)|환자번호|차트번호|진료번호|의무기록번호|병록번호)[\"'\s:=#-]+[A-Za-z0-9_.-]{4,}"),
+    ("ACCOUNT_ID", r"(?i)(?:student[_ -]?id|employee[_ -]?id|member[_ -]?(?:id|no|number)|customer[_ -]?(?:no|number)|학번|사번|회원번호|회원ID|고객번호|수험번호)[\"'\s:=#-]+[A-Za-z0-9_.-]{4,}"),
+    ("DEVICE_ID", r"(?i)(?:device[_ -]?id|deviceId|idfa|gaid|adid|advertising[_ -]?id|firebase[_ -]?installation[_ -]?id|installation[_ -]?id|기기ID|기기식별자)[\"'\s:=]+[A-Za-z0-9_.:-]{12,}"),
     ("PERSON", r"(?i)\b(?:name|user_name|customer_name|full_name|이름|성명|고객명|사용자명)[\"'\s:=]+[\"']?[가-힣]{2,4}"),
     ("ADDRESS", r"(?i)\b(?:address|addr|주소)[\"'\s:=]+[\"']?[가-힣A-Za-z0-9\s\-]+(?:시|도|구|군|동|로|길)[가-힣A-Za-z0-9\s\-]*"),
 )
-_COMPILED = [(label, re.compile(p)) for label, p in (*PATTERNS, *LABELLED)]
-_ZERO_WIDTH = re.compile("[​-‏⁠﻿­]")
-_ENCODED = re.compile(r"\b(?:[A-Za-z0-9+/]{16,}={0,2}|[0-9a-fA-F]{32,})")
+CORPORATE_LABEL = r"(?:법인[^\S\r\n]*등록[^\S\r\n]*번호|법인[^\S\r\n]*번호|법인번호|corporate(?:[_ -]?registration)?(?:[_ -]?(?:no|num(?:ber)?))?|corp[_ -]?(?:reg(?:istration)?|no|num(?:ber)?)|\bcrn\b)"
+BUSINESS_LABEL = r"(?:사업자[^\S\r\n]*등록[^\S\r\n]*번호|사업자[^\S\r\n]*번호|사업자번호|biz[_ -]?(?:reg(?:istration)?|no|number)|\bbrn\b|business[_ -]?registration(?:[_ -]?(?:no|num(?:ber)?))?)"
+CORPORATE_VALUE = r"(?<!\d)(?:\d{6}[- ]?\d{7}|\d{13})(?!\d)"
+BUSINESS_VALUE = r"(?<!\d)(?:\d{3}[- ]\d{2}[- ]\d{5}|\d{10})(?!\d)"
+CORPORATE_HEADERS = ("법인등록번호", "법인번호", "crn", "corp_reg", "corporate_registration", "corporate_registration_number", "corporate_registration_no")
+BUSINESS_HEADERS = ("사업자등록번호", "사업자번호", "biz_no", "biz_number", "brn", "business_registration", "business_registration_number", "business_registration_no")
+ZERO_WIDTH = "[\u200b-\u200f\u202a-\u202e\u2060\ufeff]"
+# End of the fixed values.
+
+_KEYS = {label: "(?:" + "|".join("[_-]*".join(re.split("[_-]", h)) for h in sorted(headers, key=len, reverse=True)) + ")" for label, headers in (("CORPORATE_REGISTRATION", CORPORATE_HEADERS), ("BUSINESS_REGISTRATION", BUSINESS_HEADERS))}
+_VALUES = {"CORPORATE_REGISTRATION": CORPORATE_VALUE, "BUSINESS_REGISTRATION": BUSINESS_VALUE}
+#: Steps whose pattern has one group, the value; the rest of the match stays.
+BOUND = (
+    ("PERSON", r"\|\s*([가-힣]{2,4})\s*\|"),
+    *[(label, rf"(?i){name}[^\S\r\n]*[\"'\t :=#-]*[\"']?({_VALUES[label]})") for label, name in (("CORPORATE_REGISTRATION", CORPORATE_LABEL), ("BUSINESS_REGISTRATION", BUSINESS_LABEL))],
+    # A line that is only a key, then the first value of the next line.
+    *[(label, rf"(?im)^\s*[\[{{,]?\s*[\"'](?:{_KEYS[label]})[\"']\s*:\s*[\"']?[ \t,]*\r?\n[^\r\n]*?({_VALUES[label]})") for label in _VALUES],
+)
+_ENCODED = r"\b(?:[A-Za-z0-9+/]{16,}={0,2}|[0-9a-fA-F]{32,})"
+_HEX = "^(?:[0-9a-fA-F]{2}){16,}$"
+#: Characters that compatibility normalisation leaves alone, wherever they stand.
+_STABLE = "[\\x00-\\x7F\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00b9\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010\u2012-\u2016\u2018-\u201e\u2020-\u2023\u20ac\u3001-\u3003\u4e00-\u9fff\uac00-\ud7a3]".replace("\u00b9", "")
+
+
+def _judge(label: str, raw: Column) -> Column:
+    """The token of a match, or the match itself where its check fails."""
+    digits = F.regexp_replace(raw, "[^0-9]", "")
+    person = F.coalesce(digits.rlike("^[0-9]{6}[1-8][0-9]{6}$") & S.plausible_birthdate(digits), F.lit(False))
+    if label == "RRN":
+        name = F.when(F.substring(digits, 7, 1).between("1", "4"), "RRN").otherwise("FRN")
+        return F.when(person, S.redaction_token(name, raw)).otherwise(raw)
+    if label == "CORPORATE_REGISTRATION":
+        return F.when(S.valid_crn(digits) & ~person, S.redaction_token(label, raw)).otherwise(raw)
+    if label == "BUSINESS_REGISTRATION":
+        return F.when(S.valid_brn(digits), S.redaction_token(label, raw)).otherwise(raw)
+    return S.redaction_token(label, raw)
+
+
+#: What must occur in a text before a pattern is tried; without these the text has no match.
+_DIGITS, _HANGUL, _LONG = "[0-9]{3}", "[가-힣]{2}", "[A-Za-z0-9+/=_-]{20}"
+HINTS = {
+    "PRIVATE_KEY": "-----BEGIN", "DB_URL": "://", "GITHUB_PAT": "gh[pousr]_", "AWS_ACCESS_KEY": "AKIA", "JWT": "eyJ", "API_KEY": "sk-", "API_KEY_SPLIT": "sk-",
+    "RRN": _DIGITS, "CORPORATE_REGISTRATION": _DIGITS, "BUSINESS_REGISTRATION": _DIGITS, "PHONE": _DIGITS, "EMAIL": "@", "CREDIT_CARD": "[0-9][ -]?[0-9]", "PASSPORT": "[0-9]{8}", "CUSTOMS": "[0-9]{12}",
+    "CI": _LONG, "DI": _LONG, "HEALTH_INSURANCE_ID": "(?i)insurance|보험", "PATIENT_ID": "(?i)patient|record|번호", "ACCOUNT_ID": "(?i)student|employee|member|customer|학번|사번|회원|고객|수험",
+    "DEVICE_ID": "(?i)device|idfa|gaid|adid|advertis|installation|기기", "PERSON": _HANGUL, "ADDRESS": "[시도구군동로길]", "ENCODED": "[A-Za-z0-9+/]{16}",
+}
+
+
+def _replaced(text: Column, pattern: str, hint: str, new) -> Column:
+    """``text`` with each match m as new(m)."""
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: new(m))
+    pairs = F.zip_with(F.split(text, pattern, -1), F.concat(matches, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(text.rlike(hint) & text.rlike(pattern), F.array_join(pairs, "")).otherwise(text)
+
+
+def _bound(label: str, pattern: str):
+    def new(m: Column) -> Column:
+        raw = F.regexp_extract(m, pattern, 1)
+        digits = F.regexp_replace(raw, "[^0-9]", "")
+        at = F.position(raw, m)
+        put = F.concat(F.substr(m, F.lit(1), at - 1), S.redaction_token(label, raw), F.substr(m, at + F.length(raw)))
+        if label == "CORPORATE_REGISTRATION":
+            return F.when(F.coalesce(digits.rlike("^[0-9]{6}[1-8][0-9]{6}$") & S.plausible_birthdate(digits), F.lit(False)), m).otherwise(put)
+        return put
+
+    return new
+
+
+def _encoded(m: Column) -> Column:
+    """A token for text in base64 or hex that holds anything a pattern finds."""
+    padded = F.concat(m, F.repeat(F.lit("="), F.pmod(-F.length(m), F.lit(4))))
+    raw = F.when(m.rlike(_HEX), F.try_to_binary(m, F.lit("hex"))).otherwise(F.try_to_binary(padded, F.lit("base64")))
+    plain = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
+    any_of = "|".join(f"(?iu:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for _, p in PATTERNS)
+    return F.when(F.coalesce(plain.rlike(f"(?U){any_of}"), F.lit(False)), S.redaction_token("ENCODED", m)).otherwise(m)
+
+
+def _java(pattern: str) -> str:
+    return f"(?U){pattern}" if not pattern.startswith("(?i") else f"(?Uu){pattern}"
+
+
+def _steps() -> list[tuple[str, str, object]]:
+    """(pattern, hint, new text of a match), in order."""
+    bound = [(_java(pattern), HINTS[label], _bound(label, _java(pattern))) for label, pattern in BOUND]
+    return [bound[0], (_java(_ENCODED), HINTS["ENCODED"], _encoded), *bound[1:], *[(_java(pattern), HINTS[label], partial(_judge, label)) for label, pattern in PATTERNS]]
 
 
-def redact_ascii(text: Column) -> Column:
-    """F-RED for ASCII text, in built-in functions: a fold of the ordered patterns, each match by the hash of itself."""
-    steps = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f"(?U){pattern}").alias("pattern")) for label, pattern in PATTERNS])
+def redact_native(rows: DataFrame, column: str) -> DataFrame:
+    """F-RED, F-ENC of text that needs no normalisation, in built-in functions: one projection after another."""
+    text = F.col(f"`{column}`")
+    rows = rows.withColumn(column, F.regexp_replace(text, ZERO_WIDTH, ""))
+    for pattern, hint, new in _steps():
+        rows = rows.withColumn(column, _replaced(text, pattern, hint, new))
+    return rows
 
-    def step(out: Column, p: Column) -> Column:
-        tokens = F.transform(F.regexp_extract_all(out, p["pattern"], F.lit(0)), lambda m: S.redaction_token(p["label"], m))
-        pairs = F.zip_with(F.split(out, p["pattern"], -1), F.concat(tokens, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-        return F.when(F.rlike(out, p["pattern"]), F.array_join(pairs, "")).otherwise(out)
 
-    return F.aggregate(steps, text, step)
+# --- the same in Python -------------------------------------------------------------------------------
+_COMPILED = [(label, re.compile(p)) for label, p in PATTERNS]
+_BOUND_COMPILED = [(label, re.compile(p)) for label, p in BOUND]
 
 
 def _token(label: str, value: str) -> str:
@@ -62,98 +159,199 @@ def _token(label: str, value: str) -> str:
 
 def _decoded(token: str) -> str | None:
     try:
-        raw = bytes.fromhex(token) if re.fullmatch("[0-9a-fA-F]{32,}", token) and len(token) % 2 == 0 else base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
+        raw = bytes.fromhex(token) if re.search(_HEX, token) else base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
         return raw.decode("utf-8")
     except (ValueError, binascii.Error):
         return None
 
 
+def _person_number(digits: str) -> bool:
+    if not re.fullmatch("[0-9]{6}[1-8][0-9]{6}", digits):
+        return False
+    try:
+        datetime.date((1900 if digits[6] in "1256" else 2000) + int(digits[:2]), int(digits[2:4]), int(digits[4:6]))
+    except ValueError:
+        return False
+    return True
+
+
+def _check(digits: str, weights: tuple[int, ...], extra: int = 0) -> bool:
+    return (10 - (sum(int(d) * w for d, w in zip(digits, weights, strict=False)) + extra) % 10) % 10 == int(digits[-1])
+
+
+def _one(label: str, raw: str) -> str:
+    digits = re.sub("[^0-9]", "", raw)
+    if label == "RRN":
+        return _token("RRN" if digits[6] in "1234" else "FRN", raw) if _person_number(digits) else raw
+    if label == "CORPORATE_REGISTRATION" and (len(digits) != 13 or _person_number(digits) or not _check(digits, (1, 2) * 6)):
+        return raw
+    if label == "BUSINESS_REGISTRATION" and (len(digits) != 10 or not _check(digits, (1, 3, 7, 1, 3, 7, 1, 3, 5), int(digits[8]) * 5 // 10)):
+        return raw
+    return _token(label, raw)
+
+
+def _header_bound(text: str) -> str:
+    """Values of organisation columns of a text that is a small CSV or TSV table with a header."""
+    first, _, rest = text.lstrip("\ufeff").partition("\n")
+    mark = "\t" if "\t" in first and "," not in first else ","
+    compact = lambda x: re.sub(r"[\s_-]+", "", x).strip("\"'").lower()
+    labels = {k: label for k, name in enumerate(first.split(mark)) for label in _VALUES if compact(name) in {compact(h) for h in (CORPORATE_HEADERS if label.startswith("C") else BUSINESS_HEADERS)}}
+    if not rest or not labels or mark not in first:
+        return text
+    rows = []
+    for line in rest.split("\n"):
+        cells = line.split(mark)
+        for k, label in labels.items():
+            if k < len(cells) and (m := re.search(_VALUES[label], cells[k])) and not (label.startswith("C") and _person_number(re.sub("[^0-9]", "", m[0]))):
+                cells[k] = cells[k][: m.start()] + _token(label, m[0]) + cells[k][m.end() :]
+        rows.append(mark.join(cells))
+    return "\n".join([first, *rows])
+
+
 def redact(text: str) -> str:
-    """F-RED, F-ENC: zero-width marks out, NFKC, encoded secrets, then the ordered patterns."""
-    text = unicodedata.normalize("NFKC", _ZERO_WIDTH.sub("", text))
+    """F-RED, F-ENC: zero-width and direction marks out, NFKC, table cells, encoded secrets, bound numbers, CSV columns, patterns."""
+    text = unicodedata.normalize("NFKC", re.sub(ZERO_WIDTH, "", text))
 
     def encoded(m: re.Match) -> str:
         plain = _decoded(m[0])
         return _token("ENCODED", m[0]) if plain and any(p.search(plain) for _, p in _COMPILED) else m[0]
 
-    text = _ENCODED.sub(encoded, text)
+    for k, (label, pattern) in enumerate(_BOUND_COMPILED):
+        keep = lambda raw, name=label: name == "CORPORATE_REGISTRATION" and _person_number(re.sub("[^0-9]", "", raw))
+        text = pattern.sub(lambda m, name=label, keep=keep: m[0] if keep(m[1]) else m[0].replace(m[1], _token(name, m[1]), 1), text)
+        if k == 0:
+            text = re.sub(_ENCODED, encoded, text)
+    text = _header_bound(text)
     for label, pattern in _COMPILED:
-        text = pattern.sub(lambda m, name=label: _token(name, m[0]), text)
+        text = pattern.sub(lambda m, name=label: _one(name, m[0]), text)
     return text
 
 
 def redact_column(rows: DataFrame, column: str) -> DataFrame:
-    """F-RED: plain ASCII rows stay in built-in functions; rows with other characters or encoded runs go to Python."""
+    """F-RED of a text column: built-in functions, and Python only for what NFKC may change and for tables with organisation columns."""
     ship(rows.sparkSession)
 
     @F.pandas_udf("string")
     def python(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else redact(x))
 
-    text = F.col(column)
-    special = text.rlike("[^\\x00-\\x7F]|[A-Za-z0-9+/]{16,}|[0-9a-fA-F]{32,}")
-    easy = rows.filter(~F.coalesce(special, F.lit(False))).withColumn(column, redact_ascii(text))
-    return easy.unionByName(rows.filter(special).withColumn(column, python(text)))
+    text = F.col(f"`{column}`")
+    marks = F.regexp_replace(text, ZERO_WIDTH, "")
+    header = "^[^\\n]*[,\\t][^\\n]*\\n"
+    named = "(?i)^[^\\n]*(?:" + "|".join(_KEYS.values()) + ")"
+    special = F.coalesce(~marks.rlike(f"^{_STABLE}*+$") | (text.rlike(header) & text.rlike(named)), F.lit(False))
+    # One read: each way sees null where the other one works.
+    split = rows.withColumn("__special", python(F.when(special, text))).withColumn(column, F.when(~special, text))
+    return redact_native(split, column).withColumn(column, F.coalesce(text, "__special")).drop("__special")
+
 
+#: Columns that hold digests by their name.
+DIGESTS = r"(sha256|hash|fingerprint)$"
+
+
+def sanitize(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """F-SAN, SNK7: every text of a row redacted, in nested columns too, but digests (``DIGESTS``) and columns in ``keep``."""
+    ship(df.sparkSession)
+
+    @F.pandas_udf("string")
+    def python(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else redact(x))
 
-def sanitize(df: DataFrame) -> DataFrame:
-    """F-SAN, SNK7: every text column redacted but digests (columns named *sha256, *hash, *fingerprint)."""
     out = df
-    for name, kind in df.dtypes:
-        if kind == "string" and not re.search(r"(sha256|hash|fingerprint|_id)$", name):
-            out = out.withColumn(name, redact_ascii(F.col(f"`{name}`")))
+    for field in df.schema.fields:
+        if field.name in keep or re.search(DIGESTS, field.name):
+            continue
+        if isinstance(field.dataType, StringType):
+            out = redact_column(out, field.name)
+        elif isinstance(field.dataType, (ArrayType, MapType, StructType)) and "string" in field.dataType.simpleString():
+            # Nested text: the value as JSON, redacted, and read back in its own type.
+            value = F.to_json(F.struct(F.col(f"`{field.name}`").alias("v")), {"ignoreNullFields": "false"})
+            out = out.withColumn(field.name, F.from_json(python(value), StructType().add("v", field.dataType))["v"])
     return out
 
 
 # --- threat normalisation ------------------------------------------------------------------------
-#: Look-alike letters (fixed values) to their Latin ones.
-CONFUSABLES = str.maketrans("аеорсухіѕјԁһӏαορν", "aeopcyxisjdhlaopv")
-LEET = str.maketrans("013457@$", "oleastas")
+# Look-alike letters to their Latin ones, digits and signs read as letters, and the rules.
+CONFUSABLES = str.maketrans(
+    "АВСЕНІЈКМОРЅТХаеіјорсѕхΑΒΕΙΚΜΝΟΡΤΧαεικοØøŁłĐđ",
+    "ABCEHIJKMOPSTXaeijopcsxABEIKMNOPTXaeikoOoLlDd",
+)
+LEET = str.maketrans("013457@$", "oieastas")
 THREATS = (
-    ("MCP_PROMPT_OVERRIDE", "critical", r"ignore (?:all |any )?(?:previous|prior|above) instructions|이전 지시.*무시"),
-    ("MCP_HIDDEN_PROMPT", "high", r"system prompt|developer message|숨겨진 지시"),
-    ("MCP_CONCEALMENT", "high", r"do not (?:tell|reveal|mention)"),
-    ("MCP_EXFILTRATION", "critical", r"(?:send|post|upload|exfiltrate)\b.{0,60}\b(?:token|secret|password|cookie|api key)"),
+    ("MCP_TOOL_POISONING", "critical", r"(description|tool|inputSchema|schema|prompt|resource).{0,120}(ignore (all )?(previous|prior) instructions|do not tell (the )?user|hidden instruction|system prompt|developer message|exfiltrat|이전 지시.*무시|사용자에게.*말하지|숨겨진 지시)"),
+    ("MCP_HIDDEN_INSTRUCTION", "critical", r"(ignore (all )?(previous|prior) instructions|do not tell (the )?user|hidden instruction|system prompt|developer message|silently|secretly|이전 지시.*무시|사용자에게.*말하지|숨겨진 지시|시스템 프롬프트)"),
+    ("MCP_EXFILTRATION_INTENT", "critical", r"(exfiltrat|send.*(secret|token|cookie|credential|env|\.ssh|개인정보|토큰)|\b(curl|wget|nc|netcat|scp|ftp|Invoke-WebRequest|iwr)\b.*(token|secret|env|cookie|\.ssh|http)|(fetch|axios|requests\.|httpx\.).*(process\.env|os\.environ|cookie|localStorage|sessionStorage)|forward[_ -]?(?:env|environment)?.{0,100}(?:full\s+output|environment\s+(?:data|variables?)|env\b))"),
+    ("MCP_DANGEROUS_COMMAND", "high", r"(powershell\s+.*-enc|bash\s+-c\s+.*(curl|wget|nc)|cmd\.exe\s+/c\s+.*(curl|powershell)|rm\s+-rf\s+[/~]|chmod\s+777|docker\s+run\s+.*--privileged)"),
+    ("MCP_OVERBROAD_FILE_ACCESS", "high", r"(--allow-all|--dangerously|/Users/|C:\\\\Users\\\\|~[/\\\\]|/home/|/var/run/docker\.sock|\.ssh[/\\\\]|\.aws[/\\\\]|\.config[/\\\\])"),
+    ("MCP_TOOL_SHADOWING_ADVISORY", "info", r"(official|trusted|safe|secure|verified|공식|신뢰|안전|검증).{0,80}(read_file|write_file|shell|browser|gmail|drive|slack|파일|쉘|브라우저|메일)"),
+    ("AGENT_SKILL_REMOTE_EXECUTION", "critical", r"(?:\b(?:curl|wget)\b[^\n\r|]{0,240}\|\s*(?:sudo\s+)?(?:bash|sh|zsh|pwsh|powershell)\b|\b(?:iwr|Invoke-WebRequest)\b[^\n\r|]{0,240}\|\s*(?:iex|Invoke-Expression)\b|\b(?:eval|exec|Invoke-Expression|iex)\s*\([^\n\r]{0,240}(?:curl|wget|requests\.|httpx\.|fetch\())"),
+    ("AGENT_SKILL_CREDENTIAL_ACCESS", "high", r"(?:read|copy|collect|upload|send|inspect|export|cat|type|Get-Content|읽|복사|수집|전송).{0,120}(?:\.ssh[/\\]|\.aws[/\\]|\.kube[/\\]|credentials(?:\.json)?|id_rsa|id_ed25519|browser\s+(?:cookies?|profiles?)|keychain|credential\s+manager|토큰|자격\s*증명)"),
 )
+ADJACENT_FILE = r"(mcp|claude|cursor|windsurf|gemini|cline|codex|grok|antigravity)"
+ADJACENT_NAMES = ("skill.md", "agents.md", "copilot-instructions.md")
+ADJACENT_DIRECTORIES = (".claude", ".cursor", ".gemini", ".codex", ".grok", ".agents", "antigravity")
+ADJACENT_PARENTS = (".mcp", ".claude", ".cursor", ".windsurf", ".gemini", ".cline", ".codex", ".grok", "antigravity", "tools", "prompts", "skills", "agents")
+ADJACENT_TEXT = r"(?:[\"']mcpServers[\"']\s*:|\[?\bmcp_servers(?:\.|\])|\bmodelcontextprotocol\b|\bFastMCP\s*\(|@mcp\.(?:tool|prompt|resource)\b|\b(?:registerTool|registerPrompt|registerResource)\s*\(|\b(?:tools|prompts|resources)/(?:list|get|call|read)\b|[\"']inputSchema[\"']\s*:|\bClientSession\s*\([^\n]{0,160}\b(?:stdio|sse|streamable)|\bStdioServerParameters\s*\()"
+# End of the fixed values.
+
+
+def threat_context(path: Column, text: Column) -> Column:
+    """D-THR3: is a file an agent's configuration or instruction, by its path or by what its text names?"""
+    parts = F.filter(F.split(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), "/"), lambda x: x != "")
+    low = F.transform(parts, F.lower)
+    name, folders = F.coalesce(F.get(low, F.size(low) - 1), F.lit("")), F.slice(low, F.lit(1), F.greatest(F.size(low) - 1, F.lit(0)))
+    parent = F.coalesce(F.get(low, F.size(low) - 2), F.lit(""))
+    by_path = name.rlike(f"(?i){ADJACENT_FILE}") | name.isin(*ADJACENT_NAMES) | F.arrays_overlap(folders, F.array(*map(F.lit, ADJACENT_DIRECTORIES))) | ((F.size(low) > 1) & parent.isin(*ADJACENT_PARENTS))
+    return by_path | F.coalesce(text.rlike(f"(?iu){ADJACENT_TEXT}"), F.lit(False))
 
 
 def normal_text(text: str) -> str:
     """F-NORM: NFKC, control and format marks out, separators to blanks, look-alikes to Latin."""
-    if text.isascii():
+    if text.isascii() and not re.search(r"[^\x09\x0A\x0D\x20-\x7E]", text):
         return text
     kept = []
     for ch in unicodedata.normalize("NFKC", text):
         kind = unicodedata.category(ch)
-        if kind in {"Cf", "Cs"} or kind == "Cc" and ch not in "\n\r\t":
+        if kind in {"Cf", "Cs"} or "\ufe00" <= ch <= "\ufe0f" or "\U000e0000" <= ch <= "\U000e007f" or kind == "Cc" and ch not in "\n\r\t":
             continue
         kept.append(" " if kind.startswith("Z") else ch)
     return "".join(kept).translate(CONFUSABLES)
 
 
+def _chunks(text: str, size: int = 32_768, overlap: int = 256) -> list[str]:
+    return [text[a : a + size] for a in range(0, max(len(text), 1), size - overlap)]
+
+
 def candidates(text: str) -> list[tuple[str, str]]:
-    """F-CAND: (mode, text): direct, unicode, escaped, collapsed, leet, and at most eight decoded tokens."""
-    out = [("direct", text)]
+    """F-CAND: (mode, text) of chunks of 32 KiB: direct, unicode, escaped, code fragments joined, leetspeak, and at most eight decoded tokens."""
+    out: list[tuple[str, str]] = []
 
     def add(mode: str, value: str) -> None:
         if value and all(value != v for _, v in out):
             out.append((mode, value))
 
-    plain = normal_text(text)
-    add("unicode", plain)
-    escaped = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), html.unescape(plain))
-    add("escaped", normal_text(unquote(unquote(escaped))))
-    add("collapsed", re.sub(r"(?<=\w)[\s.\-_*]{1,2}(?=\w(?:[\s.\-_*]|$))", "", plain))
-    add("leet", plain.lower().translate(LEET))
-    add("leet", plain.lower().replace("1", "i").translate(LEET))
-    for token in re.findall(r"[A-Za-z0-9+/]{16,}={0,2}", plain)[:8]:
-        value = _decoded(token)
-        if value:
-            add("base64", value)
+    for chunk in _chunks(text):
+        add("direct", chunk)
+        plain = normal_text(chunk)
+        add("unicode", plain)
+        escaped = html.unescape(re.sub(r"\\u([0-9a-fA-F]{4})|\\U([0-9a-fA-F]{8})", lambda m: chr(int(m[1] or m[2], 16)) if int(m[1] or m[2], 16) < 0x110000 else m[0], plain))
+        add("escaped", normal_text(unquote(unquote(escaped))))
+        joined = re.sub(r"/\*[^*]{0,256}(?:\*(?!/)[^*]{0,256})*\*/", "", re.sub(r"(['\"])\s*\+\s*\1", "", plain))
+        add("code_fragment", normal_text(joined))
+        add("leetspeak", plain.translate(LEET))
+        for m in list(re.finditer(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{24,8192}={0,2}(?![A-Za-z0-9_+/=-])", plain))[:8]:
+            value = _decoded(m[0].replace("-", "+").replace("_", "/"))
+            if value and 8 <= len(value) and sum(c.isprintable() or c in "\r\n\t" for c in value) >= 0.9 * len(value):
+                add("base64", normal_text(plain[: m.start()] + value + plain[m.end() :]))
     return out
 
 
-def threats(lines: DataFrame, line: str = "line") -> DataFrame:
-    """D-THR1: rules over the candidates of each line; one row for each (rule, line), the first mode that hits."""
+def threats(lines: DataFrame, line: str = "line", keys: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """D-THR1: rules over the candidates of each line; one row for each (rule, line), the first mode that hits.
+
+    With ``keys`` and ``order`` two or three lines joined are candidates too (W3); such a match counts only
+    where none of its lines matched the rule by itself (W4), and adds first and last line.
+    """
     ship(lines.sparkSession)
     compiled = [(rule, severity, re.compile(p, re.I)) for rule, severity, p in THREATS]
 
@@ -169,4 +367,20 @@ def threats(lines: DataFrame, line: str = "line") -> DataFrame:
 
         return s.map(one)
 
-    return lines.withColumn("t", F.explode(scan(F.col(line)))).select(*[c for c in lines.columns if c != line], "t.*")
+    hit = lambda rows, text: rows.withColumn("t", F.explode(scan(F.col(text))))
+    single = hit(lines, line).select(*[c for c in lines.columns if c != line], "t.*")
+    if not keys or not order:
+        return single
+    direct = single.select(*keys, F.col(order).alias("first_line"), F.col(order).alias("last_line"), "rule_id", "severity", "mode")
+    wide = hit(rolling_segments(lines, keys, order, line).withColumn("segment", F.replace("segment", F.lit("\n"), F.lit(" "))), "segment")
+    wide = wide.select(*keys, "first_line", "last_line", "width", "t.*")
+    # Lines are numbered within their keys, and a segment is spread over the numbers that it covers.
+    numbered = lines.select(*keys, F.col(order).alias("first_line"), F.row_number().over(Window.partitionBy(*keys).orderBy(order)).alias("n"))
+    hits = direct.join(numbered, [*keys, "first_line"]).select(*keys, "rule_id", "n").distinct()
+    spread = wide.join(numbered, [*keys, "first_line"]).withColumnRenamed("n", "start").withColumn("n", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("width") - 1)))
+    # Pairs come before triples, the first ones first: a line belongs to the first segment of the rule that covers it.
+    own = F.struct("width", "start")
+    owner = spread.groupBy(*keys, "rule_id", "n").agg(F.min(own).alias("owner"))
+    free = spread.join(hits, [*keys, "rule_id", "n"], "left_anti").join(owner, [*keys, "rule_id", "n"]).filter(F.col("owner") == own)
+    whole = free.groupBy(*keys, "first_line", "last_line", "rule_id", "severity", "mode", "width").agg(F.count("*").alias("lines")).filter("lines = width")
+    return direct.unionByName(whole.select(*keys, "first_line", "last_line", "rule_id", "severity", F.concat(F.lit("rolling_window+"), "mode").alias("mode")))

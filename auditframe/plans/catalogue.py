@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from auditframe.functions import scalars as S
 from auditframe.functions.text import ascii_folded, clamped_depth, lines, rolling_segments
 from auditframe.operators import access, evaluate, findings, pii, select
+from auditframe.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,8 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of texts, dealt over all cores."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return texts(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
 
 
 # --- shared SQL ------------------------------------------------------------------------------------
@@ -178,7 +184,7 @@ def rolling_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- correlation -------------------------------------------------------------------------------------
-PAIR_RULES = (("EMAIL+IP", ("EMAIL", "IP_ADDRESS"), "high", "high"), ("EMAIL+KEY", ("EMAIL", "API_KEY"), "critical", "high"), ("KEY", ("API_KEY",), "medium", "medium"))
+PAIR_RULES = (("KR_COMBO_EMAIL_IP", ("EMAIL", "IP_ADDRESS"), "high", "high"), ("KR_COMBO_EMAIL_KEY", ("EMAIL", "API_KEY"), "critical", "high"), ("KR_COMBO_KEY", ("API_KEY",), "medium", "medium"))
 
 
 @query(f"""WITH {FOUND},
@@ -540,13 +546,6 @@ def retention_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.marker_gaps(lines(documents(spark, sf_dir)), "source", "@", {"license": "License|license", "retention": "retention"})
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) > 5242880 THEN 'bounded_large' WHEN strlen(text) > 512 AND strlen(text) / (len(string_split(text, chr(10)))) > 4096 THEN 'path_secret_only' ELSE 'full' END AS tier FROM documents")
-def artifact_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC6: tier of each text by size and mean line length (the noise bound lowered to the size of these tables)."""
-    n = F.octet_length("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(n > 5 << 20, "bounded_large").when((n > 512) & (n / F.size(F.split("text", "\n", -1)) > 4096), "path_secret_only").otherwise("full").alias("tier"))
-
-
 @query("""WITH c AS (SELECT doc_id AS k, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents), p AS (SELECT k, b, count(*) AS c FROM c GROUP BY 1, 2), q AS (SELECT k, c, c / sum(c) OVER (PARTITION BY k) AS p FROM p)
 SELECT k AS doc_id, sum(c)::BIGINT AS n_bytes, round(sum(c) * sum(-p * log2(p)), 6) AS bits FROM q GROUP BY 1""")
 def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,14 +59,6 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.sha2("text", 256).alias("redacted_sha256"), F.regexp_count("text", F.lit("<redacted:[A-Z_]+:[0-9a-f]{12}>")).alias("tokens"))
 
 
-@query(f"WITH {FOUND} SELECT label, count(*) AS n, count(DISTINCT evidence) AS distinct_values FROM findings GROUP BY 1")
-def privacy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D-PII9: findings with their class of the taxonomy; labels outside it keep a row."""
-    classes = spark.createDataFrame(pii.TAXONOMY, "label string, privacy_class string, basis string")
-    found = document_findings(spark, sf_dir).join(classes, "label", "left")
-    return found.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("evidence").alias("distinct_values"))
-
-
 # --- runtime events -----------------------------------------------------------------------------------
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a session log: a signup brings sensitive data, a purchase or an error sends it on."""
@@ -144,17 +136,17 @@ CODE_FILES = (
 )
 
 
-@query("SELECT * FROM (VALUES ('src/a.py', 'WEB_UNTRUSTED_INPUT_TO_COMMAND', 5, 6), ('src/b.py', 'AST_TAINT_PII_TO_LOG', 4, 4), ('src/c.py', 'WEB_UNTRUSTED_INPUT_TO_SQL', 5, 6), ('src/d.js', 'WEB_UNTRUSTED_INPUT_TO_SQL', 1, 2), ('src/e.go', 'WEB_UNTRUSTED_INPUT_TO_PATH', 1, 2), ('src/f.php', 'WEB_UNTRUSTED_INPUT_TO_COMMAND', 2, 3)) t(path, rule_id, source_line, sink_line)")
+@query("SELECT * FROM (VALUES ('src/a.py', 'WEB_UNTRUSTED_INPUT_TO_COMMAND', 5, 6), ('src/b.py', 'AST_TAINT_PII_TO_LOG', 4, 4), ('src/c.py', 'WEB_UNTRUSTED_INPUT_TO_SQL', 5, 6), ('src/d.js', 'WEB_UNTRUSTED_INPUT_TO_SQL', 1, 2), ('src/e.go', 'WEB_UNTRUSTED_INPUT_TO_FILE_PATH', 1, 2), ('src/f.php', 'WEB_UNTRUSTED_INPUT_TO_COMMAND', 2, 3)) t(path, rule_id, source_line, sink_line)")
 def code_flow_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-TAINT1 to D-TAINT3, D-POLY: flows of inline files."""
     return code.code_flows(spark.createDataFrame(CODE_FILES, "path string, text string")).select("path", "rule_id", "source_line", "sink_line")
 
 
-@query("SELECT * FROM (VALUES ('m1.sql', 'b', 'DB_RLS_MISSING', 'high'), ('m1.sql', 'c', 'DB_RLS_DISABLED', 'critical')) t(artifact, \"table\", rule_id, severity)")
+@query("SELECT * FROM (VALUES ('m1.sql', 'b', 'DB_POLICY_RLS_MISSING', 'high'), ('m1.sql', 'c', 'DB_POLICY_RLS_DISABLED', 'critical')) t(artifact, object, rule_id, severity)")
 def row_security_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-DBP, O7: tables without row-level security."""
     statements = ["CREATE TABLE a (id int)", "CREATE TABLE b (id int)", "create table if not exists public.c (id int)", "ALTER TABLE a ENABLE ROW LEVEL SECURITY", "ALTER TABLE c DISABLE ROW LEVEL SECURITY"]
-    return rulepack.row_level_security_gaps(spark.createDataFrame([("m1.sql", s) for s in statements], "artifact string, statement string"))
+    return rulepack.database_policies(spark.createDataFrame([("m1.sql", s) for s in statements], "artifact string, statement string"))
 
 
 @query("SELECT * FROM (VALUES ('https://a.kr/', 'DYN_COOKIE_NO_HTTPONLY', 'medium'), ('https://a.kr/', 'DYN_COOKIE_NO_SAMESITE', 'low'), ('https://a.kr/', 'DYN_CORS_WILDCARD_CREDENTIALS', 'high'), ('https://a.kr/', 'DYN_NO_CSP', 'low'), ('https://a.kr/', 'DYN_NO_HSTS', 'low'), ('https://a.kr/', 'DYN_NO_NOSNIFF', 'low'), ('https://a.kr/.env', 'DYN_EXPOSED_ENV_FILE', 'critical')) t(url, rule_id, severity)")
@@ -222,19 +214,3 @@ def ranked_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC17: a ranked list to targets."""
     raw = spark.createDataFrame([("1", "first.kr"), ("2", "www.B.kr"), ("3", "https://a.kr/x"), ("4", "b.kr"), ("5", "c.kr"), ("x", "d.kr")], "rank string, domain string").withColumn("rank", F.col("rank").try_cast("int"))
     return readers.ranked_domains(raw, 2, 2).select("target_id", "domain", "rank")
-
-
-@query("SELECT url, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, CASE WHEN url LIKE 'https://%' THEN 'secure' ELSE 'plain' END AS scheme_class FROM pages")
-def page_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The targets that pages came from."""
-    return table(spark, sf_dir, "pages").select("url", F.lower(F.regexp_extract("url", "^https?://([^/:?#]+)", 1)).alias("host"), F.when(F.col("url").startswith("https://"), "secure").otherwise("plain").alias("scheme_class"))
-
-
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE false")
-def denied_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query without a grant returns no row."""
-    asked = spark.createDataFrame([(1, ["guest"], "db", "s", "orders", ["o_orderkey"], 10)], "query_id int, roles array<string>, db string, schema string, table string, columns array<string>, row_limit int")
-    grants = spark.createDataFrame([("analyst", "db", "s", "orders", ["o_orderkey"], 50)], "role string, db string, schema string, table string, columns array<string>, max_rows int")
-    allowed = access.rbac(asked, grants).filter("decision = 'allow'").select(F.lit(True).alias("ok"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return orders.withColumn("ok", F.lit(True)).join(allowed, "ok", "left_semi").drop("ok")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditframe.plans import catalogue, more  # noqa: F401  (registers its queries)
+from auditframe.plans import catalogue, more, packs  # noqa: F401  (register their queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditframe.operators.redact import redact_column
+
 MAX_DISTANCE = 4
 MAX_AGE_S = 30
 BUFFER = 8
@@ -128,8 +130,7 @@ def correlate_stream(events: DataFrame) -> DataFrame:
 
 def enforce(events: DataFrame, decision: str = "decision", text: str = "content") -> DataFrame:
     """ST4: what is forwarded: a stub for blocked events, tokens for personal data, or the text itself."""
-    from auditframe.operators.redact import redact_ascii
-
+    action = F.col(f"{decision}.action")
     stub = F.to_json(F.struct(F.lit(True).alias("blocked"), F.col(f"{decision}.rule_id").alias("rule_id")))
-    out = F.when(F.col(f"{decision}.action") == "block", stub).when(F.col(f"{decision}.action") == "redact", redact_ascii(F.col(text))).otherwise(F.col(text))
-    return events.withColumn("forwarded", out)
+    clean = redact_column(events.withColumn("__clean", F.when(action == "redact", F.col(text))), "__clean")
+    return clean.withColumn("forwarded", F.when(action == "block", stub).when(action == "redact", F.col("__clean")).otherwise(F.col(text))).drop("__clean")

@@ -79,3 +79,19 @@ def test_wilson(spark, k, n, want):
 def test_unknown_severity_raises(spark):
     with pytest.raises(Exception, match="unknown value"):
         spark.range(1).select(S.rank(F.lit("severe"))).collect()
+
+
+def test_claims_are_spans(spark):
+    rows = [(1, "사업자등록번호: 123-45-67891 계좌 123-45-67891"), (2, "계좌 123-45-67892"), (3, '"corp_reg":\n"110199-1234567"'), (4, '"corp_reg": 1\n"110199-1234567"'), (5, "법인번호 110111-1234567"), (6, "110199-1234567")]
+    got = {}
+    for r in pii.detect_entities(spark.createDataFrame(rows, "doc_id int, text string")).collect():
+        got.setdefault(r.doc_id, set()).add((r.label, r.line_no, r.confidence))
+    assert got[1] == {("BUSINESS_REGISTRATION", 1, "high")} and got[2] == {("BANK_ACCOUNT", 1, "low")}
+    assert got[3] == {("CORPORATE_REGISTRATION", 2, "medium")} and 4 not in got and got[5] == {("RRN", 1, "low")} and 6 not in got
+
+
+def test_privacy_classes(spark):
+    cls, axes = pii.privacy_class(F.col("label"))
+    rows = spark.createDataFrame([(x,) for x in ("EMAIL", "CREDIT_CARD", "API_KEY")], "label string").select("label", cls.alias("c"), axes.alias("a")).collect()
+    assert [(r.label, r.c is None, list(r.a)) for r in rows] == [("EMAIL", False, ["contact", "linkable_identifier"]), ("CREDIT_CARD", False, ["financial_identifier", "high_impact"]), ("API_KEY", True, [])]
+    assert spark.range(1).select(pii.combined_class(F.array(*map(F.lit, ("EMAIL", "EMAIL", "X", "PERSON")))).alias("v")).first().v.count(" + ") == 1
