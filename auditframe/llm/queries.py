@@ -8,20 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditframe.llm import bpe, dart, forest, html, importance, lines, mixing, planes, rules, toxicity
+from auditframe.session import spread
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table; with columns, those of a table of texts, dealt over all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows.select(*columns)) if columns else rows
 
 
 def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class of near duplicates)."""
-    return dart.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+    return dart.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id")
 
 
 def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, log_weight, perturbed, kept."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     model = importance.fit(docs, _table(spark, sf_dir, "labels"))
     return importance.importance_sample(docs, model, keep_all=True, columns=["doc_id"])
 
@@ -30,14 +33,14 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     both = bpe.bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded")
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, rest."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "rest")
 
 
@@ -48,12 +51,12 @@ def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the counts, base_failed, kept, n_lines_removed, lost_share."""
-    return rules.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text")
+    return rules.quality_rules(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("text", "clean_text")
 
 
 def op7_text_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return toxicity.toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
@@ -61,21 +64,21 @@ def op7_text_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars."""
-    return html.extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+    return html.extract_main_text(_table(spark, sf_dir, "pages", "page_id", "url", "html")).drop("html")
 
 
 def op9_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, from the files read back."""
     import public_tokenizers
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     files, folder = planes.encode_to_planes(docs, public_tokenizers.path("word_bpe_49k.json"))
     return planes.read_planes(spark, files, folder)
 
 
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed, n_removed_short, removed_short."""
-    return lines.line_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.line_report(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
