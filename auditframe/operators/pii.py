@@ -293,14 +293,14 @@ def detect_entities(artifacts: DataFrame, secrets: bool = True) -> DataFrame:
     Adds line_no, label, value, confidence, evidence, context, scope, seq. Lines without a hint are
     dropped before any rule runs (secrets have a hint of their own). ``context`` names the
     bracketed block that a line stands in, if any; equal entities of a line are kept once. Depth
-    changes only where a bracket stands, so its windows see hinted lines and lines with brackets alone.
+    changes only where a bracket stands, so its windows see hinted lines, lines with brackets and lone keys.
     """
     ship(artifacts.sparkSession)
     keys = [c for c in artifacts.columns if c != "text"]
     secret_hint = "(?i)-----BEGIN|://|gh[pousr]_|AKIA|eyJ|sk-|api[_-]?key|secret|token|password"
     line, empty = F.col("line"), F.array().cast("array<struct<label:string,value:string,confidence:string>>")
     hint = line.rlike(HINT) | (line.rlike(secret_hint) if secrets else F.lit(False))
-    numbered = lines(artifacts).withColumn("__hint", hint).filter(F.col("__hint") | line.rlike("[\\[\\]{}]"))
+    numbered = lines(artifacts).withColumn("__hint", hint).filter(F.col("__hint") | line.rlike("[\\[\\]{}]|[\"']\\s*:\\s*[\"']?[\\s,]*$"))
     by_line = Window.partitionBy(*keys).orderBy("line_no")
     kind = F.when(F.lag("line_no").over(by_line) == F.col("line_no") - 1, F.lag(key_kind(line)).over(by_line))
     count = lambda chars: F.length(line) - F.length(F.regexp_replace(line, f"[{chars}]", ""))
