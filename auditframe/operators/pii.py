@@ -70,13 +70,23 @@ BANK_FIELD = _UI + r"(?:bank[_ -]?account(?:[_ -]?(?:number|no))?|account[_ -]?(
 IPV4 = _U + r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 MEDICAL = _UI + r"(진료|처방|병력|진단명|질병|검사결과|혈압|당뇨|암(?!호)|수술|투약|medical[_ -]?(?:record|info)|diagnosis|prescription)"
 SENSITIVE = _UI + r"(정당\s*(?:가입|명|원)|전과|수형|정신질환|genetic[_ -]?data|criminal[_ -]?record|religion|political[_ -]?opinion|union[_ -]?membership|labor\s+union|trade\s+union|health[_ -]?condition|biometric[_ -]?data)"
-#: Concepts with homonyms: the word counts unless it stands in the harmless phrase after the bar.
+# Concepts with homonyms: the first pattern counts where it does not lie in a harmless phrase, the second.
 CONCEPTS = (
-    (_UI + "장애\\s*(?:등급|유형|정도|인)", _UI + "(?:서버|시스템|네트워크|서비스|통신)\\s*장애"),
-    (_UI + "지문\\s*(?:정보|인식|데이터|등록)", _UI + "(?:시험|문제|독해)\\s*지문"),
-    (_UI + "홍채\\s*(?:정보|인식|데이터)", None),
-    (_UI + "disability(?:_type|_status|_grade|_code)", None),
-    (_UI + "sexual[_ -]?(?:orientation|life)", None),
+    (
+        _UI + "장애\\s*(?:유형|종류|등급|여부|유무|구분|등록|복지|인|정도)|장애(?:정보)?\\s*[:=]|</?장애\\s*>|\\|\\s*장애\\s*\\||(?:청각|지체|시각|발달|정신)장애",
+        _UI + "(?:네트워크|서버|시스템|서비스|장비|회선|트래픽|프로세스|인스턴스|클러스터|노드|애플리케이션|앱|인프라|데이터베이스|통신)\\s*장애(?:\\s*(?:유형|종류|등급|여부|유무|정보))?|장애\\s*[:=]?\\s*(?:발생|조치|대응|복구|처리|현황|원인|구간|시간|알람|알림|로그|모니터링|전파|공지|티켓|코드|신고|접수|이력)|장애정보\\s*[:=]?\\s*(?:대시보드|알림|채널|모니터링|로그|현황|복구)|장애인\\s*접근성|접근성\\s*가이드|장애물",
+    ),
+    (
+        _UI + "지문(?:정보|데이터|패턴|인식|인증|등록|스캔|수집|생체|코드|값|템플릿)|지문\\s*(?:등록|인증|인식|수집|스캔|검증|채취|대조|저장|입력)|지문(?:정보)?\\s*[\"'`]?\\s*[:=]",
+        _UI + "(?:디지털|파일|코드|해시|인증서|브라우저|콘텐츠|문서|커밋|git|tls|ja3|sha-?1|sha-?256|md5|checksum|빌드|바이너리)\\s*지문(?:\\s*\\S+)?|지문\\s*(?:해시|알고리즘|비교|분석)|(?:수능|국어|독해|시험|문제|영어|논술|교과서).{0,12}지문|(?:다음|제시된|해당|아래)\\s*지문|(?:면접|대본|연극|스크립트)\\s*지문|지문을\\s*읽고",
+    ),
+    (_UI + "홍채\\s*(?:정보|데이터|패턴|인식|인증|등록|스캔|수집|생체|코드|값|검증|채취|대조)|홍채\\s*[\"'`]?\\s*[:=]", None),
+    (
+        _UI + "(?:종교|인종|민족|사상|신념|정치적\\s*견해|유전정보|범죄경력|성생활|성적\\s*지향|건강상태|진료정보|병력|진단명|처방정보|노동조합(?:\\s*가입(?:여부)?)?|생체정보(?:\\s*수집(?:여부)?)?)[\"'`]?\\s*[:=]",
+        _UI + "(?:시스템|서버|클러스터|서비스|인스턴스|노드|애플리케이션|앱)\\s*건강상태|사상자|사상\\s*(?:최대|최다|최고|최초|유례|최저|최악)",
+    ),
+    (_UI + "[\"'`]?\\bdisability(?:_type|_status|_grade|_code)?[\"'`]?\\s*[:=]|disability(?:_type|_status|_grade|_code)", None),
+    (_UI + "[\"'`]?\\bsexual[_ -]?(?:orientation|life)", None),
 )
 HINT = r"(?i)[@\p{Nd}가-힣]|\b(?:ci|di|connecting|duplication|health|insurance|patient|medical|record|student|employee|member|customer|device|idfa|gaid|adid|firebase|installation|driver|license|name|full_name|user_name|address|addr|location|loc|place|order|reservation|tracking|account|user_id|customer_id|diagnosis|prescription|genetic[_ -]?data|criminal[_ -]?record|disability(?:_type|_status|_grade|_code)?|religion|political[_ -]?opinion|union[_ -]?membership|labor\s+union|trade\s+union|sexual[_ -]?(?:orientation|life)|corporate(?:_?registration)?|medical[_ -]?(?:record|info)|biometric(?:_data)?|health_condition|biz|brn|crn)\b"
 #: Secrets, reconstructed from the public shapes of the credentials.

@@ -95,3 +95,9 @@ def test_privacy_classes(spark):
     rows = spark.createDataFrame([(x,) for x in ("EMAIL", "CREDIT_CARD", "API_KEY")], "label string").select("label", cls.alias("c"), axes.alias("a")).collect()
     assert [(r.label, r.c is None, list(r.a)) for r in rows] == [("EMAIL", False, ["contact", "linkable_identifier"]), ("CREDIT_CARD", False, ["financial_identifier", "high_impact"]), ("API_KEY", True, [])]
     assert spark.range(1).select(pii.combined_class(F.array(*map(F.lit, ("EMAIL", "EMAIL", "X", "PERSON")))).alias("v")).first().v.count(" + ") == 1
+
+
+@pytest.mark.parametrize(("line", "sensitive"), [("장애등급: 3급", True), ("서버 장애 발생 12:00", False), ("네트워크 장애 유형", False), ("지문 등록 완료", True), ("브라우저 지문 수집", False), ("다음 지문을 읽고 답하라", False), ("홍채 인식", True), ("종교: 없음", True), ("사상자 3명", False), ("서버 건강상태: 정상", False), ("disability_type: 2", True), ("장애물 회피", False)])
+def test_concepts_with_homonyms(spark, line, sensitive):
+    labels = {r.label for r in pii.detect_entities(spark.createDataFrame([(1, line)], "doc_id int, text string")).collect()}
+    assert ("SENSITIVE_INFO" in labels) == sensitive
