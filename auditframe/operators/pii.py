@@ -32,6 +32,7 @@ class EntityRule:
     confidence: str = "medium"
     context: str | None = None
     hint: str | None = None  # a cheap pattern that every match holds
+    unless: str | None = None  # a value that is none
 
 
 # Patterns of entity labels, in Java syntax with Unicode classes.
@@ -98,7 +99,7 @@ SECRETS = (
     EntityRule("JWT", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", 0, "high", hint="eyJ"),
     EntityRule("OPENAI_STYLE_KEY", r"\bsk-[A-Za-z0-9_-]{20,}\b", 0, "high", hint="sk-"),
     EntityRule("WEBHOOK_URL", r"https://hooks\.[A-Za-z0-9.-]+/[A-Za-z0-9/_-]{16,}", 0, "high", hint="https://hooks"),
-    EntityRule("API_KEY", "(?i)\\b(?:api[_-]?key|secret|token|password)\\b[\"']?\\s*[:=]\\s*[\"']?([A-Za-z0-9_\\-]{8,})", 1, "medium", hint="(?i)key|secret|token|password"),
+    EntityRule("API_KEY", "(?i)\\b(?:api[_-]?key|secret|token|password)\\b[\"']?\\s*[:=]\\s*[\"']?([A-Za-z0-9_\\-]{8,})", 1, "medium", hint="(?i)key|secret|token|password", unless="(?i)^your[_-]"),
 )
 
 #: Severity of a lone entity by label; RRN and FRN also depend on confidence.
@@ -166,6 +167,8 @@ def _matches(label: str, confidence: str, values: Column) -> Column:
 
 def _rule(rule: EntityRule, line: Column) -> Column:
     found = F.regexp_extract_all(line, F.lit(rule.pattern), F.lit(rule.group))
+    if rule.unless:
+        found = F.filter(found, lambda v: ~v.rlike(rule.unless))
     tests = [line.rlike(p) for p in (rule.hint, rule.context) if p]
     if tests:
         found = F.when(reduce(and_, tests), found).otherwise(F.array().cast("array<string>"))
@@ -341,6 +344,52 @@ def detect_entities(artifacts: DataFrame, secrets: bool = True) -> DataFrame:
     return out.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
 
 
+# Fixed values, D-PII6: label, confidence, headers (null: any), whole-value pattern.
+_TOKEN = r"^[A-Za-z0-9+/=_-]{20,}$"
+CELL_RULES = (
+    ("EMAIL", "high", None, "^(?:" + RULES[0].pattern + ")$"),
+    ("PHONE", "high", None, "^(?:" + RULES[1].pattern + ")$"),
+    ("BIRTHDATE", "medium", ("birth", "birthdate", "birthday", "date_of_birth", "dob", "생년월일", "생일"), r"^(?:19|20)\d{2}[-./]?(?:0[1-9]|1[0-2])[-./]?(?:0[1-9]|[12]\d|3[01])$"),
+    ("VEHICLE_NUMBER", "medium", None, r"^\d{2,3}[가-힣]\s?\d{4}$"),
+    ("TIMESTAMP", "medium", None, r"^(?:19|20)\d{2}[-./]\d{2}[-./]\d{2}[ T]\d{2}:\d{2}(?::\d{2})?$"),
+    ("PERSON", "high", ("name", "user_name", "customer_name", "full_name", "이름", "성명", "고객명", "사용자명"), "^[가-힣]{2,4}$"),
+    ("ADDRESS", "medium", ("address", "addr", "주소"), "."),
+    ("LOCATION", "medium", ("location", "loc", "place", "위치", "장소"), "."),
+    ("ACCOUNT_ID", "medium", ("account_id", "user_id", "customer_id", "userid", "customerid"), "."),
+    ("CI", "medium", ("ci", "connecting_info", "connecting_information", "연계정보"), _TOKEN),
+    ("DI", "medium", ("di", "duplication_info", "duplication_information", "중복가입확인정보"), _TOKEN),
+    ("ACCOUNT_ID", "medium", ("student_id", "employee_id", "member_id", "member_no", "customer_no", "학번", "사번", "회원번호", "고객번호", "수험번호"), "^.{4,}$"),
+    ("PATIENT_ID", "medium", ("patient_id", "patient_no", "medical_record_no", "환자번호", "차트번호", "진료번호", "의무기록번호", "병록번호"), "^.{4,}$"),
+    ("HEALTH_INSURANCE_ID", "medium", ("health_insurance_id", "health_insurance_no", "건강보험번호", "건강보험증번호", "보험증번호"), "^.{6,}$"),
+    ("DEVICE_ID", "low", ("device_id", "deviceid", "idfa", "gaid", "adid", "advertising_id", "firebase_installation_id", "installation_id", "기기id", "기기식별자"), "^.{12,}$"),
+    ("DRIVER_LICENSE", "medium", ("driver_license", "driver_license_no", "driver_license_number", "운전면허", "운전면허번호", "면허번호"), r"^\d{2}[- ]?\d{2}[- ]?\d{6}[- ]?\d{2}$"),
+    ("BANK_ACCOUNT", "medium", ("bank_account", "bank_account_no", "bank_account_number", "account_no", "account_number", "deposit_account", "계좌번호", "은행계좌", "은행계좌번호", "입금계좌", "입금계좌번호"), r"^\d[\d -]{7,22}\d$"),
+)
+# End of the fixed values.
+
+
+def cell_entities(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """D-PII6: cells (keys, row, header, value) of tables in texts as entities; the row is the context.
+
+    A cell may have several labels. Organisation columns are told as keys of split values are: a business
+    number needs a right check digit, a corporate one its shape alone, and no plausible person number.
+    """
+    value, header = F.trim("value"), F.col("header")
+    compact = F.regexp_replace(header, "[\\s_-]+", "")
+    digits = _digits(value)
+    kind = key_kind(F.concat(F.lit('"'), compact, F.lit('":')))
+    person = F.coalesce(digits.rlike("^[0-9]{6}[1-8][0-9]{6}$") & S.plausible_birthdate(digits), F.lit(False))
+    row = lambda label, confidence: F.struct(F.lit(label).alias("label"), (F.lit(confidence) if isinstance(confidence, str) else confidence).alias("confidence"))
+    found = [F.when((header.isin(*names) if names else F.lit(True)) & value.rlike(pattern), row(label, confidence)) for label, confidence, names, pattern in CELL_RULES]
+    found.append(F.when((kind == "BUSINESS_REGISTRATION") & S.valid_brn(digits), row("BUSINESS_REGISTRATION", "high")))
+    found.append(F.when((kind == "CORPORATE_REGISTRATION") & digits.rlike("^[0-9]{13}$") & ~person, row("CORPORATE_REGISTRATION", F.when(S.valid_crn(digits), "high").otherwise("medium"))))
+    rows = cells.filter(value != "").select(*keys, "row", value.alias("value"), F.posexplode(F.array_compact(F.array(*found))).alias("pos", "e"))
+    return rows.select(
+        *keys, F.col("row").alias("line_no"), F.col("e.label").alias("label"), "value", F.col("e.confidence").alias("confidence"), S.mask_value(F.col("e.label"), F.col("value")).alias("evidence"),
+        F.concat(F.lit("csv_row:"), F.col("row").cast("string")).alias("context"), (F.col("row").cast("long") * 10_000 + F.col("pos")).alias("seq"),
+    ).distinct()
+
+
 def csv_entities(table: DataFrame, headers: dict[str, str], keys: list[str]) -> DataFrame:
     """D-PII6: cells of named columns as entities, ``context`` one row each. ``headers``: normal header to label."""
     columns = {c: headers[h] for c in table.columns if (h := "".join(c.lower().split())) in headers}

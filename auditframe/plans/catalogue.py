@@ -71,6 +71,7 @@ gated AS (
     WHEN 'IP_ADDRESS' THEN list_bool_and(list_transform(string_split(value, '.'), lambda x: x::INT <= 255))
     WHEN 'CREDIT_CARD' THEN substr(value, 1, 1) BETWEEN '2' AND '6' AND {luhn_sql("regexp_replace(value, '[^0-9]', '', 'g')")}
       AND (regexp_matches(trim(value), '[ -]') OR regexp_matches(f, '{CARD_CONTEXT_RE}'))
+    WHEN 'API_KEY' THEN NOT regexp_matches(value, '(?i)^your[_-]')
     ELSE true END),
 findings AS (
   SELECT doc_id, lang, source AS cohort, line_no AS line_start, label, value, confidence,

@@ -500,3 +500,20 @@ def customer_event_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = made_lines(spark, sf_dir, "customer", "c_custkey", [t for t, _ in EVENTS]).withColumnRenamed("line", "value")
     decided = session.parse_events(raw).withColumn("decision", session.event_decision())
     return session.enforce(decided).select("id", "decision.action", "decision.rule_id", "forwarded")
+
+
+TABLES: list[tuple[str, tuple[tuple[str, str], ...]]] = [
+    ("name,phone\n홍길동,010-1234-5678\n", (("KR_COMBO_PERSON_PHONE", "high"),)),
+    ("name,email,n\n홍길동,a{}@example.com,1\n", (("KR_COMBO_PERSON_EMAIL", "high"),)),
+    ("car,location,time\n12가3456,서울역,2026-07-06 12:34:56\n", (("KR_COMBO_VEHICLE_LOCATION_TIME", "medium"),)),
+    ("name\taddress\n홍길동\t서울특별시 강남구\n", (("KR_COMBO_PERSON_ADDRESS", "high"),)),
+    ("name,patient_id\n홍길동,A{}-1234\n", (("KR_COMBO_PERSON_PATIENT_ID", "high"),)),
+    ("city,n\nSeoul,{}\n", ()),
+]
+
+
+@query(expected("customer", "c_custkey", [(k, r) for k, (_, w) in enumerate(TABLES) for r in w], "rule_id, confidence", len(TABLES)))
+def table_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC7, D-PII6, J1: a small table in text for each customer, its cells as entities, and labels that meet in a row."""
+    made = made_lines(spark, sf_dir, "customer", "c_custkey", [t for t, _ in TABLES]).withColumnRenamed("line", "text")
+    return findings.composites(pii.cell_entities(readers.embedded_csv(made, "id"), ["id"]), ["id"]).select("id", "rule_id", "confidence")
