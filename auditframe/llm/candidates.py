@@ -37,9 +37,8 @@ OUTSIDER_BYTES = 1 << 19
 #: Members that stream past them in one task.
 STREAM_ROWS = 1_024
 STREAM_BYTES = 1 << 26
-#: Members that meet the outsiders at a time: number, bytes and common elements.
+#: Members that meet the outsiders at a time, and common elements.
 MEMBERS = 256
-MEMBER_BYTES = 1 << 16
 MATCHES = 1 << 20
 #: One text in so many tells which keys are hot: those found ``HOT_SAMPLED`` times, ``HOT_KEYS`` at most.
 SAMPLE = 64
@@ -177,11 +176,12 @@ def classes(bands: DataFrame, texts: DataFrame, sets: Sets, similarity: float, h
     if twin_of is not None:
         links = links.unionByName(needed.select(F.col("id").alias("u"), twin_of.alias("v")).filter("v is not null"))
     known = components(links)
-    # Outsiders of runs, by (key, member).
-    marked = members.join(of(known, "a", "ca"), "a", "left").join(of(known, "b", "cb"), "b", "left")
-    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    # Outsiders of runs, by (key, member). Pairs repeat over bands, so classes are looked up once for each.
+    paired = members.select("a", "b").distinct().join(of(known, "a", "ca"), "a", "left").join(of(known, "b", "cb"), "b", "left")
+    apart = materialize(paired.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "apart")
+    marked = members.join(apart, ["a", "b"])
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")  # a pair is settled by itself
-    outside = materialize(marked.filter(apart).select("key", F.col("b").alias("id")).join(sizes, "key"), "outsiders")
+    outside = materialize(marked.select("key", F.col("b").alias("id")).join(sizes, "key"), "outsiders")
     if outside.isEmpty():
         return known
     later = found.filter("b is null").select("key", F.col("a").alias("other"))
@@ -311,29 +311,36 @@ def _past_outsiders(sets: Sets, similarity: float):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, cls, texts, index = None, [], [], [], None
-        for part in (x.slice(k, MEMBERS) for x in text_slices(batches, "text", MEMBER_BYTES) for k in range(0, x.num_rows, MEMBERS)):
-            keys = list(zip(*(part.column(c).to_pylist() for c in ("c", "chunks", "shares")), strict=True))
-            turns, own_ids, own_cls, own_texts = (part.column(c).to_pylist() for c in ("turn", "id", "own", "text"))
-            a = 0
-            while a < len(keys):
-                b = a
-                while b < len(keys) and keys[b] == keys[a] and turns[b] == turns[a]:
-                    b += 1
-                if keys[a] != group:
-                    group, ids, cls, texts, index = keys[a], [], [], [], None
-                if turns[a] == 0:
-                    ids, cls, texts = ids + own_ids[a:b], cls + own_cls[a:b], texts + own_texts[a:b]
-                elif ids:
-                    if index is None:
-                        owner, hashes, weight = sets(texts)
-                        order = np.argsort(hashes, kind="stable")
-                        index = (hashes[order], owner[order], weight[order], np.bincount(owner, weights=weight, minlength=len(ids)))
-                        texts = []
-                    u, v = _links(index, np.array(cls), sets(own_texts[a:b]), np.array(own_cls[a:b]), similarity)
+        group, ids, cls, parts, index = None, [], [], [], None
+        for part in (x.slice(k, SKETCH_ROWS) for x in text_slices(batches, "text", 1 << 19) for k in range(0, x.num_rows, SKETCH_ROWS)):
+            rows = np.stack([part.column(c).to_numpy() for c in ("c", "chunks", "shares", "turn")], axis=1)
+            own_ids, own_cls = part.column("id").to_numpy(), part.column("own").to_numpy()
+            owner, hashes, weight = sets(part.column("text").to_pylist())  # of all rows at once: groups are small
+            at = np.searchsorted(owner, np.arange(len(rows) + 1))
+            cuts = [0, *(np.flatnonzero((rows[1:] != rows[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                key, turn = tuple(rows[a, :3].tolist()), rows[a, 3]
+                if key != group:
+                    group, ids, cls, parts, index = key, [], [], [], None
+                if turn == 0:
+                    span = slice(at[a], at[b])
+                    parts.append((owner[span] - a + sum(map(len, ids)), hashes[span], weight[span]))
+                    ids.append(own_ids[a:b])
+                    cls.append(own_cls[a:b])
+                    continue
+                if not ids:
+                    continue
+                if index is None:
+                    o, h, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    order = np.argsort(h, kind="stable")
+                    ids, cls, parts = [np.concatenate(ids)], [np.concatenate(cls)], []
+                    index = (h[order], o[order], w[order], np.bincount(o, weights=w, minlength=len(ids[0])))
+                for x in range(a, b, MEMBERS):
+                    y = min(x + MEMBERS, b)
+                    span = slice(at[x], at[y])
+                    u, v = _links(index, cls[0], (owner[span] - x, hashes[span], weight[span]), own_cls[x:y], similarity)
                     if len(u):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[u]), pa.array(np.array(own_ids[a:b], np.int64)[v])], ["u", "v"])
-                a = b
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[0][u]), pa.array(own_ids[x:y][v])], ["u", "v"])
 
     return run
 

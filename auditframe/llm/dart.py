@@ -200,7 +200,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 #: Ids that a task remembers, so that a copy it has seen gives no more band rows.
-SEEN = 1 << 18
+SEEN = 1 << 16
 
 
 def _text_bands(params: DartParams):

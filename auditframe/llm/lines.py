@@ -95,9 +95,15 @@ def line_sets(nodes: list[str], params: LineParams) -> tuple[np.ndarray, np.ndar
         return found[0]
     if not found:
         return char_sets(nodes, params.shingle)
-    owner, hashes, ones = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(owner, kind="stable")
-    return owner[order], hashes[order], ones
+    # Both kinds are sorted by line: each line's elements go to its place, without another sort.
+    count = sum(np.bincount(owner, minlength=len(nodes)) for owner, _, _ in found)
+    starts = np.cumsum(count) - count
+    out = np.empty(int(count.sum()), np.uint64)
+    for owner, hashes, _ in found:
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        rank = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
+        out[starts[owner] + rank] = hashes
+    return np.repeat(np.arange(len(nodes)), count), out, np.ones(len(out), np.int64)
 
 
 def _has_twin(params: LineParams, line: Column) -> Column:
@@ -105,13 +111,13 @@ def _has_twin(params: LineParams, line: Column) -> Column:
 
 
 #: Lines that a task remembers, by a hash of 64 bits that serves only in the task.
-SEEN = 1 << 18
+SEEN = 1 << 16
 
 
 def _line_bands(params: LineParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for part in text_slices(batches, "text", 2 << 20):
+        for part in text_slices(batches, "text", 1 << 20):
             fresh = {x for t in part.column("text").to_pylist() if t for x in t.split("\n") if len(x) >= params.min_chars}
             # Lines that this task has met give no more band rows.
             fresh = [x for x, h in zip(fresh, map(hash, fresh), strict=True) if not (h in seen or seen.add(h))] if seen else list(fresh)
