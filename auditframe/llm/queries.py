@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import bpe, dart, forest, html, importance, lines, mixing, planes, rules, toxicity
+from auditframe.llm import bpe, dart, forest, html, importance, lines, mixing, negatives, passages, planes, rules, toxicity, trie
 from auditframe.session import spread
 
 
@@ -81,8 +81,23 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_radix_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
+    return negatives.hard_negatives(negatives.contract_rows(_table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
+
+
+def op12_doubled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, spans."""
+    return passages.dedup_digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_minhash, op2_importance, op3_prefix_bpe, op4_water_filling, op5_prefix_forest, op6_line_rules, op7_text_cnn, op8_tag_paths, op9_bit_planes, op10_fuzzy_lines)}
+    return {f.__name__: f for f in (op1_dart_minhash, op2_importance, op3_prefix_bpe, op4_water_filling, op5_prefix_forest, op6_line_rules, op7_text_cnn, op8_tag_paths, op9_bit_planes, op10_fuzzy_lines, op11_radix_negatives, op12_doubled_windows, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
