@@ -98,7 +98,8 @@ def _prefixes(blocks: list[DataFrame], everyone: DataFrame) -> DataFrame:
         # Prefixes of a multiple of 2^(k+1) turns have a name; those that end in a block of 2^k turns follow from them.
         last = blocks[k].filter("block % 2 = 0").select("c", (F.col("block") * 2**k).alias("depth"), "name")
         longer = materialize(done.select("c", "depth", "node").join(last, ["c", "depth"]).withColumn("depth", F.col("depth") + 2**k), f"longer-{k}")
-        nodes = longer.groupBy("depth", "node", "name").agg(F.min("c").alias("least"), F.count("*").alias("n"))
+        # Written, so that both sides of the join are dealt anew and Spark can split a node of many members.
+        nodes = materialize(longer.groupBy("depth", "node", "name").agg(F.min("c").alias("least"), F.count("*").alias("n")), f"nodes-{k}")
         grown = longer.join(nodes, ["depth", "node", "name"]).select("c", "depth", F.col("least").alias("node"), "n")
         done = done.unionByName(materialize(grown, f"prefixes-{k}"))
     return done
