@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditframe.session import ship
+
 # Rule ids, severities and the words that they are told by.
 SHELLS = ("bash", "sh", "zsh", "cmd", "cmd.exe", "powershell", "powershell.exe", "pwsh")
 SHELL_FLAGS = ("-c", "/c", "-command", "-encodedcommand", "-enc")
@@ -20,30 +25,110 @@ MUTABLE_GIT = r"(?:git\+|github:|github\.com/|gitlab\.com/|bitbucket\.org/)"
 ACTIVATION_DEPENDENT = ("MCP_AUTOMATIC_TOOL_APPROVAL", "MCP_INSECURE_REMOTE_TRANSPORT", "MCP_MUTABLE_GIT_SOURCE", "MCP_OVERBROAD_FILESYSTEM_SCOPE", "MCP_PRIVILEGED_CONTAINER_SURFACE", "MCP_SHELL_WRAPPER_EXECUTION", "MCP_UNPINNED_PACKAGE_EXECUTION")
 # End of the fixed values.
 
-#: Server entries and named values that are looked at; more is reported as incomplete.
-MAX_SERVERS, MAX_VALUES = 256, 1024
-_SERVERS = "struct<mcpServers:map<string,string>,mcp_servers:map<string,string>,servers:map<string,string>>"
+#: A document beyond one of these bounds is reported as incomplete: depth, entries of a container or server map, named values.
+MAX_DEPTH, MAX_SERVERS, MAX_VALUES = 8, 256, 1024
+_SERVER_KEYS = ("mcpServers", "mcp_servers", "servers")
+_WALK = "struct<servers:array<struct<name:string,body:string>>,gaps:array<string>>"
+
+
+def parse_document(text: str, path: str = "") -> object | None:
+    """A configuration as nested values: JSON (comments allowed), TOML, or YAML where a parser for it is installed; nothing if it is none of them."""
+    import tomllib
+
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix not in ("toml", "yaml", "yml"):
+        for body in (text, _without_comments(text)):
+            try:
+                return json.loads(body)
+            except (ValueError, RecursionError):
+                continue
+    if suffix in ("toml", "") or "=" in text:
+        try:
+            return tomllib.loads(text)
+        except (ValueError, RecursionError):
+            pass
+    if suffix in ("yaml", "yml") or any(f"{k}:" in text for k in _SERVER_KEYS):
+        try:
+            import yaml
+        except ImportError:
+            return None
+        try:
+            return yaml.safe_load(text)
+        except (yaml.YAMLError, RecursionError, ValueError):
+            return None
+    return None
+
+
+def _without_comments(text: str) -> str:
+    """JSON without // and /* */ comments outside strings, and without commas before a closing bracket."""
+    import re
 
+    pieces = re.findall(r'"(?:\\.|[^"\\])*"|//[^\n]*|/\*.*?\*/|[^"/]+|.', text, re.S)
+    kept = "".join(" " if p.startswith(("//", "/*")) else p for p in pieces)
+    return re.sub(r'("(?:\\.|[^"\\])*")|,(\s*[}\]])', lambda m: m[1] or m[2], kept)
 
-def agent_config(configs: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each rule and server of JSON configurations: keys, server, rule_id, severity, confidence.
 
-    A server is a JSON object under mcpServers, mcp_servers or servers. Its fields, and those of its env
+def walk_document(document: object) -> dict:
+    """Server entries at any depth up to ``MAX_DEPTH``, each as JSON, and which bounds the document passes.
+
+    A bound is reported, it drops no server that was reached: beyond the depth nothing is looked at.
+    """
+    servers: list[dict] = []
+    gaps: set[str] = set()
+    values = 0
+    stack: list[tuple[object, int]] = [(document, 0)]
+    while stack:
+        node, depth = stack.pop()
+        if not isinstance(node, (dict, list)):
+            continue
+        if depth > MAX_DEPTH:
+            gaps.add("depth_limit")
+            continue
+        values += len(node)
+        if len(node) > MAX_SERVERS:
+            gaps.add("container_entry_limit")
+        if isinstance(node, list):
+            stack += [(child, depth + 1) for child in reversed(node)]
+            continue
+        for key, child in reversed(node.items()):
+            stack.append((child, depth + 1))
+        for key, child in node.items():
+            if key in _SERVER_KEYS and isinstance(child, dict):
+                servers += [{"name": str(name), "body": json.dumps(body, ensure_ascii=False, default=str)} for name, body in child.items() if isinstance(body, dict)]
+    if values > MAX_VALUES:
+        gaps.add("named_value_limit")
+    if len(servers) > MAX_SERVERS:
+        gaps.add("server_entry_limit")
+    return {"servers": servers, "gaps": sorted(gaps)}
+
+
+def agent_config(configs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """One row for each rule and server of JSON, TOML or YAML configurations: keys, server, rule_id, severity, confidence.
+
+    A server is an object under mcpServers, mcp_servers or servers at any depth up to ``MAX_DEPTH``; ``path``
+    names a column that tells the format by its suffix. A server's fields, and those of its env
     and headers, are read as a map of texts; what a rule asks of nested values it asks of their JSON. Rules
-    that depend on activation are of medium confidence for a disabled server. Texts that are no JSON give
-    no row; a document of more than ``MAX_SERVERS`` servers gives MCP_CONFIG_STRUCTURE_INCOMPLETE too.
+    that depend on activation are of medium confidence for a disabled server. Texts of no such format give
+    no row. A document beyond one of the bounds gives MCP_CONFIG_STRUCTURE_INCOMPLETE too; all servers that were reached, and all their
+    values, are looked at all the same.
     """
+    ship(configs.sparkSession)
     keys = [c for c in configs.columns if c != text]
-    doc = F.from_json(F.col(text), _SERVERS)
-    servers = F.coalesce(doc["mcpServers"], doc["mcp_servers"], doc["servers"])
-    rows = configs.select(*keys, servers.alias("servers")).filter("servers is not null")
-    entries = F.slice(F.map_entries("servers"), 1, MAX_SERVERS)
-    each = rows.select(*keys, F.explode(entries).alias("s")).select(*keys, F.col("s.key").alias("server"), F.from_json("s.value", "map<string,string>").alias("m")).filter("m is not null")
+
+    @F.pandas_udf(_WALK)
+    def walked(texts: pd.Series, paths: pd.Series) -> pd.DataFrame:
+        found = [walk_document(parse_document(t, p or "")) for t, p in zip(texts, paths, strict=True)]
+        return pd.DataFrame({"servers": [f["servers"] for f in found], "gaps": [f["gaps"] for f in found]})
+
+    # Native: only texts that name a server map can hold one.
+    named_map = configs.filter(F.col(text).rlike("mcpServers|mcp_servers|servers"))
+    rows = named_map.select(*keys, walked(F.col(text), F.col(path) if path else F.lit("")).alias("w")).select(*keys, "w.*")
+    each = rows.select(*keys, F.explode("servers").alias("s")).select(*keys, F.col("s.name").alias("server"), F.from_json("s.body", "map<string,string>").alias("m")).filter("m is not null")
     field = lambda name: F.coalesce(F.col("m")[name], F.lit(""))
     parts = lambda name: F.coalesce(F.from_json(F.col("m")[name], "array<string>"), F.array().cast("array<string>"))
     nested = lambda name: F.coalesce(F.from_json(F.col("m")[name], "map<string,string>"), F.create_map().cast("map<string,string>"))
     command = F.lower(F.regexp_replace(F.replace(field("command"), F.lit("\\"), F.lit("/")), "^.*/", ""))
-    named = F.slice(F.concat(F.map_entries("m"), F.map_entries(nested("env")), F.map_entries(nested("headers"))), 1, MAX_VALUES)
+    named = F.concat(F.map_entries("m"), F.map_entries(nested("env")), F.map_entries(nested("headers")))
     wide = each.select(*keys, "server", command.alias("command"), parts("args").alias("args"), F.array_join(parts("args"), " ").alias("line"), named.alias("named"), F.coalesce(F.col("m")["url"], F.col("m")["serverUrl"], F.col("m")["endpoint"], F.lit("")).alias("url"), field("disabled").alias("disabled"), field("enabled").alias("enabled"))
     low_args = F.transform("args", F.lower)
     package = F.get(F.filter("args", lambda a: ~a.startswith("-")), 0)
@@ -71,7 +156,7 @@ def agent_config(configs: DataFrame, text: str = "text") -> DataFrame:
     row = lambda rule, severity: F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), (F.when(off, "medium").otherwise("high") if rule in ACTIVATION_DEPENDENT else F.lit("high")).alias("confidence"))
     hits = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), row(rule, severity)) for rule, severity, test in tests]))
     found = wide.select(*keys, "server", F.explode(hits).alias("r")).select(*keys, "server", "r.*")
-    over = rows.filter(F.size("servers") > MAX_SERVERS).select(*keys, F.lit("").alias("server"), F.lit("MCP_CONFIG_STRUCTURE_INCOMPLETE").alias("rule_id"), F.lit("high").alias("severity"), F.lit("high").alias("confidence"))
+    over = rows.filter(F.size("gaps") > 0).select(*keys, F.lit("").alias("server"), F.lit("MCP_CONFIG_STRUCTURE_INCOMPLETE").alias("rule_id"), F.lit("high").alias("severity"), F.lit("high").alias("confidence"))
     return found.unionByName(over)
 
 

@@ -11,6 +11,7 @@ import binascii
 import datetime
 import hashlib
 import html
+import json
 import re
 import unicodedata
 from functools import partial
@@ -270,6 +271,70 @@ def sanitize(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return out
 
 
+#: Values nested deeper than this are replaced by a mark.
+MAX_DEPTH = 64
+_DIGEST_VALUE = re.compile(r"[0-9a-f]{8,128}")
+
+
+def quarantined(text: str, kind: str = "value") -> str:
+    """A text as it may leave: a mark with its fingerprint if it is shaped like an instruction, redacted otherwise."""
+    for _, form in candidates(text):
+        if any(re.search(p, form, re.I) for rule, _, p in THREATS if rule in ("MCP_TOOL_POISONING", "MCP_HIDDEN_INSTRUCTION", "MCP_EXFILTRATION_INTENT")):
+            return f"<untrusted-{kind}-ref:{hashlib.sha256(text.encode()).hexdigest()[:12]}>"
+    return redact(text)
+
+
+def sanitized_value(value: object, field: str = "", depth: int = 0) -> object:
+    """F-SAN: a nested value with every text of it, and every name, as ``quarantined`` gives it.
+
+    Digests in fields named as such stay. Numbers, truth values and nulls stay. Beyond ``MAX_DEPTH`` there is a mark.
+    """
+    if depth > MAX_DEPTH:
+        return "<mcp-output-depth-limit>"
+    if isinstance(value, str):
+        name = re.sub(r"[^a-z0-9_]+", "_", field.strip().lower()).strip("_")
+        if (name in ("hash", "fingerprint") or name.endswith(("_sha256", "_hash", "_fingerprint"))) and _DIGEST_VALUE.fullmatch(value):
+            return value
+        return quarantined(value)
+    if isinstance(value, dict):
+        return {quarantined(k, "field-name"): sanitized_value(v, k, depth + 1) for k, v in value.items()}
+    if isinstance(value, list):
+        return [sanitized_value(v, field, depth + 1) for v in value]
+    return value
+
+
+def sanitized_text(text: str | None) -> str | None:
+    """F-SAN of a text that may be JSON: its value walked and written again in canonical form, another text by itself."""
+    if text is None:
+        return None
+    if text.lstrip()[:1] in ("{", "["):
+        try:
+            return json.dumps(sanitized_value(json.loads(text)), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        except ValueError:
+            pass
+        except RecursionError:  # deeper than any parser follows
+            return json.dumps("<mcp-output-depth-limit>")
+    return quarantined(text)
+
+
+def sanitize_values(rows: DataFrame, column: str) -> DataFrame:
+    """F-SAN, SNK7 over a column of JSON or plain texts of unknown shape.
+
+    Plain texts without a mark of any rule, which are most, stay on the JVM: ``redact_column`` decides that
+    for personal data, ``hinted`` for instructions.
+    """
+    ship(rows.sparkSession)
+
+    @F.pandas_udf("string")
+    def python(s: pd.Series) -> pd.Series:
+        return s.map(sanitized_text)
+
+    text = F.col(column)
+    special = F.coalesce(text.rlike(r"^\s*[\[{]") | hinted(text), F.lit(False))
+    split = rows.withColumn("__walked", python(F.when(special, text))).withColumn(column, F.when(~special, text))
+    return redact_column(split, column).withColumn(column, F.coalesce(F.col(column), "__walked")).drop("__walked")
+
+
 # --- threat normalisation ------------------------------------------------------------------------
 # Look-alike letters to their Latin ones, digits and signs read as letters, and the rules.
 CONFUSABLES = str.maketrans(
@@ -346,6 +411,16 @@ def candidates(text: str) -> list[tuple[str, str]]:
     return out
 
 
+#: A word of each threat rule, read with digits as letters too, and whatever may hide one.
+_WORDS = r"(?i)instruction|(?:tell|told).{0,6}user|system prompt|developer message|exfiltrat|silently|secretly|\b(?:curl|wget|nc|netcat|scp|ftp|iwr|invoke)|send|fetch|axios|requests\.|httpx|forward|powershell|bash|cmd\.exe|rm\s+-|chmod|docker|--allow-all|--dangerously|/users/|c:\\|~[/\\]|/home/|\.(?:ssh|aws|kube|config)[/\\]|read_file|write_file|shell|browser|gmail|drive|slack|eval|exec|iex|credential|id_rsa|id_ed25519|keychain"
+_HIDDEN = r"[^\x09\x0A\x0D\x20-\x7E]|\\[uU]|&[#a-zA-Z]|%[0-9a-fA-F]{2}|/\*|['\"]\s*\+|[A-Za-z0-9_+/-]{24}"
+
+
+def hinted(text: Column) -> Column:
+    """Whether a text can match a threat rule in any disguise: it holds a rule's word, or what may hide one."""
+    return text.rlike(_HIDDEN) | text.rlike(_WORDS) | F.translate(text, "013457@$", "oieastas").rlike(_WORDS)
+
+
 def threats(lines: DataFrame, line: str = "line", keys: list[str] | None = None, order: str | None = None) -> DataFrame:
     """D-THR1: rules over the candidates of each line; one row for each (rule, line), the first mode that hits.
 
@@ -367,7 +442,7 @@ def threats(lines: DataFrame, line: str = "line", keys: list[str] | None = None,
 
         return s.map(one)
 
-    hit = lambda rows, text: rows.withColumn("t", F.explode(scan(F.col(text))))
+    hit = lambda rows, text: rows.filter(hinted(F.col(text))).withColumn("t", F.explode(scan(F.col(text))))
     single = hit(lines, line).select(*[c for c in lines.columns if c != line], "t.*")
     if not keys or not order:
         return single

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions import scalars as S
+from auditframe.operators import setdigest
 
 
 def pack_score(cases: DataFrame, findings: DataFrame, by: str = "language") -> DataFrame:
@@ -121,16 +122,15 @@ def mutation_outcomes(mutations: DataFrame, baseline: DataFrame, mutated: DataFr
     """GV4: per mutation whether its expected rule is found in the mutated tree and absent from the baseline.
 
     mutations (mutation_id, relative_path, expected_rule_ids), findings (file, rule_id). A file matches by its
-    whole path or as a suffix of it; the file name carries the join.
+    whole path or by a suffix of it that begins a folder; each finding stands under all such suffixes, so the join is by equality.
     """
-    name = lambda p: F.element_at(F.split(p, "/"), -1)
-    wanted = mutations.select("mutation_id", S.normal_path(F.col("relative_path")).alias("want"), F.explode("expected_rule_ids").alias("rule_id")).withColumn("name", name(F.col("want")))
+    wanted = mutations.select("mutation_id", S.normal_path(F.col("relative_path")).alias("want"), F.explode("expected_rule_ids").alias("rule_id"))
 
     def hits(found: DataFrame, column: str) -> DataFrame:
-        low = F.lower(F.replace(F.coalesce("file", F.lit("")), F.lit("\\"), F.lit("/")))
-        rows = found.select(low.alias("path"), "rule_id").distinct().withColumn("name", name(F.col("path")))
-        same = (F.col("path") == F.col("want")) | F.col("path").endswith(F.concat(F.lit("/"), "want"))
-        return wanted.join(rows, ["name", "rule_id"]).filter(same).select("mutation_id").distinct().withColumn(column, F.lit(True))
+        parts = F.split(F.lower(F.replace(F.coalesce("file", F.lit("")), F.lit("\\"), F.lit("/"))), "/")
+        suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))
+        rows = found.select(F.explode(suffixes).alias("want"), "rule_id").distinct()
+        return wanted.join(rows, ["want", "rule_id"]).select("mutation_id").distinct().withColumn(column, F.lit(True))
 
     out = mutations.select("mutation_id").join(hits(mutated, "detected"), "mutation_id", "left").join(hits(baseline, "before"), "mutation_id", "left")
     detected, before = F.coalesce("detected", F.lit(False)), F.coalesce("before", F.lit(False))
@@ -139,15 +139,19 @@ def mutation_outcomes(mutations: DataFrame, baseline: DataFrame, mutated: DataFr
 
 
 BUNDLE_SCHEMA = "evidence_bundle.v1"
+#: The artifacts of a subject for which the tree of its digest is laid out; it only gets wider beyond.
+BUNDLE_ENTRIES = 1 << 24
 
 
 def evidence_bundles(artifacts: DataFrame, subject: str, payload: Column, key: str = S.DEFAULT_KEY) -> DataFrame:
     """GV5: one signed bundle for each subject: artifact_count, artifacts_sha256, bundle_sha256, signature_sha256.
 
-    An artifact enters by the digest of its canonical payload, in the order of digests, so a bundle does not
-    depend on the order of rows.
+    An artifact enters by the digest of its canonical payload, equal ones by their number; the digests of a subject
+    are folded in a tree (``setdigest``) of fixed depth, so a bundle does not depend on the order of rows, and no
+    list holds all artifacts of a large subject.
     """
-    digests = artifacts.select(subject, F.sha2(payload, 256).alias("d")).groupBy(subject).agg(F.count("*").alias("artifact_count"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("artifacts_sha256"))
+    folded = setdigest.set_digest(artifacts.select(subject, payload.alias("__payload")), F.col("__payload"), [subject], "artifacts_sha256", n=BUNDLE_ENTRIES)
+    digests = folded.withColumnRenamed("n_entries", "artifact_count")
     record = S.canonical_json(F.struct(F.col("artifact_count"), F.col("artifacts_sha256"), F.lit(False).alias("raw_returned"), F.lit(BUNDLE_SCHEMA).alias("schema"), F.col(subject).cast("string").alias("subject")))
     signed = digests.withColumn("bundle_sha256", F.sha2(record, 256))
     return signed.withColumn("signature_sha256", S.hmac16(F.col("bundle_sha256"), key, 64))

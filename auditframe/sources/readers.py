@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from auditframe.functions.scalars import truthy
+from auditframe.operators import setdigest
 from auditframe.session import ship
 
 # Folders that are left out, suffixes that are read, size tiers.
@@ -73,16 +74,21 @@ def tier(path: Column, n_bytes: Column, n_lines: Column) -> Column:
     return F.when(n_bytes > BOUNDED_BYTES, "unscanned").when(n_bytes > FULL_BYTES, "bounded_large").when(noise | path.rlike("(?i)\\.min\\.(js|css)$|\\.map$"), "path_secret_only").otherwise("full")
 
 
-def inventory_fingerprint(artifacts: DataFrame) -> DataFrame:
-    """SRC5, SRC18: counts and one digest of all paths and contents.
+def inventory_fingerprint(artifacts: DataFrame, most_bytes: int = BOUNDED_BYTES) -> DataFrame:
+    """SRC5, SRC18: one row of counts and exact set digests of all paths, and of all paths with their contents.
 
-    Digests of rows are folded by exclusive-or and sum, which need no order and no list of all files;
-    a set digest of this kind tells trees apart, it is no signature.
+    From (path, content, n_bytes): files, bytes, unreadable (no content), oversized (above ``most_bytes``), whether the digest of
+    contents is complete, path_set_sha256 and tree_digest. Paths count by their lower case, a missing or oversized content by
+    that word; see ``setdigest`` for the digests, which are the same for any order and partitioning.
     """
-    row = F.sha2(F.concat(F.length("path").cast("string"), F.lit(":"), F.lower("path"), F.lit("\u0000"), F.sha2("content", 256)), 256)
-    word = F.conv(F.substring(row, 1, 15), 16, 10).cast("long")
-    other = F.conv(F.substring(row, 16, 15), 16, 10).cast("long")
-    return artifacts.agg(F.count("*").alias("files"), F.sum("n_bytes").alias("bytes"), F.sha2(F.concat_ws("|", F.bit_xor(word).cast("string"), F.bit_xor(other).cast("string"), F.count("*").cast("string")), 256).alias("tree_digest"))
+    path = F.lower(F.coalesce("path", F.lit("")))
+    size = F.coalesce("n_bytes", F.lit(0))
+    state = F.when(F.col("content").isNull(), "unreadable").when(size > most_bytes, "oversized").otherwise(F.sha2(F.col("content").cast("binary"), 256))
+    counts = artifacts.agg(F.count("*").alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.count_if(F.col("content").isNull()).alias("unreadable"), F.count_if(F.col("content").isNotNull() & (size > most_bytes)).alias("oversized"))
+    paths = setdigest.set_digest(artifacts, setdigest.framed(path), name="path_set_sha256").drop("n_entries")
+    tree = setdigest.set_digest(artifacts, setdigest.framed(path, state), name="tree_digest").drop("n_entries")
+    # Three tables of one row each.
+    return counts.join(F.broadcast(paths)).join(F.broadcast(tree)).withColumn("complete", (F.col("unreadable") == 0) & (F.col("oversized") == 0))
 
 
 def embedded_csv(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
