@@ -82,6 +82,18 @@ def gate(checks: DataFrame) -> DataFrame:
     return out.withColumn("passed", (F.col("failed_blockers") == 0) & (F.col("checks") > 0))
 
 
+def recomputed(stated: DataFrame, counted: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """GV6: stated figures (name, stated) against those counted again (name, recomputed, blocker), as checks for ``gate``.
+
+    A figure that is not stated, or that cannot be counted, fails; one that differs by more than ``tolerance`` fails
+    if it blocks and warns otherwise. Stated figures that nobody counts are checks that fail, too.
+    """
+    both = counted.join(stated, "name", "full").withColumn("blocker", F.coalesce("blocker", F.lit(True)))
+    same = F.abs(F.col("stated") - F.col("recomputed")) <= tolerance
+    status = F.when(F.col("stated").isNull() | F.col("recomputed").isNull(), "fail").when(same, "pass").when(F.col("blocker"), "fail").otherwise("warn")
+    return both.withColumn("status", status)
+
+
 def review_lookup(findings: DataFrame, reviews: DataFrame, default: str = "unreviewed") -> DataFrame:
     """Verdict of (target, rule), else of (*, rule), else the default."""
     own = reviews.filter("target_id != '*'").select("target_id", "rule_id", F.col("verdict").alias("v1"))

@@ -497,21 +497,6 @@ def sensitive_schema_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.sensitive_columns(spark.createDataFrame(rows, "table_name string, column_name string"))
 
 
-RBAC_QUERIES = (
-    (1, ["analyst"], "db", "s", "orders", ["o_orderkey"], 10), (2, ["analyst"], "db", "s", "orders", ["o_custkey"], 10),
-    (3, ["guest"], "db", "s", "orders", ["o_orderkey"], 10), (4, ["analyst", "admin"], "db", "s", "orders", ["o_orderkey", "o_custkey"], 100),
-    (5, ["analyst"], "db", "s", "orders", ["o_orderkey"], 60), (6, ["analyst"], "db", "s", "orders", ["o_orderkey"], None), (7, ["admin"], "db", "s", "orders", ["o_orderkey"], 500),
-)
-
-
-@query("SELECT * FROM (VALUES (1, 'allow', ''), (2, 'deny', 'column_denied'), (3, 'deny', 'no_grant'), (4, 'allow', ''), (5, 'deny', 'limit_exceeds_grant'), (6, 'deny', 'limit_missing'), (7, 'deny', 'limit_exceeds_gate')) t(query_id, decision, deny_code)")
-def rbac_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions on a fixed set of queries."""
-    asked = spark.createDataFrame(RBAC_QUERIES, "query_id int, roles array<string>, db string, schema string, table string, columns array<string>, row_limit int")
-    grants = spark.createDataFrame([("analyst", "db", "s", "orders", ["o_orderkey", "o_totalprice"], 50), ("admin", "db", "s", "orders", ["o_orderkey", "o_custkey"], 100)], "role string, db string, schema string, table string, columns array<string>, max_rows int")
-    return access.rbac(asked, grants)
-
-
 @query("""WITH a AS (SELECT user_id AS session, event_id // 7 AS id, count(*) AS requests, min(event_id) AS rs FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT user_id AS session, event_id // 7 AS id, count(*) AS responses, min(event_id) AS ps FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2)
 SELECT coalesce(a.session, b.session) AS session, coalesce(a.id, b.id) AS id, coalesce(requests, 0) AS requests, coalesce(responses, 0) AS responses,
   CASE WHEN requests IS NULL THEN 'uncorrelated_response' WHEN responses IS NULL THEN 'missing_response' WHEN requests > 1 OR responses > 1 THEN 'duplicate_id' WHEN ps < rs THEN 'uncorrelated_response' ELSE 'correlated' END AS state FROM a FULL JOIN b ON a.session = b.session AND a.id = b.id""")

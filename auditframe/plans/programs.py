@@ -6,12 +6,13 @@ value ends) is taken from the rows, and the SQL follows the rows themselves, nev
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditframe.operators import callgraph
-from auditframe.plans.catalogue import query, table
+from auditframe.operators import callgraph, code, migrations, scripts
+from auditframe.plans.catalogue import documents, query, table
+from auditframe.sources import readers
 from auditframe.streaming import stateful
 
 # Lines of an order, numbered from 1 without gaps, with the part of the next line.
@@ -69,3 +70,131 @@ def pending_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stateful.replay(messages, lambda stream, delay: stateful.pending_requests(stream, delay, 1_800), 4, stateful.Pending.OUT, last)
     micros = lambda c: F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({c} as timestamp_ntz))")
     return found.select("session", "request_id", "state", micros("asked_at").alias("asked_us"), micros("answered_at").alias("answered_us"))
+
+
+# --- code and migrations inside real texts -----------------------------------------------------------
+# Each document's text stands in its file as comments (line by line) or as a quoted text, with all its quotes, brackets
+# and odd characters; the code behind it has its findings at lines that follow from the number of lines of the text.
+_CODE = (  # suffix, comment, code, findings (rule, source line, sink line) counted from the first line behind the text
+    ("py", "# ", "def f():\n    q = request.args.get('q')\n    os.system(q)\n", (("WEB_UNTRUSTED_INPUT_TO_COMMAND", 2, 3),)),
+    ("js", "// ", "function f(req) {\n  const q = req.query.q;\n}\nfunction g() {\n  exec(q);\n}\n", ()),
+    ("ts", "// ", "app.get('/x', (req, res) => {\n  const sql = `select ${req.params.id}`;\n  db.query(sql);\n  db.query('select ?', [sql]);\n});\n", (("WEB_UNTRUSTED_INPUT_TO_SQL", 2, 3),)),
+    ("java", "// ", 'class A {\n void doGet(HttpServletRequest r) {\n  String q = r.getParameter("q");\n  StringBuilder b = new StringBuilder("select ").append(q);\n  statement.execute(b.toString());\n  PreparedStatement p = connection.prepareStatement("select ?");\n  p.setString(1, q);\n  p.executeQuery();\n }\n}\n', (("WEB_UNTRUSTED_INPUT_TO_SQL", 3, 5),)),
+    ("go", "// ", 'func h(w http.ResponseWriter, r *http.Request) {\n\tf := r.FormValue("f")\n\tos.Open(f)\n}\nfunc g(f string) {\n\tos.Open(f)\n}\n', (("WEB_UNTRUSTED_INPUT_TO_FILE_PATH", 2, 3),)),
+    ("php", "# ", "$q = $_GET['q'];\nsystem(\"ls $q\");\n$q = 'a';\nsystem($q);\n", (("WEB_UNTRUSTED_INPUT_TO_COMMAND", 1, 2),)),
+    ("rb", "# ", "def a\n  q = params[:q]\n  eval(q)\nend\ndef b\n  eval(q)\nend\n", (("WEB_UNTRUSTED_INPUT_TO_CODE_EXECUTION", 2, 3),)),
+    ("kt", "// ", 'fun f(@RequestParam q: String) {\n  em.createQuery("select " + q)\n}\n', (("WEB_UNTRUSTED_INPUT_TO_SQL", 1, 2),)),
+    ("jsx", "// ", "let q = 'a';\nif (x) {\n  q = req.body.q;\n}\nfetch(q);\nq = 'b';\nfetch(q);\n", (("WEB_UNTRUSTED_INPUT_TO_OUTBOUND_REQUEST", 3, 5),)),
+    ("java", "// ", 'class B {\n void doPost(HttpServletRequest r) {\n  String q = 1 > 2 ? r.getHeader("q") : "fixed";\n  statement.execute(q + Integer.parseInt(r.getParameter("n")));\n }\n}\n', ()),
+)
+
+
+def _commented(mark: str) -> Column:
+    """A document's text as comment lines."""
+    clean = F.translate(F.coalesce("text", F.lit("")), "\r\x00", "  ")
+    return F.concat(F.lit(mark), F.replace(clean, F.lit("\n"), F.lit(f"\n{mark}")), F.lit("\n"))
+
+
+_BEHIND = "len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) + 1"
+_CODE_VALUES = ", ".join(f"({k}, '{rule}', {a}, {b}, {1 if suffix == 'php' else 0})" for k, (suffix, _, _, found) in enumerate(_CODE) for rule, a, b in found)
+
+
+@query(f"WITH want(k, rule_id, a, b, more) AS (VALUES {_CODE_VALUES}) SELECT doc_id, rule_id, (a + more + {_BEHIND})::INT AS source_line, (b + more + {_BEHIND})::INT AS sink_line FROM documents JOIN want ON doc_id % {len(_CODE)} = k")
+def code_flow_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D-TAINT1, D-TAINT3, D-POLY, D-JAVA: a source file in one of nine languages behind the text of each document."""
+    k = F.col("doc_id") % len(_CODE)
+    text = path = None
+    for n, (suffix, mark, body, _) in enumerate(_CODE):
+        whole = F.concat(F.lit("<?php\n" if suffix == "php" else ""), _commented(mark), F.lit(body))
+        text = F.when(k == n, whole) if text is None else text.when(k == n, whole)
+        path = F.when(k == n, f"src/a.{suffix}") if path is None else path.when(k == n, f"src/a.{suffix}")
+    files = documents(spark, sf_dir).select("doc_id", path.alias("path"), text.alias("text"))
+    return code.code_flows(files).select("doc_id", "rule_id", "source_line", "sink_line")
+
+
+_MIGRATION = """create table app.t{0} (id int, note text default ';');
+comment on table app.t{0} is $txt${1}$txt$;
+alter table app.t{0} {2} row level security;
+/* create policy a on app.t{0} using (true); /* nested */ */
+create policy p on app.t{0} for select using ({3});
+create function app.f{0}() returns int language sql security definer{4} as $b$ select 1; grant all on t to anon; $b$;
+grant {5} on app.t{0}, "T {0}" to anon, reporting;
+create table u{0} (id int);
+"""
+_MIGRATION_SQL = f"""WITH d AS (SELECT doc_id, {_BEHIND} - 1 AS n FROM documents)
+SELECT doc_id, concat('app.t', doc_id) AS object, 'DB_POLICY_RLS_DISABLED' AS rule_id, 'critical' AS severity, (3 + n)::INT AS line FROM d WHERE doc_id % 2 = 1
+UNION ALL SELECT doc_id, concat('app.t', doc_id), 'DB_POLICY_PERMISSIVE_TRUE', 'critical', (5 + n)::INT FROM d WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, concat('app.f', doc_id), 'DB_POLICY_SECURITY_DEFINER_SEARCH_PATH', 'high', (6 + n)::INT FROM d WHERE doc_id % 5 < 2
+UNION ALL SELECT doc_id, unnest([concat('app.t', doc_id), concat('public."T ', doc_id, '"')]), 'DB_POLICY_BROAD_GRANT', 'high', (7 + n)::INT FROM d WHERE doc_id % 7 < 3
+UNION ALL SELECT doc_id, concat('public.u', doc_id), 'DB_POLICY_RLS_MISSING', 'high', (8 + n)::INT FROM d"""
+
+
+@query(_MIGRATION_SQL)
+def row_security_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D-DBP, O7: a migration for each document, its text in a dollar-quoted comment between the statements."""
+    d = F.col("doc_id")
+    marks = {
+        "{0}": d.cast("string"), "{2}": F.when(d % 2 == 1, "disable").otherwise("enable"), "{3}": F.when(d % 3 == 0, "(true)").otherwise("true and owner = auth.uid()"),
+        "{4}": F.when(d % 5 < 2, "").otherwise(" set search_path = app"), "{5}": F.when(d % 7 < 3, "all").otherwise("select"), "{1}": F.coalesce("text", F.lit("")),
+    }
+    text = F.lit(_MIGRATION)
+    for mark, value in marks.items():  # the document's own text last, so that nothing in it is a mark
+        text = F.replace(text, F.lit(mark), value)
+    files = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("supabase/"), d.cast("string"), F.lit(".sql")).alias("path"), text.alias("text"))
+    return migrations.migration_policies(files, key="doc_id").select("doc_id", "object", "rule_id", "severity", "line")
+
+
+_ROUTE = """app.get('/orders/:orderId', async (req, res) => {
+  %s
+  const row = await loadOrder(req.params.orderId);
+  res.json(row);
+});
+"""
+_SERVICE = """export async function loadOrder(orderId) {
+  return db.order.findFirst({ where: { id: orderId%s } });
+}
+"""
+_ACTION = """'use server';
+export async function save(form) {
+  %s
+  await db.user.update({ data: form });
+}
+"""
+_BOUNDARY_SQL = f"""WITH d AS (SELECT doc_id, {_BEHIND} AS n FROM documents)
+SELECT doc_id, 'routes.js' AS path, 'JS_TS_EXPRESS_IDOR_ROUTE_PARAM' AS rule_id, (n + 3)::INT AS line, NULL::VARCHAR AS service_path FROM d
+UNION ALL SELECT doc_id, 'routes.js', 'JS_TS_INTERPROCEDURAL_ROUTE_SERVICE_IDOR', (n + 3)::INT, 'service.ts' FROM d WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0
+UNION ALL SELECT doc_id, 'actions.ts', 'JS_TS_NEXT_SERVER_ACTION_AUTH_BOUNDARY_WEAK', (n + 4)::INT, NULL FROM d WHERE doc_id % 2 = 0"""
+
+
+@query(_BOUNDARY_SQL)
+def framework_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D-TAINT3: each document as a project of routes, a service, a server action, and for some a second service of the same name."""
+    d = F.col("doc_id")
+    head = _commented("// ")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    row = lambda path, body: docs.select(d.cast("string").alias("project"), F.lit(path).alias("path"), F.concat(head, body).alias("text"))
+    fill = lambda body, value: F.replace(F.lit(body), F.lit("%s"), value)
+    files = row("routes.js", fill(_ROUTE, F.when(d % 2 == 0, "// requireAuth(req)").otherwise("log('requireAuth(req)');")))
+    files = files.unionByName(row("service.ts", fill(_SERVICE, F.when(d % 3 == 0, ", ownerId: me").otherwise(""))))
+    files = files.unionByName(row("actions.ts", fill(_ACTION, F.when(d % 2 == 0, "").otherwise("await requireAuth();"))))
+    files = files.unionByName(row("other.ts", F.lit("function loadOrder(x) { return x; }\n")).filter(F.col("project").cast("long") % 5 == 0))
+    return scripts.framework_findings(files).select(F.col("project").cast("long").alias("doc_id"), "path", "rule_id", "line", "service_path")
+
+
+# --- set digests -------------------------------------------------------------------------------------
+# One level of the tree up to 4,096 leaves, places of one digit up to 65,536.
+_TREE_SQL = """WITH a AS (SELECT concat(source, '/', doc_id, '.txt') AS path, text, strlen(text) AS b FROM documents),
+e AS (SELECT lower(path) AS p, CASE WHEN text IS NULL THEN 'unreadable' ELSE sha256(text) END AS s FROM a), l AS (SELECT sha256(concat(strlen(p), ':', p, strlen(s), ':', s)) AS d FROM e),
+c AS (SELECT sha256(concat('64:', d, strlen(count(*)::VARCHAR), ':', count(*))) AS d FROM l GROUP BY l.d), n AS (SELECT count(*) AS n FROM c),
+q AS (SELECT CASE WHEN n > 4096 THEN substr(d, 1, 1) ELSE '' END AS p, d, n FROM c, n),
+r AS (SELECT p, any_value(n) AS n, sha256(concat(count(*), '|', string_agg('64:' || d, '' ORDER BY d))) AS d FROM q GROUP BY p),
+root AS (SELECT CASE WHEN any_value(n) > 4096 THEN sha256(concat(count(*), '|', string_agg('64:' || d, '' ORDER BY d))) ELSE max(d) END AS d FROM r)
+SELECT count(*) AS files, coalesce(sum(b), 0)::BIGINT AS bytes, count(*) FILTER (text IS NULL) AS unreadable, 0::BIGINT AS oversized, count(*) FILTER (text IS NULL) = 0 AS complete, (SELECT d FROM root) AS tree_digest FROM a"""
+
+
+@query(_TREE_SQL)
+def inventory_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5, SRC18: documents as files: counts and the digest of all paths and contents."""
+    text = F.col("text")
+    rows = documents(spark, sf_dir).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), text.cast("binary").alias("content"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return readers.inventory_fingerprint(rows).select("files", "bytes", "unreadable", "oversized", "complete", "tree_digest")
