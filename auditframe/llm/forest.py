@@ -112,16 +112,14 @@ def nearest(forest: PrefixForest, ids: np.ndarray, query_ids: np.ndarray, querie
     """Per query the row numbers and products of the k largest, ties to smaller ids; never of the query's own id."""
     wanted = min(len(ids), max(k + 1, int(np.ceil(gather * k**0.2 * len(ids) ** 0.8))))
     for own, query, rows in zip(query_ids, queries, forest.candidates(queries, wanted), strict=True):
-        rough = forest.vectors[rows] @ query
-        rough[ids[rows] == own] = -np.inf
-        if len(rows) > k:
-            # all that may be among the k by exact arithmetic, ties included
-            border = np.partition(rough, len(rough) - k)[len(rough) - k]
-            near = rough >= border - 1e-9 * max(1.0, abs(border)) if np.isfinite(border) else np.isfinite(rough)
-        else:
-            near = np.isfinite(rough)
-        rows = rows[near & np.isfinite(rough)]
-        score = (forest.vectors[rows] * query).sum(axis=1)
+        rows = rows[ids[rows] != own]
+        with np.errstate(over="ignore", invalid="ignore"):  # products of finite vectors may be infinite, and their sum no number
+            rough = forest.vectors[rows] @ query
+            if len(rows) > k and np.isfinite(rough).all():
+                # all that may be among the k by exact arithmetic, ties included
+                border = np.partition(rough, len(rough) - k)[len(rough) - k]
+                rows = rows[rough >= border - 1e-9 * max(1.0, abs(border))]
+            score = (forest.vectors[rows] * query).sum(axis=1)
         best = np.lexsort((ids[rows], -score))[:k]
         yield own, rows[best], score[best]
 
@@ -172,7 +170,8 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, ga
 
     Rows with a null id, a null, empty or zero vector, or a null or non-finite component take no part;
     vectors of other lengths than a query's are compared only with their like. Every row is a
-    candidate, so a repeated one may be found repeatedly, but no row with the query's own id is;
+    candidate, so a repeated one may be found repeatedly, but no row with the query's own id is; a product beyond
+    the doubles is infinite and counts as such, one that is no number comes last;
     of queries that repeat an id the one with the least vector in array order counts. An empty table
     gives an empty result. Other columns take no part.
     """
@@ -198,5 +197,5 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, ga
     met = left.unionByName(right).repartition("b", "q", "dim").sortWithinPartitions("b", "q", "dim", "turn")
     found = met.mapInArrow(_pass_blocks(k, gather, trees), "query_id long, vec_id long, score double, n int")
     found = found.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc()))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.isnan("score"), F.col("score").desc(), F.col("vec_id").asc()))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -324,5 +324,8 @@ def test_forest_odd(spark):
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert got == {0: [(1, 1, 1.0), (2, 2, 1.0), (3, 2, 1.0), (4, 9, 0.5), (5, 40, 0.0)], 40: [(1, 9, 1.0), (2, 0, 0.0), (3, 1, 0.0), (4, 2, 0.0), (5, 2, 0.0)]}
     assert forest.search(df.limit(0)).count() == 0
+    huge = spark.createDataFrame([(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [-1e200, 0.0]), (3, [1e200, -1e200]), (4, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    found = [(r.vec_id, str(r.score)) for r in forest.search(huge).orderBy("rank").collect()]
+    assert found == [(1, "inf"), (4, "1e+200"), (2, "-inf"), (3, "nan")]
     many = spark.createDataFrame([(0, [1.0, 0.0]), *[(3, [1.0, 0.0])] * 30], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in forest.search(many).collect()] == [(k, 3) for k in range(1, 21)]
