@@ -36,7 +36,9 @@ class LineRules:
 
 
 SYMBOLS = "#*$%&|<>"
-SEPARATORS = {b"|", b">", b"\xc2\xbb", b"\xe2\x80\xba", b"\xc2\xb7", b"\xe2\x80\xa2", b"/", b"-"}
+SEPARATORS = {b"|", b">", b"\xc2\xbb", b"\xe2\x80\xba", b"\xc2\xb7", b"\xe2\x80\xa2", b"/", b"-", b"\xe2\x80\x93", b"\xe2\x80\x94"}
+#: A line that ends like a sentence is a menu only if no entry between two separators has more words.
+ENTRY_WORDS = 3
 #: Fixed phrases of page furniture in English, French, German and Spanish, in lower case.
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy",
@@ -55,6 +57,7 @@ BOILERPLATE = (
 )
 _BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _ENDS = tuple(".!?…:;\"'”’»)]。！？")
+_STOPS = tuple(".!?…。！？")
 _WS = " \t\n\r\x0b\x0c"
 _SYMBOL_BYTES = SYMBOLS.encode()
 
@@ -65,7 +68,7 @@ def line_fault(line: str, words: list[bytes], rules: LineRules) -> str | None:
     symbols = sum(map(line.count, SYMBOLS))
     if not SEPARATORS.isdisjoint(words):
         separators = sum(w in SEPARATORS for w in words)
-        if separators >= rules.min_separators and separators >= rules.separator_share * n:
+        if separators >= rules.min_separators and separators >= rules.separator_share * n and (not line.rstrip(_WS).endswith(_STOPS) or _longest_entry(words) <= ENTRY_WORDS):
             return "navigation"
     if symbols > 2 and sum(any(c in _SYMBOL_BYTES for c in w) for w in words) > rules.symbol_share * n:
         return "symbols"
@@ -81,6 +84,15 @@ def line_fault(line: str, words: list[bytes], rules: LineRules) -> str | None:
     return None
 
 
+def _longest_entry(words: list[bytes]) -> int:
+    """The most words that follow one another without a separator."""
+    longest = run = 0
+    for w in words:
+        run = 0 if w in SEPARATORS else run + 1
+        longest = max(longest, run)
+    return longest
+
+
 def repeat_words(words: list[bytes]) -> int:
     """Words that lie in a three-word window found twice or more, the first finding included."""
     n = len(words) - 2

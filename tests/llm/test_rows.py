@@ -62,6 +62,12 @@ def test_phrases_of_four_languages():
         assert rules.line_fault(line, line.encode().split(), rules.LineRules()) == "boilerplate"
 
 
+@pytest.mark.parametrize("line", ["Nike - Adidas - Puma - Reebok wrote a statement.", "Rain / snow / sun / wind came over the town on one day!"])
+def test_sentences_with_separators_are_no_menus(line):
+    assert rules.line_fault(line, line.encode().split(), rules.LineRules()) is None
+    assert rules.line_fault(line[:-1], line[:-1].encode().split(), rules.LineRules()) == "navigation"
+
+
 @pytest.mark.parametrize("separator", sorted(x.decode() for x in rules.SEPARATORS))
 def test_menus_by_every_separator(separator):
     menu = f" {separator} ".join(["Home page", "Our news", "All sports", "The weather", "Local radio", "Write us."])
