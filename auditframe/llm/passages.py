@@ -221,7 +221,8 @@ def _whole_level(before: int, window: int):
 def _survivors(keys: DataFrame) -> DataFrame:
     """(doc_id, alive): the keys of each document that a second document has, from (doc_id, keys)."""
     flat = keys.select("doc_id", F.explode("keys").alias("key"))
-    repeated = flat.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key")
+    # Written, so that both sides of the join are dealt anew and Spark can split a key of many documents.
+    repeated = materialize(flat.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key"), "repeated-keys")
     return flat.join(repeated, "key").groupBy("doc_id").agg(F.collect_set("key").alias("alive"))
 
 
@@ -242,7 +243,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_
     rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("text"))
     lengths = levels(window)
     seen = materialize(rows.mapInArrow(_first_level(lengths[0], window), "doc_id long, n_words long, seq string, keys array<long>"), "passages")
-    lowest = seen.filter("doc_id is not null").groupBy("seq").agg(F.min("doc_id").alias("rep"))
+    # Written, so that both sides of the join are dealt anew and Spark can split a large group of copies.
+    lowest = materialize(seen.filter("doc_id is not null").groupBy("seq").agg(F.min("doc_id").alias("rep")), "passage-firsts")
     ranked = materialize(seen.select("doc_id", "seq", "n_words").join(lowest, "seq", "left"), "passage-groups")
     copies = ranked.filter(F.col("doc_id") > F.col("rep")).select("doc_id", "seq").distinct()
     one = seen.filter(F.size("keys") > 0).join(ranked.filter("doc_id = rep").select("doc_id", "seq").distinct(), ["doc_id", "seq"])
@@ -275,7 +277,8 @@ def _repeated(windows: DataFrame, window: int) -> DataFrame:
     """(doc_id, seq, spans) of documents that hold windows of a smaller doc_id, from whole windows."""
     zipped = windows.select("doc_id", F.xxhash64("seq").alias("row"), F.explode(F.arrays_zip("start", "a", "b")).alias("w"))
     flat = zipped.select("doc_id", "row", "w.*")
-    lowest = flat.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("a", "b", "low")
+    # Written for the same reason as the keys of a level.
+    lowest = materialize(flat.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("a", "b", "low"), "repeated-windows")
     later = flat.join(lowest, ["a", "b"]).filter(F.col("doc_id") > F.col("low"))
     starts = later.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     of = windows.select("doc_id", "seq", F.xxhash64("seq").alias("row")).distinct()
