@@ -145,6 +145,20 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(S.rank(F.col("severity")), F.coalesce("file", F.lit("")), F.coalesce("line_start", F.lit(0)), "rule_id", "evidence")
 
 
+def first_ordered(findings: DataFrame, n: int, *ties: str) -> DataFrame:
+    """The first ``n`` findings of that order (``ties`` behind it) with their place; Spark keeps ``n`` rows a task."""
+    order = [S.rank(F.col("severity")), F.coalesce("file", F.lit("")), F.coalesce("line_start", F.lit(0)), "rule_id", "evidence", *ties]
+    first = findings.orderBy(*order).limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # n rows
+
+
+def policy_projection(findings: DataFrame, legacy: Column, current: Column) -> DataFrame:
+    """By rule how many findings either policy holds, which ones the current one lost or added, and whether it lost none."""
+    rows = findings.select("rule_id", F.coalesce(legacy, F.lit(False)).alias("l"), F.coalesce(current, F.lit(False)).alias("c"))
+    lost = F.count_if(F.col("l") & ~F.col("c"))
+    return rows.groupBy("rule_id").agg(F.count_if("l").alias("legacy"), F.count_if("c").alias("held"), lost.alias("lost"), F.count_if(F.col("c") & ~F.col("l")).alias("added"), (lost == 0).alias("kept_all"))
+
+
 # --- P2, P3, P4 scopes and lanes ----------------------------------------------------------------
 DIRECT_SCOPES = ("runtime_source", "configuration", "database_migration", "deployable_artifact", "workspace_evidence")
 SUPPORTING_SCOPES = ("benchmark", "content_data", "documentation", "example", "generated", "repository_asset", "test_fixture", "third_party")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditframe.operators import callgraph, code, migrations, scripts
+from auditframe.functions import scalars as S
+from auditframe.operators import callgraph, code, migrations, reports, scripts
 from auditframe.plans.catalogue import documents, query, table
 from auditframe.sources import readers
 from auditframe.streaming import stateful
@@ -198,3 +199,17 @@ def inventory_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     rows = documents(spark, sf_dir).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), text.cast("binary").alias("content"), F.octet_length("text").cast("long").alias("n_bytes"))
     return readers.inventory_fingerprint(rows).select("files", "bytes", "unreadable", "oversized", "complete", "tree_digest")
+
+
+_BUNDLE_SQL = """WITH a AS (SELECT l_orderkey AS subject, sha256(concat('{"l_linenumber":', l_linenumber, ',"q":"', l_quantity, '"}')) AS entry FROM lineitem),
+l AS (SELECT subject, sha256(concat('64:', entry, strlen(count(*)::VARCHAR), ':', count(*))) AS d, count(*) AS n FROM a GROUP BY subject, entry),
+p AS (SELECT subject, sum(n) AS n, sha256(concat(count(*), '|', string_agg('64:' || d, '' ORDER BY d))) AS d FROM l GROUP BY subject, substr(d, 1, 3))
+SELECT subject, sum(n)::BIGINT AS artifact_count, sha256(concat(count(*), '|', string_agg('64:' || d, '' ORDER BY d))) AS artifacts_sha256 FROM p GROUP BY 1"""
+
+
+@query(_BUNDLE_SQL)
+def bundle_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GV5, F-CANON: count and digest of the bundle of each order's lines, as SQL computes them."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("subject"), "l_linenumber", F.col("l_quantity").cast("string").alias("q"))
+    payload = S.canonical_json(F.struct(F.col("l_linenumber"), F.col("q")))
+    return reports.evidence_bundles(rows, "subject", payload).select("subject", "artifact_count", "artifacts_sha256")

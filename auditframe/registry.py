@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditframe.plans import cases, catalogue, more, packs, programs  # noqa: F401  (register their queries)
+from auditframe.plans import cases, catalogue, more, packs, programs, scalars  # noqa: F401  (register their queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
