@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.operators import access, evaluate, pii, responses, select
+from auditframe.operators import access, dependencies, evaluate, pii, responses, select
 from auditframe.plans.catalogue import query, table
 from auditframe.sources import readers
 from auditframe.streaming import session
@@ -198,3 +198,34 @@ def maximum_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order against a part of their supplier each, and one more that all of them fit."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat_ws("-", "l_linenumber", "l_suppkey").alias("l"), F.explode(F.array((F.col("l_suppkey") % 4).cast("string"), F.lit("any"))).alias("r"))
     return evaluate.bipartite_matching(rows.distinct(), ["k"], "l", "r").groupBy("k").agg(F.count("*").cast("int").alias("matched"))
+
+
+# --- payloads of dependency audits --------------------------------------------------------------------
+_PAYLOADS = (  # ecosystem, payload, lock; @ is the part
+    ("python", '{"dependencies": [{"name": "Pkg_@", "version": "1.@", "vulns": [{"id": "CVE-2024-@", "severity": "high", "fix_versions": ["2"]}, {"id": "CVE-2024-@", "severity": "high", "fix_versions": ["2"]}]}]}', None),
+    ("npm", '{"vulnerabilities": {"Left@": {"nodes": ["node_modules/left@"], "via": [{"source": @, "severity": "critical"}], "fixAvailable": true}}}', '{"packages": {"node_modules/left@": {"version": "3.@"}, "node_modules/q/node_modules/left@": {"version": "0"}}}'),
+    ("go", '{"config": {"protocol_version": "v1.0.0"}}\n{"osv": {"id": "GO-2024-@", "database_specific": {"severity": "LOW"}}}\n{"finding": {"osv": "GO-2024-@", "trace": [{"module": "m/@", "version": "v@"}]}}', None),
+    ("python", '{"dependencies": [{"name": "a", "version": "1", "vulns": [{"id": "CVE-2024-@"}]}, {"name": "b", "version": "", "vulns": []}]}', None),
+    ("npm", '{"vulnerabilities": {"a": {"via": [], "severity": "high"}}}', '{"packages": {}}'),
+    ("go", '{"config": {"protocol_version": "v1.0.0"}}\n{"finding"', None),
+)
+
+
+def _audits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k, text = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    pick = lambda n: F.element_at(F.array(*[F.lit(p[n]).cast("string") for p in _PAYLOADS]), (k % len(_PAYLOADS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(k.alias("audit_id"), pick(0).alias("ecosystem"), F.replace(pick(1), F.lit("@"), text).alias("payload"), F.replace(pick(2), F.lit("@"), text).alias("lock"))
+    return dependencies.audit_findings(rows)
+
+
+@query("""SELECT k AS audit_id, CASE k % 6 WHEN 0 THEN 'pkg-' || k WHEN 1 THEN 'left' || k ELSE 'm/' || k END AS package, CASE k % 6 WHEN 0 THEN '1.' || k WHEN 1 THEN '3.' || k ELSE 'v' || k END AS version,
+  CASE k % 6 WHEN 0 THEN 'CVE-2024-' || k WHEN 1 THEN 'NPM-' || k ELSE 'GO-2024-' || k END AS vulnerability_id, CASE k % 6 WHEN 0 THEN 'high' WHEN 1 THEN 'critical' ELSE 'low' END AS severity, k % 6 < 2 AS fixed FROM (SELECT p_partkey AS k FROM part) WHERE k % 6 < 3""")
+def audit_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D-SCA: each part as the payload of an audit in one of three forms, versions of npm from a lock."""
+    return _audits(spark, sf_dir)[0].select("audit_id", "package", "version", "vulnerability_id", "severity", "fixed")
+
+
+@query("SELECT p_partkey AS audit_id, CASE p_partkey % 6 WHEN 3 THEN 'schema' WHEN 4 THEN 'schema' WHEN 5 THEN 'malformed' ELSE 'ok' END AS status, CASE WHEN p_partkey % 6 < 3 THEN 1 ELSE 0 END::BIGINT AS n_findings FROM part")
+def audit_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D-SCA: which of those audits count, and why the others do not."""
+    return _audits(spark, sf_dir)[1].select("audit_id", "status", "n_findings")
