@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditframe.functions import scalars as S
-from auditframe.operators import callgraph, code, migrations, reports, scripts
+from auditframe.operators import callgraph, code, governance, migrations, reports, scripts
 from auditframe.plans.catalogue import documents, query, table
 from auditframe.sources import readers
 from auditframe.streaming import stateful
@@ -213,3 +213,20 @@ def bundle_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("subject"), "l_linenumber", F.col("l_quantity").cast("string").alias("q"))
     payload = S.canonical_json(F.struct(F.col("l_linenumber"), F.col("q")))
     return reports.evidence_bundles(rows, "subject", payload).select("subject", "artifact_count", "artifacts_sha256")
+
+
+_GOVERNED_SQL = f"""WITH d AS (SELECT doc_id, {_BEHIND} AS n FROM documents)
+SELECT doc_id, 'KR_DATA_UNIQUE_IDENTIFIER_CONTROL_GAP' AS rule_id, 'high' AS severity, 1::BIGINT AS n_fields, (n + 2)::INT AS first_line FROM d WHERE doc_id % 6 <> 0
+UNION ALL SELECT doc_id, 'KR_DATA_SENSITIVE_INFORMATION_CONTROL_GAP', 'high', 1, (n + 3)::INT FROM d
+UNION ALL SELECT doc_id, 'KR_DATA_ACCESS_LOG_EVIDENCE_MISSING', 'medium', 2, (n + 2)::INT FROM d WHERE doc_id % 5 <> 0"""
+
+
+@query(_GOVERNED_SQL)
+def field_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GV1: a class with two personal fields behind the text of each document, some of them encrypted, authorised or logged."""
+    d = F.col("doc_id")
+    line = lambda test, text: F.concat(F.when(test, F.lit(text)).otherwise(""), F.lit("\n"))
+    body = F.concat(F.lit("class A {\n  rrn: string\n  diagnosis: string\n"), line(d % 2 == 0, "  encrypt(rrn)"), line(d % 3 == 0, "  authorize(rrn, diagnosis)"), line(d % 5 == 0, "  audit_log(diagnosis, rrn)"), F.lit("}\n"))
+    lines = governance.code_lines(documents(spark, sf_dir).select("doc_id", F.concat(_commented("// "), body).alias("text")), ["doc_id"])
+    states = governance.control_states(governance.declared_fields(lines, ["doc_id"]), lines, ["doc_id"])
+    return governance.governance_gaps(states, ["doc_id"])
