@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditframe.functions import scalars as S
-from auditframe.operators import findings
+from auditframe.operators import code, evaluate, findings
 from auditframe.plans.catalogue import FOUND, LANE_SQL, document_findings, documents, hmac_sql, query, table
 from auditframe.session import scratch_path
 from auditframe.sources import readers, sinks
@@ -64,3 +64,29 @@ def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 200 findings of a report in its order."""
     first = findings.first_ordered(document_findings(spark, sf_dir), 200, "doc_id")
     return first.select("place", "doc_id", "rule_id", "evidence")
+
+
+@query("WITH s AS (SELECT o_orderpriority AS kind, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 4) AS recall, round(count(*) FILTER (o_orderkey % 4 = 0) / count(*), 4) AS fpr FROM orders GROUP BY 1) SELECT kind, recall, fpr, round(recall - fpr, 6) AS score FROM s")
+def benchmark_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True positive rate less false positive rate by kind of case."""
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("kind")).agg(S.rate(F.count_if(F.col("o_orderstatus") == "F"), F.count("*")).alias("recall"), S.rate(F.count_if(F.col("o_orderkey") % 4 == 0), F.count("*")).alias("fpr"))
+    return evaluate.owasp_score(rows)
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")
+def last_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user as its verdict."""
+    return evaluate.last_review(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type")
+
+
+@query("SELECT DISTINCT concat(o_custkey, '.py:', o_orderkey % 5, ':request') AS source, concat(o_custkey, '.py:', o_orderkey % 7, ':', o_orderstatus) AS target, o_orderpriority AS label FROM orders")
+def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as flows within their customer's file, each edge of the graph once."""
+    flows = table(spark, sf_dir, "orders").select(F.concat(F.col("o_custkey").cast("string"), F.lit(".py")).alias("path"), F.lit("request").alias("source_kind"), (F.col("o_orderkey") % 5).alias("source_line"), F.col("o_orderstatus").alias("sink_kind"), (F.col("o_orderkey") % 7).alias("sink_line"), F.col("o_orderpriority").alias("rule_id"))
+    return code.flow_graph(flows)[1]
+
+
+@query(f"""WITH {FOUND} SELECT concat('{{"ruleId":"', rule_id, '","level":"', CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END, '","locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"', file, '"}},"region":{{"startLine":', greatest(line_start, 1), '}}}}}}],"partialFingerprints":{{"findingHash":"', substr(sha256(concat(rule_id, '|', file, '|', line_start, '|', evidence)), 1, 16), '"}}}}') AS result FROM findings""")
+def sarif_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK2, P11: one SARIF result for each finding."""
+    return sinks.sarif_results(document_findings(spark, sf_dir))
