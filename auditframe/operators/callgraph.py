@@ -218,6 +218,8 @@ def facts(files: DataFrame, project: str = "project", path: str = "path", text:
     return python.select("project", "path", F.explode(parsed("path", "text")).alias("f")).select("project", "path", "f.*")
 
 
+#: Rounds after which the tables of the rounds so far become one.
+MERGE = 3
 _ORIGIN = ["origin", "what", "opath", "oline"]
 _TARGET = ["target", "call", "callee", "arg", "sink", "tpath", "tline"]
 
@@ -240,42 +242,44 @@ def project_flows(files: DataFrame, project: str = "project", path: str = "path"
     keys = ["project", "fid", *_ORIGIN, *_TARGET]
     steps = materialize(flows.filter("origin = 'result'").select("project", "fid", F.col("what").alias("via"), *_TARGET), "steps")
     known = materialize(flows.filter("origin != 'result'").select(*keys).distinct(), "reached")
-    fresh = known
+    fresh, given, rounds = known, None, 0
     while not fresh.isEmpty():
-        new = _followed(known, fresh, resolved, tokens, steps).select(*keys).distinct()
+        own = materialize(_arguments(fresh, resolved, tokens), "arguments")
+        given = own if given is None else given.unionByName(own)
+        new = _followed(known, fresh, own, given, resolved, steps).select(*keys).distinct()
         fresh = materialize(new.join(known, keys, "left_anti"), "reached")
         known = known.unionByName(fresh)
+        rounds += 1
+        if rounds % MERGE == 0:  # a few tables instead of one for each round keep plans short
+            known, given = materialize(known, "reached"), materialize(given, "arguments")
     rules = files.sparkSession.createDataFrame([(s, k, *r) for (s, k), r in _RULES.items()], "what string, sink string, rule_id string, severity string")
     ended = known.filter("origin = 'source' and target = 'sink'").join(F.broadcast(rules), ["what", "sink"])  # a constant of a few rows
     out = ended.select("project", "rule_id", "severity", F.col("what").alias("source_kind"), F.col("opath").alias("source_path"), F.col("oline").alias("source_line"), F.col("sink").alias("sink_kind"), F.col("tpath").alias("sink_path"), F.col("tline").alias("sink_line"))
     return out.distinct()
 
 
-def _followed(known: DataFrame, fresh: DataFrame, resolved: DataFrame, tokens: DataFrame, steps: DataFrame) -> DataFrame:
-    """What follows by one call from the rows of ``known`` of which at least one is ``fresh``."""
-    origin = [F.col(c) for c in _ORIGIN]
+def _arguments(rows: DataFrame, resolved: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Values given to a parameter of a known function, or to an unknown one (callee_fid null)."""
+    given = rows.filter("target = 'arg'").select("project", "fid", *_ORIGIN, "call", "arg")
+    return given.join(resolved.select("project", "call", "callee_fid"), ["project", "call"]).join(tokens, ["project", "callee_fid", "arg"], "left")
 
-    def arguments(rows: DataFrame) -> DataFrame:
-        """Values given to a parameter of a known function, or to an unknown one (callee_fid null)."""
-        given = rows.filter("target = 'arg'").select("project", "fid", *origin, "call", "arg")
-        return given.join(resolved.select("project", "call", "callee_fid"), ["project", "call"]).join(tokens, ["project", "callee_fid", "arg"], "left")
+
+def _followed(known: DataFrame, fresh: DataFrame, own: DataFrame, given: DataFrame, resolved: DataFrame, steps: DataFrame) -> DataFrame:
+    """What follows by one call from the rows of ``known`` of which at least one is ``fresh``; ``own`` and ``given`` are the arguments of both."""
 
     def summaries(rows: DataFrame) -> DataFrame:
         """What parameters reach, beside further calls."""
         reach = rows.filter("origin = 'param' and target in ('return', 'sink')")
         return reach.select("project", F.col("fid").alias("callee_fid"), F.col("what").alias("param"), "target", "sink", "tpath", "tline")
 
-    results, inside = [], []
-    for args, reach in ((arguments(fresh), summaries(known)), (arguments(known), summaries(fresh))):
-        met = args.join(reach, ["project", "callee_fid", "param"])
-        results.append(met.filter("target = 'return'").select("project", "fid", *origin, "call"))
-        inside.append(met.filter("target = 'sink'").select("project", "fid", *origin, "target", F.lit("").alias("call"), F.lit("").alias("callee"), F.lit("").alias("arg"), "sink", "tpath", "tline"))
-    unknown = arguments(fresh).filter("callee_fid is null").select("project", "fid", *origin, "call")
-    given_out = fresh.filter("origin = 'source' and target = 'return'").select("project", F.col("fid").alias("callee_fid"), *origin)
-    sources = resolved.select("project", "fid", "call", "callee_fid").join(given_out, ["project", "callee_fid"]).select("project", "fid", *origin, "call")
-    carried = unknown.unionByName(sources)
-    for more in results:
-        carried = carried.unionByName(more)
-    onward = carried.distinct().withColumnRenamed("call", "via").join(steps, ["project", "fid", "via"]).drop("via")
+    on = ["project", "callee_fid", "param"]
+    met = materialize(own.join(summaries(known), on).unionByName(given.join(summaries(fresh), on)), "calls-met")
+    returned = met.filter("target = 'return'").select("project", "fid", *_ORIGIN, "call")
+    inside = met.filter("target = 'sink'").select("project", "fid", *_ORIGIN, "target", F.lit("").alias("call"), F.lit("").alias("callee"), F.lit("").alias("arg"), "sink", "tpath", "tline")
+    unknown = own.filter("callee_fid is null").select("project", "fid", *_ORIGIN, "call")
+    given_out = fresh.filter("origin = 'source' and target = 'return'").select("project", F.col("fid").alias("callee_fid"), *_ORIGIN)
+    sources = resolved.select("project", "fid", "call", "callee_fid").join(given_out, ["project", "callee_fid"]).select("project", "fid", *_ORIGIN, "call")
+    carried = returned.unionByName(unknown).unionByName(sources)
     # The result of an unknown call may be an argument of the next one: steps chain within a function by further rounds.
-    return onward.unionByName(inside[0]).unionByName(inside[1])
+    onward = carried.distinct().withColumnRenamed("call", "via").join(steps, ["project", "fid", "via"]).drop("via")
+    return onward.unionByName(inside)
