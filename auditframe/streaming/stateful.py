@@ -84,7 +84,7 @@ def correlate(events: DataFrame, delay: str = "60 seconds", processing_time: boo
 
 
 class Pending(StatefulProcessor):
-    """Open requests of a session by id; a timer for each tells of an answer that does not come."""
+    """The open request of a session and id; its timer tells of an answer that does not come."""
 
     OUT = "session string, request_id string, state string, asked_at timestamp, answered_at timestamp"
 
@@ -93,38 +93,43 @@ class Pending(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "id string", "us long")
+        self.open = handle.getValueState("open", "us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         own = pd.concat(list(rows))
+        if key[1] is None:  # only moves the watermark
+            yield _states([])
+            return
         own["us"] = own["ts"].astype("datetime64[us]").astype("int64")
         out = []
         limit = self.limit_s * 1_000_000
+        before = asked = self.open.get()[0] if self.open.exists() else None
         for r in own.sort_values(["us", "is_response", "seq"]).itertuples(index=False):
-            if r.request_id is None:
-                continue
-            asked = self.open.getValue((r.request_id,))[0] if self.open.containsKey((r.request_id,)) else None
             in_time = asked is not None and r.us - asked <= limit
             if r.is_response:
                 state = "answered" if in_time else "late_response" if asked is not None else "unknown_response"
-                if asked is not None:
-                    if not in_time:
-                        out.append((key[0], r.request_id, "response_timeout", asked, None))
-                    self.open.removeKey((r.request_id,))
-                out.append((key[0], r.request_id, state, asked, r.us))
+                if asked is not None and not in_time:
+                    out.append((*key, "response_timeout", asked, None))
+                out.append((*key, state, asked, int(r.us)))
+                asked = None
             else:
                 if asked is not None:
-                    out.append((key[0], r.request_id, "superseded" if in_time else "response_timeout", asked, None))
-                self.open.updateValue((r.request_id,), (int(r.us),))
-                self.handle.registerTimer((int(r.us) + limit) // 1000 + 1)
+                    out.append((*key, "superseded" if in_time else "response_timeout", asked, None))
+                asked = int(r.us)
+        if asked is None:
+            if before is not None:
+                self.open.clear()
+        elif asked != before:
+            self.open.update((asked,))
+            self.handle.registerTimer((asked + limit) // 1000 + 1)
         yield _states(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        gone = [(k[0], v[0]) for k, v in self.open.iterator() if v[0] + self.limit_s * 1_000_000 < now]
-        for request_id, _ in gone:
-            self.open.removeKey((request_id,))
-        yield _states([(key[0], request_id, "response_timeout", asked, None) for request_id, asked in gone])
+        asked = self.open.get()[0] if self.open.exists() else None
+        gone = asked is not None and asked + self.limit_s * 1_000_000 < expiredTimerInfo.getExpiryTimeInMs() * 1000
+        if gone:  # a timer of an earlier request finds a later one still in time
+            self.open.clear()
+        yield _states([(*key, "response_timeout", asked, None)] * gone)
 
     def close(self) -> None:
         pass
@@ -143,11 +148,11 @@ def pending_requests(messages: DataFrame, delay: str = "60 seconds", limit_s: in
     ``answered`` within ``limit_s`` seconds, ``response_timeout`` (told by a timer when the watermark passes
     the limit, or before that by a later message of the same id), ``superseded`` by a request of the same id, and of responses without an
     open request ``late_response`` or ``unknown_response``. Equal times: requests first, then by seq. Null ids
-    only move the watermark.
+    only move the watermark. State is kept for each session and id, so a busy session is many keys.
     """
     use_rocksdb(messages.sparkSession)
     rows = messages.select(F.col("session").cast("string").alias("session"), F.col("request_id").cast("string").alias("request_id"), "is_response", "ts", F.col("seq").cast("long").alias("seq"))
-    return rows.withWatermark("ts", delay).groupBy("session").transformWithStateInPandas(Pending(limit_s), Pending.OUT, "Append", "EventTime")
+    return rows.withWatermark("ts", delay).groupBy("session", "request_id").transformWithStateInPandas(Pending(limit_s), Pending.OUT, "Append", "EventTime")
 
 
 def pending_batch(messages: DataFrame, limit_s: int = LIMIT_S) -> DataFrame:
