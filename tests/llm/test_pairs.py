@@ -45,6 +45,12 @@ def test_op1_by_brute_force(spark, data):
     assert got == want
 
 
+@pytest.fixture(params=[candidates.BROADCAST_IDS, 0], ids=["ids broadcast", "ids shuffled"])
+def both_ways(request, monkeypatch):
+    """Texts meet the wanted ids by a broadcast or by a shuffle; results are the same."""
+    monkeypatch.setattr(candidates, "BROADCAST_IDS", request.param)
+
+
 def near_copies(n, seed=4):
     rnd = random.Random(seed)
     words = [f"w{k}" for k in range(2000)]
@@ -58,7 +64,7 @@ def near_copies(n, seed=4):
     return rows + [(n + k, " ".join(rnd.choice(words) for _ in range(80))) for k in range(30)]
 
 
-def test_op1_large_group(spark):
+def test_op1_large_group(spark, both_ways):
     rows = near_copies(300)
     want = parts([i for i, _ in rows], {i: shingle_set(t) for i, t in rows})
     got = {r.doc_id: r.class_id for r in dart.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
