@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -164,14 +165,16 @@ def classes(bands: DataFrame, texts: DataFrame, sets: Sets, similarity: float, h
     def of(known: DataFrame, name: str, to: str) -> DataFrame:
         return known.select(F.col("id").alias(name), F.col("component").alias(to))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(needed.select(F.col("id").alias(side), F.col("sketch").alias(f"s{side}")), side)
-        likely = materialize(pairs.select("a", "b", "sa", "sb").mapInArrow(_likely, "a long, b long"), "likely")
+    def compared(likely: DataFrame) -> DataFrame:
         with_a = likely.join(needed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         both = with_a.join(needed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_compare(sets, similarity), "u long, v long"), "links")
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(needed.select(F.col("id").alias(side), F.col("sketch").alias(f"s{side}")), side)
+        return compared(materialize(pairs.select("a", "b", "sa", "sb").mapInArrow(_likely, "a long, b long"), "likely"))
+
     links = linked(hub_pairs)
     if twin_of is not None:
         links = links.unionByName(needed.select(F.col("id").alias("u"), twin_of.alias("v")).filter("v is not null"))
@@ -185,8 +188,14 @@ def classes(bands: DataFrame, texts: DataFrame, sets: Sets, similarity: float, h
     if outside.isEmpty():
         return known
     later = found.filter("b is null").select("key", F.col("a").alias("other"))
-    met = outside.join(later, "key").select(F.col("id").alias("a"), F.col("other").alias("b")).filter("a != b").select(*pair).distinct()
-    more = linked(met.join(hub_pairs, ["a", "b"], "left_anti"))
+    # A run's later hubs come with their sketches as one row, so an outsider is a row here, not one for each hub
+    # that it meets: only pairs whose sketches agree become rows.
+    marks = needed.select("id", "sketch")
+    ahead = later.join(outside.select("key").distinct(), "key", "left_semi").join(marks.withColumnRenamed("id", "other"), "other")
+    ahead = ahead.groupBy("key").agg(F.collect_list(F.struct("other", "sketch")).alias("ahead"))
+    met = outside.select("key", "id").join(ahead, "key").join(marks, "id").select("id", "sketch", "ahead").mapInArrow(_meet, "a long, b long")
+    met = materialize(met.distinct().join(hub_pairs, ["a", "b"], "left_anti"), "likely")
+    more = compared(met)
     if not more.isEmpty():
         known = extended(known, more)
     hub = members.select("key", F.col("a").alias("hub"), F.col("b").alias("id"))
@@ -275,6 +284,20 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((sides[0] == sides[1]).sum(axis=1) >= SKETCH_LEAST))
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads outsiders (id, sketch, ahead: the later hubs of its run with their sketches); gives the likely pairs."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n = pc.list_value_length(batch.column("ahead")).to_numpy()
+        flat = batch.column("ahead").flatten()
+        a, b = np.repeat(batch.column("id").to_numpy(), n), flat.field(0).to_numpy()
+        own, other = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, SKETCH) for x in (batch.column("sketch"), flat.field(1)))
+        likely = ((own[np.repeat(np.arange(len(n)), n)] == other).sum(axis=1) >= SKETCH_LEAST) & (a != b)
+        a, b = a[likely], b[likely]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def jaccard_pairs(left: list[str], right: list[str], sets: Sets) -> np.ndarray:
     """Exact (weighted) Jaccard similarity of texts, pair by pair; 0 for two empty sets."""
     owner, elements, weight = sets([t for pair in zip(left, right, strict=True) for t in pair])

@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from auditframe.llm import candidates, components, dart, forest, lines, queries
@@ -335,3 +336,17 @@ def test_forest_odd(spark):
     assert found == [(1, "inf"), (4, "1e+200"), (2, "-inf"), (3, "nan")]
     many = spark.createDataFrame([(0, [1.0, 0.0]), *[(3, [1.0, 0.0])] * 30], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in forest.search(many).collect()] == [(k, 3) for k in range(1, 21)]
+
+
+def test_outsiders_meet_later_hubs_without_a_row_for_each():
+    """Outsiders of runs become pair rows only where sketches agree, whatever the runs hold."""
+    met = []
+    mark = lambda x: bytes([x] * candidates.SKETCH)
+    near = bytes([1] * candidates.SKETCH_LEAST + [9] * (candidates.SKETCH - candidates.SKETCH_LEAST))
+    far = bytes([1] * (candidates.SKETCH_LEAST - 1) + [9] * (candidates.SKETCH - candidates.SKETCH_LEAST + 1))
+    ahead = [{"other": 7, "sketch": near}, {"other": 8, "sketch": far}, {"other": 2, "sketch": mark(1)}, {"other": 1, "sketch": mark(1)}]
+    kind = pa.schema([("id", pa.int64()), ("sketch", pa.binary()), ("ahead", pa.list_(pa.struct([("other", pa.int64()), ("sketch", pa.binary())])))])
+    rows = pa.RecordBatch.from_pylist([{"id": 2, "sketch": mark(1), "ahead": ahead}, {"id": 3, "sketch": mark(5), "ahead": ahead}, {"id": 9, "sketch": mark(9), "ahead": ahead[:1]}], schema=kind)
+    for batch in candidates._meet([rows.slice(0, 0), rows, rows.slice(1, 2)]):
+        met += [tuple(r.values()) for r in batch.to_pylist()]
+    assert met == [(2, 7), (1, 2)]
