@@ -101,26 +101,56 @@ def encode_plain(texts: list[str], cut: Callable[[np.ndarray], np.ndarray], look
     cp = np.frombuffer(joined.encode("utf-32-le"), "<u4")
     starts = cut(cp)
     kinds = CLASSES[cp[starts]]
+    keep = kinds != BORDER
+    if drop_space:
+        keep &= kinds != SPACE
     at = starts.astype(np.int32) if len(raw) == len(cp) else (np.cumsum(1 + (cp >= 0x80), dtype=np.int32) - (1 + (cp >= 0x80)).astype(np.int32))[starts]
-    offsets = np.append(at, np.int32(len(raw)))
-    pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+    width = np.diff(at, append=np.int32(len(raw)))
+    # Only kept pieces are looked at from here on; the others' bytes are left out.
+    body = np.frombuffer(raw, np.uint8)[np.repeat(keep, width)]
+    offsets = np.zeros(int(keep.sum()) + 1, np.int32)
+    np.cumsum(width[keep], out=offsets[1:])
+    pieces = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(body)).dictionary_encode()
     which = pieces.indices.to_numpy(zero_copy_only=False)
-    distinct = pieces.dictionary.to_pylist()
-    border = kinds == BORDER
-    kind_of = np.zeros(len(distinct), np.uint8)
-    kind_of[which] = kinds
-    blank = np.array([p.isspace() for p in distinct]) if drop_space else np.zeros(len(distinct), bool)
-    blank |= kind_of == BORDER
-    wanted = np.flatnonzero(~blank).tolist()
-    codes = [b""] * len(distinct)
-    for k, code in zip(wanted, lookup([distinct[k] for k in wanted]), strict=True):
-        codes[k] = code
-    sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+    codes = lookup(pieces.dictionary.to_pylist())
+    sizes = np.fromiter(map(len, codes), np.int32, len(codes)) // 4
     flat = np.frombuffer(b"".join(codes), "<u4")
-    first = np.cumsum(sizes) - sizes
+    first = np.cumsum(sizes, dtype=np.int32) - sizes
     n = sizes[which]
-    ends = np.cumsum(n)
+    ends = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(n, out=ends[1:])
     total = int(ends[-1])
-    ids = flat[np.repeat(first[which] - (ends - n), n) + np.arange(total)].tobytes() if total else b""
-    cuts = [0, *(4 * ends[border]).tolist(), 4 * total]
+    ids = flat[np.repeat(first[which] - ends[:-1].astype(np.int32), n) + np.arange(total, dtype=np.int32)].tobytes() if total else b""
+    cuts = [0, *(4 * ends[np.cumsum(keep)[kinds == BORDER]]).tolist(), 4 * total]
     return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+class Ages:
+    """A bounded cache of pieces' ids in two ages: when the younger is full it becomes the older, whose pieces
+    come back as they are met again. So frequent pieces outlast many that are met once."""
+
+    def __init__(self, entries: int) -> None:
+        self.most = entries // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def lookup(self, pieces: list[str], learn: Callable[[list[str], dict[str, bytes]], None]) -> list[bytes]:
+        """Ids of distinct pieces; ``learn(unseen, into)`` encodes those that are in neither age."""
+        found = list(map(self.young.get, pieces))
+        if None in found:
+            gaps = [k for k, ids in enumerate(found) if ids is None]
+            if len(self.young) + len(gaps) > self.most:
+                self.young, self.old = {}, self.young
+            young, old, unseen = self.young, self.old, []
+            for k in gaps:
+                piece = pieces[k]
+                ids = old.get(piece)
+                if ids is None:
+                    unseen.append(piece)
+                else:
+                    young[piece] = found[k] = ids
+            learn(unseen, young)
+            for k in gaps:
+                if found[k] is None:
+                    found[k] = young[pieces[k]]
+        return found

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditframe.llm.common import text_slices
-from auditframe.llm.pieces import cut_words, encode_plain, not_plain
+from auditframe.llm.common import kept, text_slices
+from auditframe.llm.pieces import Ages, cut_words, encode_plain, not_plain
 from auditframe.session import materialize, scratch_path, ship
 
 MAGIC = b"TPLANES1"
@@ -188,7 +188,7 @@ def write_planes(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], li
         name = f"{root}/part-{part:05d}.planes"
         own = f"{name}.{context.taskAttemptId()}.tmp"
         try:
-            for piece in text_slices(batches, "text", 2 << 20):
+            for piece in text_slices(batches, "text", 2 << 20, keeps=_tokenizers):
                 if writer is None:
                     system.create_dir(root, recursive=True)
                     stream = system.open_output_stream(own)
@@ -243,7 +243,7 @@ def read_planes(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame
 
 # --- encoding by the tokenizers library -------------------------------------------------------
 
-#: Words kept by a worker before its cache is emptied.
+#: Words that a worker keeps.
 CACHE_WORDS = 700_000
 
 
@@ -265,34 +265,29 @@ class WordTokenizer:
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        self.cache: dict[str, bytes] = {}
+        self.cache = Ages(CACHE_WORDS)
 
     def whole(self, text: str) -> bytes:
         """The library's ids of the text itself."""
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
+        words = sorted(words)
         for a in range(0, len(words), 20_000):
             part = words[a : a + 20_000]
             ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) != len(part) or ends[-1] != len(ids):  # not the expected shape: one by one
-                self.cache.update((w, self.whole(w)) for w in part)
+                into.update((w, self.whole(w)) for w in part)
                 continue
             raw, at = ids.tobytes(), 0
             for word, end in zip(part, (4 * ends).tolist(), strict=True):
-                self.cache[word] = raw[at:end]
+                into[word] = raw[at:end]
                 at = end
 
     def lookup(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words."""
-        found = list(map(self.cache.get, words))
-        if None in found:
-            if len(self.cache) + len(words) > CACHE_WORDS:
-                self.cache.clear()
-            self._learn(sorted(w for w, ids in zip(words, found, strict=True) if ids is None))
-            found = [self.cache[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-        return found
+        return self.cache.lookup(words, self._learn)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         low = [t.lower() for t in texts]
@@ -301,7 +296,7 @@ class WordTokenizer:
         return [np.frombuffer((next(cut) if p else self.whole(t)) + self.end, "<u4") for t, p in zip(texts, plain, strict=True)]
 
 
-_tokenizers: dict[tuple[int, int | None], WordTokenizer] = {}
+_tokenizers: dict[tuple[int, int | None], WordTokenizer] = kept()
 
 
 def word_encoder(spark: SparkSession, model_path: str, end_id: int | None = 1) -> Callable[[], WordTokenizer]:

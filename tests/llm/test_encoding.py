@@ -136,3 +136,17 @@ def test_odd_tables(spark, exact):
         assert bpe.bpe_encode(table, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
         files, folder = planes.encode_to_planes(table, P.path("word_bpe_49k.json"))
         assert planes.read_planes(spark, files, folder).count() == 0
+
+
+def test_frequent_words_outlast_rare_ones(library, monkeypatch):
+    """A full cache keeps the words it still meets, so they go to the library once."""
+    monkeypatch.setattr(planes, "CACHE_WORDS", 40)
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        words = planes.WordTokenizer(file.read(), None)
+    asked, learn = [], words._learn
+    words._learn = lambda unseen, into: (asked.extend(unseen), learn(unseen, into))[1]
+    for k in range(30):
+        text = f"the frequent word  and\n\tothers rare{'abcdefghijklmnopqrstuvwxyz'[k % 26] * (1 + k)}"
+        assert words([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked.count("frequent") == 1 and not any(w.isspace() for w in asked)
+    assert len(words.cache.young) + len(words.cache.old) <= 40
