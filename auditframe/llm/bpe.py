@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from auditframe.llm.common import text_slices
-from auditframe.llm.pieces import cut_gpt, encode_plain, not_plain
+from auditframe.llm.common import kept, text_slices
+from auditframe.llm.pieces import Ages, cut_gpt, encode_plain, not_plain
 from auditframe.session import ship
 
-#: Entries that a worker's caches may hold before they are emptied.
+#: Entries that a worker's caches may hold.
 CACHE_ENTRIES = 250_000
 PAIR_ENTRIES = 200_000
 #: The pattern that ``pieces.cut_gpt`` knows (a fixed value of the vocabulary).
@@ -42,6 +42,16 @@ class PrefixBPE:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
+        # Tokens by their bytes from the last to the first: (node << 8 | byte) to the next node, and each node's token.
+        self.step: dict[int, int] = {}
+        self.ends: list[int | None] = [None]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in reversed(token):
+                node = self.step.setdefault(node << 8 | byte, len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(None)
+            self.ends[node] = rank
         self._parents: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
         self._left: dict[int, list[int]] = {}
@@ -119,11 +129,15 @@ class PrefixEncoder:
 
     def _token_at(self, end: int) -> int:
         piece, last, bpe = self.piece, self.last, self.bpe
-        get, pairs = bpe.ranks.get, bpe._pairs
-        for start in range(max(0, end - bpe.longest), end):
-            token = get(piece[start:end])
-            if token is None:
-                continue
+        step, ends, pairs = bpe.step.get, bpe.ends, bpe._pairs
+        node, found = 0, []
+        for start in range(end - 1, -1, -1):
+            node = step(node << 8 | piece[start])
+            if node is None:
+                break
+            if ends[node] is not None:
+                found.append((start, ends[node]))
+        for start, token in reversed(found):  # the longest first
             if not start:
                 return token
             before = last[start - 1]
@@ -183,11 +197,11 @@ class PieceCodec:
         self.bpe, self.find = PrefixBPE(ranks), regex.compile(pattern).findall
         self.cut = cut_gpt if pattern == GPT_PATTERN else None  # other patterns: the regular expression itself
         self.packed = {rank: rank.to_bytes(4, "little") for rank in ranks.values()}
-        self.cache: dict[str, bytes] = {}
+        self.cache = Ages(CACHE_ENTRIES)
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str], cache: dict[str, bytes]) -> None:
         """Encode unseen pieces in byte order: a piece only appends to the prefix it shares with the one before."""
-        ranks, cache, packed = self.bpe.ranks, self.cache, self.packed
+        ranks, packed = self.bpe.ranks, self.packed
         encoder = PrefixEncoder(self.bpe)
         for raw, piece in sorted((p.encode("utf-8", "surrogatepass"), p) for p in pieces):
             whole = ranks.get(raw)
@@ -203,13 +217,7 @@ class PieceCodec:
 
     def lookup(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces."""
-        found = list(map(self.cache.get, pieces))
-        if None in found:
-            if len(self.cache) + len(pieces) > CACHE_ENTRIES:
-                self.cache.clear()
-            self.learn([p for p, ids in zip(pieces, found, strict=True) if ids is None])
-            found = [self.cache[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
-        return found
+        return self.cache.lookup(pieces, self.learn)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -226,7 +234,7 @@ class PieceCodec:
         return b"".join(map(self.bpe.token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_codecs: dict[tuple[int, str], PieceCodec] = {}
+_codecs: dict[tuple[int, str], PieceCodec] = kept()
 
 
 def _codec(ranks: dict[bytes, int], key: int, pattern: str) -> PieceCodec:
@@ -259,7 +267,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, key, pattern)
-        for part in text_slices(batches, text, 2 << 20):
+        for part in text_slices(batches, text, 2 << 20, keeps=_codecs):
             out = codec.encode([t or "" for t in part.column(text).to_pylist()])
             columns = [*part.columns, pa.array(out, pa.binary())]
             if decoded:

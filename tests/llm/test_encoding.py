@@ -150,3 +150,14 @@ def test_frequent_words_outlast_rare_ones(library, monkeypatch):
         assert words([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
     assert asked.count("frequent") == 1 and not any(w.isspace() for w in asked)
     assert len(words.cache.young) + len(words.cache.old) <= 40
+
+
+def test_frequent_pieces_outlast_rare_ones(exact, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 40)
+    codec = bpe.PieceCodec(RANKS, P.PATTERN)
+    asked, learn = [], codec.learn
+    codec.learn = lambda unseen, into: (asked.extend(unseen), learn(unseen, into))[1]
+    for k in range(30):
+        text = f"the frequentpiece  and\n\tothers rare{'abcdefghijklmnopqrstuvwxyz'[k % 26] * (1 + k)}"
+        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == exact.encode_ordinary(text)
+    assert asked.count(" frequentpiece") == 1
