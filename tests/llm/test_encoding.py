@@ -161,3 +161,14 @@ def test_frequent_pieces_outlast_rare_ones(exact, monkeypatch):
         text = f"the frequentpiece  and\n\tothers rare{'abcdefghijklmnopqrstuvwxyz'[k % 26] * (1 + k)}"
         assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == exact.encode_ordinary(text)
     assert asked.count(" frequentpiece") == 1
+
+
+def test_other_operators_empty_kept_encoders():
+    from auditframe.llm import common
+
+    rows = common.pa.RecordBatch.from_pydict({"text": ["a"]})
+    own = bpe._codec(RANKS, 1, P.PATTERN)
+    list(common.text_slices([rows], keeps=bpe._codecs))
+    assert bpe._codecs[(1, P.PATTERN)] is own
+    list(common.text_slices([rows]))
+    assert not bpe._codecs
