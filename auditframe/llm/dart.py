@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditframe.llm.candidates import classes, sampled
+from auditframe.llm.candidates import Bands, classes, sampled
 from auditframe.llm.common import mix64, text_slices, unit
 from auditframe.session import materialize, ship
 
@@ -190,12 +190,10 @@ def dart_signatures(owner: np.ndarray, elements: np.ndarray, weights: np.ndarray
 
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key for each set and band."""
-    keys = np.zeros((len(signature), bands), np.uint64)
-    for b in range(bands):
-        h = np.full(len(signature), b + 1, np.uint64)
-        for r in range(rows):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + signature[:, b * rows + r], r)
-        keys[:, b] = h
+    of_bands = signature[:, : bands * rows].reshape(-1, bands, rows)
+    keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None, :], len(signature), axis=0)
+    for r in range(rows):
+        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + of_bands[:, :, r], r)
     return keys
 
 
@@ -243,8 +241,8 @@ def _linked(docs: DataFrame, params: DartParams, body: Column) -> DataFrame:
         owner, elements, count = weighted_sets(both, params.words)
         return owner, elements, count if params.weighted else np.ones(len(count), np.int64)
 
-    bands = lambda rows: rows.mapInArrow(_text_bands(params), "key long, id long")
-    return classes(bands(texts), texts, sets, params.similarity, sample=bands(sampled(texts, F.col("text"))))
+    found = _text_bands(params)
+    return classes(Bands(texts, found), texts, sets, params.similarity, sample=sampled(texts, F.col("text")).mapInArrow(found, "key long, id long"))
 
 
 def near_duplicates(docs: DataFrame, params: DartParams | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -350,3 +350,60 @@ def test_outsiders_meet_later_hubs_without_a_row_for_each():
     for batch in candidates._meet([rows.slice(0, 0), rows, rows.slice(1, 2)]):
         met += [tuple(r.values()) for r in batch.to_pylist()]
     assert met == [(2, 7), (1, 2)]
+
+
+def test_band_rows_are_dealt_as_one_value_for_each_bucket():
+    """Rows of (key, id) move by the bucket, not one by one; a hot key is dealt over several buckets."""
+    rng = np.random.default_rng(6)
+    keys, ids = rng.integers(-50, 50, 4000), rng.integers(-(1 << 62), 1 << 62, 4000)
+    keys[:1000] = 7
+    table = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "id"])
+    for hot in (np.zeros(0, np.int64), np.array([-999, 7])):
+        dealt = list(candidates._dealt(None, 16, hot)(iter([table.slice(0, 100), table.slice(100, 0), table.slice(100)])))
+        assert sum(b.num_rows for b in dealt) <= 16
+        got, places = [], collections.defaultdict(set)
+        for b in dealt:
+            for k in range(b.num_rows):
+                for part in candidates._undealt([b.slice(k, 1)]):
+                    got += zip(part.column("key").to_pylist(), part.column("id").to_pylist(), strict=True)
+                    for key in part.column("key").to_pylist():
+                        places[key].add(b.column("bucket")[k].as_py())
+        assert sorted(got) == sorted(zip(keys.tolist(), ids.tolist(), strict=True))
+        assert {k for k, v in places.items() if len(v) > 1} == ({7} if len(hot) else set())
+    assert not list(candidates._dealt(None, 16, hot)(iter([])))
+
+
+def test_plain_jaccard_is_jaccard():
+    params = lines.LineParams()
+    rnd = random.Random(3)
+    texts = ["", "", "short", "\n" + "twin of a line " * 6, *("".join(rnd.choice("ab ") for _ in range(rnd.choice((10, 79, 80, 200)))) for _ in range(60))]
+    left, right = texts, [rnd.choice((t, t[3:] + "a", rnd.choice(texts))) for t in texts]
+    for a, b in ((left, right), (left[:2], right[:2]), (["", "x" * 30], ["", "x" * 31]), ([], [])):
+        plain = candidates.plain_jaccard(a, b, lambda x: lines.line_elements(x, params))
+        assert plain.tolist() == (candidates.jaccard_pairs(a, b, lambda x: lines.line_sets(x, params)).tolist() if a else [])
+
+
+def test_settling_makes_sets_only_where_sketches_agree():
+    read = []
+
+    def sets(texts):
+        read.extend(texts)
+        return number_sets(texts)
+
+    span = lambda a, b: " ".join(map(str, range(a, b)))
+    rows = [(0, 1, span(0, 40), 1), (0, 2, span(500, 540), 2), (1, 3, span(2, 42), 1), (1, 4, span(900, 940), 7), (1, 5, span(501, 541), 2)]
+    batch = pa.RecordBatch.from_pylist([{"c": 9, "chunks": 0, "shares": 0, "turn": t, "id": i, "own": i, "text": x, "sketch": bytes([m] * candidates.SKETCH)} for t, i, x, m in rows])
+    far = pa.RecordBatch.from_pylist([r | {"c": 10, "sketch": bytes([50 + k] * candidates.SKETCH)} for k, r in enumerate(batch.to_pylist())])
+    for parts in ([batch], [batch.slice(k, 1) for k in range(batch.num_rows)], [far, batch]):
+        read.clear()
+        got = [tuple(r.values()) for b in candidates._past_outsiders(sets, 0.8)(iter(parts)) for r in b.to_pylist()]
+        assert sorted(got) == [(1, 3), (2, 5)] and span(900, 940) not in read and sorted(read) == sorted({*read})
+
+
+def test_named_lines_are_sparks_hashes(spark):
+    rows = [(1, "a line of more than twenty\n\n  \nbrief\n" + "é" * 20), (2, None), (3, ""), (None, " " * 25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {x: h for x, h in docs.selectExpr("explode(split(text, '\n', -1)) as x").selectExpr("x", "xxhash64(x)").collect()}
+    got = {r.doc_id: (r.ids, r.brief) for r in lines.named_lines(docs, lines.LineParams(), "text", "doc_id").collect()}
+    full, brief, accents, wide = (want[x] for x in ("a line of more than twenty", "brief", "é" * 20, " " * 25))
+    assert got == {1: ([full, None, None, brief, accents], [False, True, True, True, False]), 2: ([], []), 3: ([None], [True]), None: ([wide], [False])}
