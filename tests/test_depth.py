@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from auditframe import registry
 from auditframe.operators import agent_config, redact, reports, setdigest
 from auditframe.sources import readers
+from tests.compare import same
 
 
 # --- set digests
@@ -47,6 +49,12 @@ def test_inventory_counts_and_paths(spark):
     assert readers.inventory_fingerprint(spark.createDataFrame([], schema)).first().files == 0
 
 
+def test_inventory_tree_of_many_files_equals_sql(spark, data, monkeypatch):
+    monkeypatch.setattr(setdigest, "FAN", 8)  # 200 documents are more than 16 x FAN, so places of one digit are longer than FAN
+    sql = registry.oracle_sql()["inventory_tree"].replace("4096", "8")
+    same(registry.queries()["inventory_tree"](spark, data), sql, data)
+
+
 def test_bundles_do_not_depend_on_order(spark):
     rows = [("s", str(i % 7)) for i in range(40)] + [("t", "x")]
     make = lambda r, n: {x.subject: x.artifacts_sha256 for x in reports.evidence_bundles(spark.createDataFrame(r, "subject string, p string").repartition(n), "subject", F.col("p")).collect()}
