@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditframe.functions import scalars as S
+from auditframe.session import ship
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str, by: str | None = None) -> DataFrame:
@@ -138,34 +142,72 @@ def assign_cases(matches: DataFrame) -> DataFrame:
 
 
 def bipartite_matching(edges: DataFrame, key: list[str], left: str, right: str) -> DataFrame:
-    """A maximum matching within each key, by augmenting paths in the order of ids."""
-    schema = ", ".join([*(f"{k} {dict(edges.dtypes)[k]}" for k in key), f"{left} {dict(edges.dtypes)[left]}", f"{right} {dict(edges.dtypes)[right]}"])
+    """A maximum matching within each key, by augmenting paths in the order of ids. Edges without one of their ends take no part.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = {a: sorted(set(g[right])) for a, g in pdf.groupby(left)}
-        owner, mate = {}, {}
-        for start in sorted(near):
-            # An augmenting path by breadth, so that depth is not bound by recursion.
-            before, queue, seen, end = {}, [start], set(), None
-            for a in queue:
-                for b in near[a]:
-                    if b in seen:
-                        continue
-                    seen.add(b)
-                    before[b] = a
-                    if b not in owner:
-                        end = b
-                        break
-                    queue.append(owner[b])
-                if end is not None:
+    Keys are dealt over tasks and follow one another in a task, so that small keys cost no more than their edges; a task
+    holds the edges of one key at a time.
+    """
+    ship(edges.sparkSession)
+    kinds = dict(edges.dtypes)
+    names = [*key, left, right]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, near, out, kind = None, {}, [], None
+
+        def end() -> None:
+            out.extend([(*at, a, b) for a, b in matched(near)] if at is not None else [])
+
+        for batch in batches:
+            kind = batch.schema
+            for *k, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if k != at:
+                    end()
+                    at, near = k, {}
+                own = near.setdefault(a, [])
+                if not own or own[-1] != b:
+                    own.append(b)
+            if len(out) >= 10_000:
+                yield _batch(out, kind)
+                out.clear()
+        end()
+        if out:
+            yield _batch(out, kind)
+
+    rows = edges.select(*names).filter(F.col(left).isNotNull() & F.col(right).isNotNull())
+    return rows.repartition(*key).sortWithinPartitions(*names).mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def matched(near: dict) -> list[tuple]:
+    """The pairs of a maximum matching of lefts with their rights (``near``, rights in order), by right."""
+    owner, mate = {}, {}
+    for start in sorted(near):
+        free = next((b for b in near[start] if b not in owner), None)
+        if free is not None:  # the shortest augmenting path
+            owner[free], mate[start] = start, free
+            continue
+        # An augmenting path by breadth, so that depth is not bound by recursion.
+        before, queue, seen, end = {}, [start], set(), None
+        for a in queue:
+            for b in near[a]:
+                if b in seen:
+                    continue
+                seen.add(b)
+                before[b] = a
+                if b not in owner:
+                    end = b
                     break
-            while end is not None:
-                a = before[end]
-                owner[end], mate[a], end = a, end, mate.get(a) if a != start else None
-        first = pdf.iloc[0]
-        return pd.DataFrame([[*(first[k] for k in key), a, b] for b, a in sorted(owner.items())], columns=[*key, left, right])
-
-    return edges.groupBy(*key).applyInPandas(one, schema)
+                queue.append(owner[b])
+            if end is not None:
+                break
+        while end is not None:
+            a = before[end]
+            owner[end], mate[a], end = a, end, mate.get(a) if a != start else None
+    return [(a, b) for b, a in sorted(owner.items())]
 
 
 def split_binding(matches: DataFrame, findings: DataFrame, key: str) -> DataFrame:

@@ -197,7 +197,7 @@ def case_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def maximum_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order against a part of their supplier each, and one more that all of them fit."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat_ws("-", "l_linenumber", "l_suppkey").alias("l"), F.explode(F.array((F.col("l_suppkey") % 4).cast("string"), F.lit("any"))).alias("r"))
-    return evaluate.bipartite_matching(rows.distinct(), ["k"], "l", "r").groupBy("k").agg(F.count("*").cast("int").alias("matched"))
+    return evaluate.bipartite_matching(rows, ["k"], "l", "r").groupBy("k").agg(F.count("*").cast("int").alias("matched"))
 
 
 # --- payloads of dependency audits --------------------------------------------------------------------
