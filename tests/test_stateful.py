@@ -41,6 +41,28 @@ def test_pending_stream_equals_batch(spark):
     assert rows_of(got) == rows_of(want) and {r.state for r in want.collect()} == {"answered", "superseded", "response_timeout", "late_response", "unknown_response"}
 
 
+def test_response_after_the_timer_is_late(spark):
+    """In a later batch than the one that told of the limit: the same as without batches."""
+    rows = [("a", "1", False, at(0), 0), ("a", "1", True, at(9_000), 1), ("a", "1", True, at(9_001), 2), ("a", "2", False, at(1), 3), ("a", "2", False, at(9_000), 4)]
+    frame = spark.createDataFrame([*rows, *[(s, "x", True, at(t), 9) for t in range(0, 9_000, 300) for s in "bcdefghi"]], MESSAGE)
+    got = stateful.replay(frame, lambda stream, delay: stateful.pending_requests(stream, "1 second"), 30, stateful.Pending.OUT, end(spark, MESSAGE))
+    want = stateful.pending_batch(frame)
+    assert rows_of(got) == rows_of(want)
+    assert sorted((r.request_id, r.state) for r in got.filter("session = 'a'").collect()) == [("1", "late_response"), ("1", "response_timeout"), ("1", "unknown_response"), ("2", "response_timeout"), ("2", "response_timeout")]
+
+
+def test_pending_state_is_of_buckets_not_of_requests(spark, tmp_path):
+    """5,000 open requests are a few values and timers of their buckets; null sessions and ids stay apart."""
+    rows = [("a", str(i), False, at(0), i) for i in range(5_000)] + [(None, "1", False, at(0), 0), ("a", None, False, at(0), 1), ("a", "1", True, at(20), 2)]
+    frame = spark.createDataFrame(rows, MESSAGE)
+    frame.repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = stateful.pending_requests(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("pending").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(300)
+    assert 0 < max(s.numRowsTotal for p in query.recentProgress for s in p.stateOperators) <= 3 * 1_024
+    assert [(r.session, r.request_id, r.state) for r in spark.table("pending").collect()] == [("a", "1", "answered")]
+
+
 def test_correlation_stream_equals_batch(spark):
     rnd = random.Random(4)
     schema = "session string, event_index long, ts timestamp, sensitive boolean, sink_kind string, correlation_keys array<string>"
