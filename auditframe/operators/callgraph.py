@@ -5,6 +5,9 @@ result of a call, to an argument of a call, its own return or a sink. Files are
 then meet definitions by name within a project, and joins add what follows until nothing new does:
 an argument reaches what the callee's parameter reaches, and a call's result carries what the callee returns.
 
+Most projects are small: one whose texts and flows stay under a size is parsed and closed at once inside a task, by
+the same rules and without rows of facts; only larger ones are closed by joins.
+
 A name that a project defines twice is ambiguous: calls of it, as calls of unknown functions, are not
 followed; their results carry what their arguments carry. Recursion ends by itself, as facts are a
 finite set. Rounds are written to the shared folder, and only rows that are new take part in the next one.
@@ -13,8 +16,13 @@ finite set. Rounds are written to the shared folder, and only rows that are new
 from __future__ import annotations
 
 import ast
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +33,17 @@ FACT = "array<struct<fid:string,name:string,origin:string,what:string,oline:int,
 _FACT_NAMES = ("fid", "name", "origin", "what", "oline", "target", "call", "callee", "arg", "sink", "tline")
 
 
+@lru_cache(1 << 14)
+def _named(name: str) -> tuple[bool, tuple[str, ...], bool]:
+    """Whether a dotted name is a request, the kinds of sinks it is called as, and whether it cleans."""
+    return bool(_REQUEST.match(name)), tuple(k for k, p in _SINKS.items() if p.search(name)), bool(_CLEANERS.search(name))
+
+
+@lru_cache(1 << 14)
+def _personal(name: str) -> bool:
+    return bool(_PERSONAL.search(name))
+
+
 class _Facts:
     """Labels of values in one function, in the order of statements: ("param" | "source" | "result", name, line)."""
 
@@ -74,7 +93,7 @@ class _Facts:
 
     def block(self, body: list[ast.stmt]) -> None:
         for s in body:
-            if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Import, ast.ImportFrom)):
                 continue
             if isinstance(s, ast.Assign):
                 labels = self.of(s.value)
@@ -119,25 +138,25 @@ class _Facts:
                     self.of(part)
 
     def of(self, node: ast.AST | None) -> frozenset:
-        if node is None or isinstance(node, (ast.Constant, ast.Lambda)):
+        if node is None or isinstance(node, (ast.Constant, ast.Lambda, ast.expr_context)):
             return frozenset()
         if isinstance(node, ast.Call):
             return self._call(node)
         if isinstance(node, (ast.Name, ast.Attribute)):
-            name = _dotted(node)
+            simple = isinstance(node, ast.Name)
+            name = node.id if simple else _dotted(node)
             found = self.env.get(name, frozenset())
-            if isinstance(node, ast.Attribute):
+            if not simple:
                 found |= self.of(node.value)
-            last = node.attr if isinstance(node, ast.Attribute) else node.id
-            if _PERSONAL.search(last):
+            if _personal(node.id if simple else node.attr):
                 found |= {("source", "personal", node.lineno)}
-            if _REQUEST.match(name):
+            if _named(name)[0]:
                 found |= {("source", "request", node.lineno)}
             return found
         if isinstance(node, ast.Subscript):
             key = node.slice.value if isinstance(node.slice, ast.Constant) else None
             self.of(node.slice)
-            return self.of(node.value) | ({("source", "personal", node.lineno)} if isinstance(key, str) and _PERSONAL.search(key) else frozenset())
+            return self.of(node.value) | ({("source", "personal", node.lineno)} if isinstance(key, str) and _personal(key) else frozenset())
         if isinstance(node, ast.NamedExpr):
             labels = self.of(node.value)
             self._bind(node.target, labels)
@@ -167,43 +186,55 @@ class _Facts:
         if isinstance(node.func, ast.Attribute) and node.func.attr in {"append", "add", "extend", "insert", "update", "appendleft"}:
             box = _dotted(node.func.value)
             self.env[box] = self.env.get(box, frozenset()).union(*[x for _, x in given])
-        for kind, pattern in _SINKS.items():
-            if pattern.search(name):
-                heard = given[:1] if name.endswith((".execute", ".raw", ".executemany")) else given
-                for _, labels in heard:
-                    self._flow(labels, "sink", sink=kind, line=node.lineno)
-        if _CLEANERS.search(name):
+        request, sinks, cleans = _named(name)
+        for kind in sinks:
+            heard = given[:1] if name.endswith((".execute", ".raw", ".executemany")) else given
+            for _, labels in heard:
+                self._flow(labels, "sink", sink=kind, line=node.lineno)
+        if cleans:
             return frozenset()
         callee = name.rsplit(".", 1)[-1]
         for arg, labels in given:
             self._flow(labels, "arg", call=call, callee=callee, arg=arg, line=node.lineno)
         self._row(("call", "", node.lineno), "call", call=call, callee=callee, line=node.lineno)
         out = receiver | {("result", call, node.lineno)}
-        return out | {("source", "request", node.lineno)} if _REQUEST.match(name) else out
+        return out | {("source", "request", node.lineno)} if request else out
 
 
-def function_facts(path: str, text: str) -> list[tuple]:
-    """Facts of each function and of the file's own statements (named ``<module>``). A file that does not parse has none."""
+#: The fields of a node that hold statements, handlers or cases: definitions stand nowhere else.
+_BLOCKS = {
+    ast.Module: ("body",), ast.ClassDef: ("body",), ast.FunctionDef: ("body",), ast.AsyncFunctionDef: ("body",), ast.With: ("body",), ast.AsyncWith: ("body",), ast.ExceptHandler: ("body",), ast.match_case: ("body",),
+    ast.If: ("body", "orelse"), ast.For: ("body", "orelse"), ast.AsyncFor: ("body", "orelse"), ast.While: ("body", "orelse"), ast.Match: ("cases",), ast.Try: ("body", "handlers", "orelse", "finalbody"), ast.TryStar: ("body", "handlers", "orelse", "finalbody"),
+}
+
+
+def _file_facts(path: str, text: str) -> set[tuple]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
+        return set()
     found: set[tuple] = set()
     stack: list[tuple[ast.AST, bool]] = [(tree, False)]
     while stack:
         node, in_class = stack.pop()
-        for child in ast.iter_child_nodes(node):
-            stack.append((child, isinstance(node, ast.ClassDef)))
+        inside = isinstance(node, ast.ClassDef)
+        for field in _BLOCKS[type(node)]:
+            stack += [(child, inside) for child in getattr(node, field) if type(child) in _BLOCKS]
         try:
             if node is tree:
                 found |= _Facts(path, "<module>", tree.body, None, 0, False).rows
-            elif isinstance(node, ast.ClassDef):
+            elif inside:
                 found |= _Facts(path, f"<class {node.name}>", node.body, None, node.lineno, False).rows
             elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 found |= _Facts(path, node.name, node.body, node.args, node.lineno, in_class).rows
         except RecursionError:
             continue
-    return sorted(found)
+    return found
+
+
+def function_facts(path: str, text: str) -> list[tuple]:
+    """Facts of each function and of the file's own statements (named ``<module>``). A file that does not parse has none."""
+    return sorted(_file_facts(path, text))
 
 
 def facts(files: DataFrame, project: str = "project", path: str = "path", text: str = "text") -> DataFrame:
@@ -224,13 +255,142 @@ _ORIGIN = ["origin", "what", "opath", "oline"]
 _TARGET = ["target", "call", "callee", "arg", "sink", "tpath", "tline"]
 
 
+#: A project of up to so many bytes of paths and texts is closed inside one task, as long as it has no more flows than this.
+LOCAL_BYTES = 1 << 18
+LOCAL_FLOWS = 200_000
+_FLOW = ("rule_id", "severity", "source_kind", "source_path", "source_line", "sink_kind", "sink_path", "sink_line")
+_FLOW_SCHEMA = "project string, rule_id string, severity string, source_kind string, source_path string, source_line int, sink_kind string, sink_path string, sink_line int"
+
+
 def project_flows(files: DataFrame, project: str = "project", path: str = "path", text: str = "text") -> DataFrame:
     """project, rule_id, severity, source_kind, source_path, source_line, sink_kind, sink_path, sink_line, each flow once.
 
     From files (project, path, text): null projects are one project of their own, files with a null path
     or text and other files than .py take no part.
     """
-    found = materialize(facts(files.filter(F.col(path).isNotNull()), project, path, text), "facts")
+    ship(files.sparkSession)
+    python = files.filter(F.lower(path).endswith(".py") & F.col(text).isNotNull())
+    python = python.select(F.coalesce(F.col(project).cast("string"), F.lit("")).alias("project"), F.col(path).alias("path"), F.col(text).alias("text"))
+    large = materialize(python.groupBy("project").agg(F.sum((F.octet_length("text") + F.octet_length("path")).cast("long")).alias("n")).filter(F.col("n") > LOCAL_BYTES).select("project"), "large")
+    small = python if large.isEmpty() else python.join(large, "project", "left_anti")
+    local = materialize(_local_flows(small), "local-flows")
+    large = large.unionByName(local.filter("rule_id is null").select("project"))
+    if large.isEmpty():
+        return local
+    return local.filter("rule_id is not null").unionByName(_joined_flows(python.join(large, "project", "left_semi")))
+
+
+def _local_flows(files: DataFrame) -> DataFrame:
+    """Flows of projects that one task holds one at a time; one that has too many flows for that is a row without a rule."""
+    limit = LOCAL_FLOWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        for name, own in groupby(rows, itemgetter(0)):
+            found = closed(((p, t) for _, p, t in own), limit)
+            out += [(name, *[None] * len(_FLOW))] if found is None else [(name, *f) for f in found]
+            if len(out) >= 10_000:
+                yield _flow_batch(out)
+                out = []
+        if out:
+            yield _flow_batch(out)
+
+    return files.repartition("project").sortWithinPartitions("project").mapInArrow(run, _FLOW_SCHEMA)
+
+
+def _flow_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(("project", *_FLOW), zip(*rows, strict=True), strict=True)
+    return pa.RecordBatch.from_pydict({n: pa.array(c, pa.int32() if n.endswith("_line") else pa.string()) for n, c in columns})
+
+
+def closed(files: Iterable[tuple[str, str]], limit: int) -> set[tuple] | None:
+    """Flows (``_FLOW``) of the files (path, text) of one project by a work list, or None if more than ``limit`` facts follow.
+
+    The same closure as that of ``_joined_flows``, whose comments hold for it.
+    """
+    single: dict[str, list[str]] = {}
+    tokens: dict[tuple, set[str]] = {}
+    calls: dict[str, set] = {}
+    steps: dict[tuple, set[tuple]] = {}
+    todo: list[tuple] = []
+    for path, text in files:
+        for fid, name, origin, what, oline, target, call, callee, arg, sink, tline in _file_facts(path, text):
+            if target == "def":
+                if name[0] != "<":
+                    single.setdefault(name, []).append(fid)
+            elif target == "token":
+                tokens.setdefault((fid, arg), set()).add(what)
+            elif target == "call":
+                calls.setdefault(call, set()).add((fid, callee))
+            elif origin == "result":
+                steps.setdefault((fid, what), set()).add((target, call, arg, sink, path, tline))
+            else:
+                of = (origin, what, path, oline) if origin == "source" else (origin, what, "", 0)
+                todo.append((fid, of, (target, call, arg, sink, path, tline)))
+    resolved: dict[str, set] = {}
+    callers: dict[str, list[tuple]] = {}
+    for call, places in calls.items():
+        for fid, callee in places:
+            defined = single.get(callee, ())
+            to = defined[0] if len(defined) == 1 else None
+            resolved.setdefault(call, set()).add(to)
+            if to is not None:
+                callers.setdefault(to, []).append((fid, call))
+    known = set(todo)
+    todo = list(known)
+    given: dict[tuple, set[tuple]] = {}
+    reach: dict[tuple, set[tuple]] = {}
+
+    def add(fid: str, of: tuple, to: tuple) -> None:
+        row = (fid, of, to)
+        if row not in known:
+            known.add(row)
+            todo.append(row)
+
+    def carry(fid: str, of: tuple, call: str) -> None:
+        for to in steps.get((fid, call), ()):
+            add(fid, of, to)
+
+    def meet(fid: str, of: tuple, call: str, end: tuple) -> None:
+        if end[0] == "return":
+            carry(fid, of, call)
+        else:
+            add(fid, of, ("sink", "", "", *end[1:]))
+
+    while todo:
+        if len(known) > limit:
+            return None
+        fid, of, to = todo.pop()
+        target, call, arg, sink, tpath, tline = to
+        if target == "arg":
+            for callee in resolved.get(call, ()):
+                if callee is None:
+                    carry(fid, of, call)
+                    continue
+                for param in tokens.get((callee, arg), ()):
+                    given.setdefault((callee, param), set()).add((fid, of, call))
+                    for end in reach.get((callee, param), ()):
+                        meet(fid, of, call, end)
+        elif of[0] == "param":
+            end = (target, sink, tpath, tline)
+            if end not in (ends := reach.setdefault((fid, of[1]), set())):
+                ends.add(end)
+                for at in given.get((fid, of[1]), ()):
+                    meet(*at, end)
+        elif target == "return":
+            for at, back in callers.get(fid, ()):
+                carry(at, of, back)
+    found = set()
+    for _, (origin, what, opath, oline), (target, _, _, sink, tpath, tline) in known:
+        if origin == "source" and target == "sink" and (rule := _RULES.get((what, sink))):
+            found.add((*rule, what, opath, oline, sink, tpath, tline))
+    return found
+
+
+def _joined_flows(files: DataFrame) -> DataFrame:
+    """``project_flows`` by joins over the facts of all files, for projects of any size."""
+    found = materialize(facts(files), "facts")
     defined = found.filter("target = 'def' and name not like '<%'").select("project", "name", "fid")
     single = defined.groupBy("project", "name").agg(F.count("*").alias("n"), F.min("fid").alias("callee_fid")).filter("n = 1").drop("n")
     single = materialize(single.withColumnRenamed("name", "callee"), "definitions")

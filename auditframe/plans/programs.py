@@ -47,10 +47,10 @@ def call_graph_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     onward = F.concat(F.lit("return step_"), F.col("next_part"), F.lit("(kept)"))
     ends = F.when(F.col("mode") == "AIR", F.lit("os.system('run ' + kept)")).when(F.col("mode") == "RAIL", F.lit("db.execute('select ' + kept)")).otherwise(F.lit("return kept"))
     text = F.concat(F.lit("import os\ndef step_"), F.col("part"), F.lit("(value):\n    kept = "), value, F.lit("\n    "), F.when(F.col("k") == F.col("m"), ends).otherwise(onward), F.lit("\n"))
-    steps = lines.select("project", F.concat(F.col("project"), F.lit("/step_"), F.col("k"), F.lit(".py")).alias("path"), text.alias("text"))
+    step = F.struct(F.concat(F.col("project"), F.lit("/step_"), F.col("k"), F.lit(".py")).alias("path"), text.alias("text"))
     main = F.concat(F.lit("from flask import request\n\ndef handle():\n    out = step_"), F.col("part"), F.lit("(value=request.args['q'])\n    eval(out)\n"))
-    mains = lines.filter("k = 1").select("project", F.concat(F.col("project"), F.lit("/main.py")).alias("path"), main.alias("text"))
-    found = callgraph.project_flows(steps.unionByName(mains))
+    both = F.when(F.col("k") == 1, F.array(step, F.struct(F.concat(F.col("project"), F.lit("/main.py")).alias("path"), main.alias("text")))).otherwise(F.array(step))
+    found = callgraph.project_flows(lines.select("project", F.explode(both).alias("f")).select("project", "f.path", "f.text"))
     return found.select(F.col("project").cast("long").alias("project"), "rule_id", "sink_kind", "sink_path", "sink_line")
 
 

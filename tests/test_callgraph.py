@@ -3,6 +3,7 @@
 import random
 
 from auditframe import registry
+from auditframe.operators import callgraph
 from auditframe.operators.callgraph import function_facts, project_flows
 from tests.compare import same
 
@@ -135,5 +136,34 @@ def test_random_programs_equal_brute_force(spark):
     assert len(want) > 20
 
 
+def test_small_projects_need_no_rounds(spark, monkeypatch):
+    tables, write = [], callgraph.materialize
+    monkeypatch.setattr(callgraph, "materialize", lambda df, name: tables.append(name) or write(df, name))
+    assert len(flows(spark, {"p": {"a.py": ENTRY.format("value"), "b.py": MIDDLE, "c.py": LAST}})) == 1
+    assert len(tables) <= 2
+
+
+def test_large_projects_are_joined_to_the_same_flows(spark, monkeypatch):
+    """Within a task, by joins, or begun in a task and left to the joins: no flow differs; a file that stands twice is ambiguous."""
+    rnd = random.Random(8)
+    projects = {}
+    for p in range(12):
+        files = {}
+        for k in range(6):
+            body = "".join(f"    {rnd.choice(['x = g%d(a, b=x)', 'g%d(x)', 'x = request.json', 'x = g%d(x)', 'os.system(x)', 'eval(b)', 'x = a.get(x)', 'print(x)', 'print(b)', 'x = x + a']).replace('%d', str(rnd.randint(0, 6)))}\n" for _ in range(rnd.randint(1, 5)))
+            files[f"m{k}.py"] = f"class C{k}:\n  def g{k}(self, a, b=None):\n    x = user.email\n{body}    def inner(y):\n        return g0(y)\n    return {rnd.choice(['x', 'a', 'b', '0'])}\n"
+        projects[str(p)] = files
+    want = flows(spark, projects)
+    assert len(want) > 20
+    monkeypatch.setattr(callgraph, "LOCAL_FLOWS", 30)
+    assert flows(spark, projects) == want
+    monkeypatch.setattr(callgraph, "LOCAL_BYTES", 0)
+    assert flows(spark, projects) == want
+    twice = spark.createDataFrame([("p", path, text) for path, text in (("a.py", ENTRY.format("value")), ("b.py", MIDDLE), ("c.py", LAST), ("c.py", LAST))], "project string, path string, text string")
+    assert project_flows(twice).count() == 0
+    monkeypatch.undo()
+    assert project_flows(twice).count() == 0
+
+
 def test_query_equals_sql(spark, data):
     same(registry.queries()["call_graph_flows"](spark, data), registry.oracle_sql()["call_graph_flows"], data)
