@@ -387,6 +387,7 @@ def mutation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bundle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GV5, F-CANON: bundles of the lines of each order, checked after some lines have changed."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("subject"), "l_linenumber", F.col("l_quantity").cast("string").alias("q"))
+    rows = rows.repartition("subject")  # plain rows move once for each side; digests, their places and the bundles then stay in the task
     payload = S.canonical_json(F.struct(F.col("l_linenumber"), F.col("q")))
     signed = reports.evidence_bundles(rows, "subject", payload)
     changed = rows.withColumn("q", F.when(F.col("subject") % 9 == 4, F.concat("q", F.lit("x"))).otherwise(F.col("q")))

@@ -61,6 +61,11 @@ def test_bundles_do_not_depend_on_order(spark):
     assert make(rows, 1) == make(rows[::-1], 5) != make(rows[1:], 1)
 
 
+def test_bundles_are_checked_by_one_exchange_a_side(spark, data):
+    plan = registry.queries()["bundle_check"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" hashpartitioning(") <= 2
+
+
 def test_mutations_meet_files_by_suffix(spark):
     mutations = spark.createDataFrame([("m1", "src/a/index.js", ["R"]), ("m2", "index.js", ["R"]), ("m3", "rc/a/index.js", ["R"]), ("m4", "src/b/index.js", ["R"])], "mutation_id string, relative_path string, expected_rule_ids array<string>")
     found = spark.createDataFrame([("C:\\x\\src\\a\\index.js", "R"), ("y/src/b/index.js", "Q"), (None, "R")], "file string, rule_id string")
