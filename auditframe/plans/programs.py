@@ -173,12 +173,15 @@ def framework_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     head = _commented("// ")
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    row = lambda path, body: docs.select(d.cast("string").alias("project"), F.lit(path).alias("path"), F.concat(head, body).alias("text"))
+    file = lambda path, body: F.struct(F.lit(path).alias("path"), F.concat(head, body).alias("text"))
     fill = lambda body, value: F.replace(F.lit(body), F.lit("%s"), value)
-    files = row("routes.js", fill(_ROUTE, F.when(d % 2 == 0, "// requireAuth(req)").otherwise("log('requireAuth(req)');")))
-    files = files.unionByName(row("service.ts", fill(_SERVICE, F.when(d % 3 == 0, ", ownerId: me").otherwise(""))))
-    files = files.unionByName(row("actions.ts", fill(_ACTION, F.when(d % 2 == 0, "").otherwise("await requireAuth();"))))
-    files = files.unionByName(row("other.ts", F.lit("function loadOrder(x) { return x; }\n")).filter(F.col("project").cast("long") % 5 == 0))
+    each = [
+        file("routes.js", fill(_ROUTE, F.when(d % 2 == 0, "// requireAuth(req)").otherwise("log('requireAuth(req)');"))), file("service.ts", fill(_SERVICE, F.when(d % 3 == 0, ", ownerId: me").otherwise(""))),
+        file("actions.ts", fill(_ACTION, F.when(d % 2 == 0, "").otherwise("await requireAuth();"))),
+    ]
+    more = file("other.ts", F.lit("function loadOrder(x) { return x; }\n"))
+    own = F.when(d % 5 == 0, F.array(*each, more)).otherwise(F.array(*each))
+    files = docs.select(d.cast("string").alias("project"), F.explode(own).alias("f")).select("project", "f.path", "f.text")
     return scripts.framework_findings(files).select(F.col("project").cast("long").alias("doc_id"), "path", "rule_id", "line", "service_path")
 
 
